@@ -1,0 +1,33 @@
+"""Connected components by alternating large and small stars, as joins and aggregations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kinmatch.llm.common import saved
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """Each node's smallest neighbour (itself included) gets its larger (or all smaller) neighbours."""
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else edges
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    joined = both.join(least, "a")
+    if large:
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node with an edge; root is the smallest node of its component. edges: a, b."""
+    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            break
+        before = state
+        now = saved(_stars(_stars(now, True), False))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -99,6 +99,18 @@ SELECT doc_id, b.source, block::BIGINT AS block, (block // q * m + slot)::BIGINT
 FROM blocks b JOIN plan p ON p.source = b.source AND p.j = block % p.q, ends
 """
 
+OP7 = rf"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^{_SPACE}]+') AS w FROM documents),
+each AS (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM docs WHERE len(w) > 0),
+sets AS (SELECT DISTINCT r, array_to_string(w[i : i + 3], ' ') AS g FROM each),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach(r, o) AS (SELECT r, r FROM docs UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.o)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id, d.doc_id = min(o.doc_id) AS kept
+FROM docs d LEFT JOIN sizes ON sizes.r = d.r JOIN reach ON reach.r = d.r JOIN docs o ON o.r = reach.o GROUP BY d.r, d.doc_id, n
+"""
+
 OP9 = """
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -115,4 +127,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM steps GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1, "op5_quality_rules": OP5, "op6_mixing": OP6, "op9_chat_formatting": OP9}
+ORACLE_SQL = {"op1_url_filters": OP1, "op5_quality_rules": OP5, "op6_mixing": OP6, "op7_minhash_near_dedup": OP7, "op9_chat_formatting": OP9}

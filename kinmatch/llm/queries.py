@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import chat, mixing, quality, sharding, token_counts, url_rules
+from kinmatch.llm import chat, mixing, near_dup, quality, sharding, token_counts, url_rules
 from kinmatch.llm.common import table
 
 #: The curated URL rules.
@@ -46,6 +46,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", F.col("mix_source").alias("source"), F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), "in_mix")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.NearDup(words=4))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -60,4 +64,4 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op4_sharding, op5_quality_rules, op6_mixing, op9_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op4_sharding, op5_quality_rules, op6_mixing, op7_minhash_near_dedup, op9_chat_formatting)}
