@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import chat, mixing, near_dup, quality, sharding, token_counts, url_rules
+from kinmatch.llm import chat, decontam, mixing, near_dup, quality, sharding, token_counts, url_rules
 from kinmatch.llm.common import table
 
 #: The curated URL rules.
@@ -64,4 +64,20 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op4_sharding, op5_quality_rules, op6_mixing, op7_minhash_near_dedup, op9_chat_formatting)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op3_token_counts,
+        op4_sharding,
+        op5_quality_rules,
+        op6_mixing,
+        op7_minhash_near_dedup,
+        op9_chat_formatting,
+        op10_benchmark_decontamination,
+    )
+}
