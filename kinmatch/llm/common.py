@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,14 @@ def map_texts(
     text: str,
     make: Callable[[], Callable[[pa.RecordBatch, Chunk], pa.RecordBatch | None]],
     schema: str,
-    lower: bool = False,
+    through: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """df through make()(rows, chunk) for every chunk of texts; make runs once for each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for chunk in chunks(batch.column(text), lower):
+            for chunk in chunks(batch.column(text), through):
                 out = fn(batch.slice(chunk.rows.start, chunk.rows.stop - chunk.rows.start), chunk)
                 if out is not None and out.num_rows:
                     yield out

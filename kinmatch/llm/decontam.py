@@ -5,11 +5,12 @@
    matrix gives the latent space: partitions of passages multiply the sketch by their part of
    A'A, the parts are added up by feature block, and the driver orthonormalises the bounded
    (features x rank) sketch, for a few power iterations.
-3. Windows of 64 words, 16 apart, of every whole document are folded in. Weights are
-   sqrt(tf) * idf, so a window's squared norm is a difference of two running sums, and the part
-   of it in the benchmark's words bounds its cosine with any passage. Windows within reach of
-   `min_cosine` are projected and compared with all passages in blocks (the benchmark is the
-   stated query set).
+3. Windows of 64 words, 16 apart, of every whole document are folded in. Vectors are linear in
+   tf, so each block of 16 words is projected once and a window is the sum of four. Its norm is
+   taken word by word (repeats add up less), a difference of running sums, and so is what it has
+   of common and of rarer benchmark words, which bounds its cosine with any passage that repeats
+   words no more than the passages do. Windows within reach of `min_cosine` are compared with all
+   passages in slabs (the benchmark is the stated query set).
 4. A candidate is a leak if the longest common subsequence holds `sure` of the passage's words,
    or `possible` of them and, as in a paraphrase, the answer too: `answer_share` of the passage's
    rarest words are in the window.
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import map_texts
-from kinmatch.llm.text import Chunk, chunks
+from kinmatch.llm.text import Chunk, chunks, folded
 
 BUCKETS = 1 << 18
 #: Features of the latent space at most, and rows of the sketch summed in one piece.
@@ -49,7 +50,9 @@ class Decontam:
     rank: int = 256
     power: int = 2
     min_words: int = 8
-    min_cosine: float = 0.3
+    min_cosine: float = 0.33
+    #: Words below this IDF are bounded apart from the rarer ones.
+    common_idf: float = 5.0
     sure: float = 0.8
     possible: float = 0.6
     answer_words: int = 5
@@ -66,7 +69,7 @@ def document_frequency(df: DataFrame, text_col: str) -> np.ndarray:
     def make(batches):
         total, last = np.zeros(BUCKETS + 1, np.int64), 0
         for batch in batches:
-            for c in chunks(batch.column(0), lower=True):
+            for c in chunks(batch.column(0), folded):
                 once = np.unique(c.doc.astype(np.int64) * BUCKETS + bucket(c.word_hash))
                 total[:BUCKETS] += np.bincount(once % BUCKETS, minlength=BUCKETS)
                 last += c.n
@@ -98,7 +101,7 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str, p: Decontam) -> D
 
     def run(batches):
         for batch in batches:
-            for c in chunks(batch.column("text"), lower=True):
+            for c in chunks(batch.column("text"), folded):
                 got = [(c.rows.start + d, w) for d in range(c.n) for w in cut(c, d, p)]
                 if got:
                     ids = batch.column("item_id").take(pa.array([d for d, _ in got]))
@@ -112,7 +115,7 @@ def passages(benchmark: DataFrame, id_col: str, text_col: str, p: Decontam) -> D
 def _features(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature and weight of a passage's distinct words, of unit length."""
     w, n = np.unique(words, return_counts=True)
-    weight = np.sqrt(n) * idf[bucket(w)]
+    weight = n * idf[bucket(w)]
     return (w % np.uint64(FEATURES)).astype(np.int64), weight / max(1e-9, np.linalg.norm(weight))
 
 
@@ -163,89 +166,116 @@ class Index:
     def __init__(self, items: list, words: list[np.ndarray], idf: np.ndarray, space: np.ndarray, p: Decontam):
         self.items, self.idf, self.p = items, idf, p
         self.size = np.array([len(w) for w in words], np.int64)
-        self.words = np.zeros((len(words), p.passage), np.uint64)
-        for k, w in enumerate(words):
-            self.words[k, : len(w)] = w
         self.vocabulary = np.unique(np.concatenate(words))
+        self.words = np.full((len(words), 64), -1, np.int32)
+        for k, w in enumerate(words):
+            self.words[k, : len(w)] = np.searchsorted(self.vocabulary, w)
         self.feature = (self.vocabulary % np.uint64(FEATURES)).astype(np.int64)
-        self.rows = space[self.feature]
+        weight = idf[bucket(self.vocabulary)]
+        self.rows = np.append(space[self.feature] * weight[:, None], np.zeros((1, space.shape[1]), np.float32), 0)
+        self.common = weight < p.common_idf
         self.flags = np.zeros(BUCKETS, bool)
         self.flags[bucket(self.vocabulary)] = True
-        latent = []
-        rare = np.zeros((len(words), p.answer_words), np.uint64)
+        latent, self.most_common, self.repeats = [], 0.0, 1.0
+        rare = np.zeros((len(words), p.answer_words), np.int32)
         for k, w in enumerate(words):
             f, x = _features(w, idf)
             latent.append(x @ space[f])
-            once = np.unique(w)
+            once, n = np.unique(w, return_counts=True)
+            mass = (n * idf[bucket(once)]) ** 2
+            self.repeats = max(self.repeats, np.sqrt(mass.sum() / (mass / n).sum()))
+            self.most_common = max(self.most_common, np.sqrt(mass[idf[bucket(once)] < p.common_idf].sum() / mass.sum()))
             order = np.lexsort((once, -idf[bucket(once)]))[: p.answer_words]
-            rare[k] = np.resize(once[order], p.answer_words)
+            rare[k] = np.resize(np.searchsorted(self.vocabulary, once[order]), p.answer_words)
         self.latent, self.rare = np.array(latent, np.float32), rare
 
     def leaks(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, passage, share of the passage in common, cosine of every confirmed window."""
         p, h = self.p, c.word_hash
-        none = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2
-        if not len(h):
-            return none
-        b = bucket(h)
-        weight = self.idf[b].astype(np.float64) ** 2
-        word = np.full(len(h), -1)
-        maybe = np.flatnonzero(self.flags[b])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
-        same = self.vocabulary[at] == h[maybe]
-        word[maybe[same]] = at[same]
-        norm, inside = (np.concatenate([[0], np.cumsum(x)]) for x in (weight, weight * (word >= 0)))
-        # Windows start every `stride` words of a text; the last may be shorter.
-        per = np.maximum(1, -(-np.maximum(0, c.n_words - p.window) // p.stride) + 1) * (c.n_words > 0)
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        if len(h):
+            b = bucket(h)
+            word = np.full(len(h), -1, np.int32)
+            maybe = np.flatnonzero(self.flags[b])
+            at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), len(self.vocabulary) - 1)
+            same = self.vocabulary[at] == h[maybe]
+            word[maybe[same]] = at[same]
+            weight = self.idf[b].astype(np.float64) ** 2
+            doc, start, stop, block, near, norm = self._windows(c, weight, word)
+            latent = self._blocks(c, word, block[near])
+            for k in np.array_split(near, -(-len(near) // 4096)) if len(near) else []:
+                vectors = sum(latent[block[k] + j] for j in range(p.window // p.stride))
+                cosine = vectors @ self.latent.T / norm[k, None]
+                w, q = np.nonzero(cosine >= p.min_cosine)
+                if len(w):
+                    found, share = self._confirm(word, start[k[w]], stop[k[w]], q)
+                    out.append((doc[k[w[found]]], q[found], share[found], cosine[w[found], q[found]].astype(np.float64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _windows(self, c: Chunk, weight: np.ndarray, word: np.ndarray):
+        """Text, first and last word and first block of each window, those near enough, and the windows' norms."""
+        p, wide = self.p, self.p.window // self.p.stride
+        blocks = -(-c.n_words // p.stride)
+        per = np.where(c.n_words > 0, np.maximum(1, blocks - wide + 1), 0)
         doc = np.repeat(np.arange(c.n), per)
-        start = c.first[doc] + p.stride * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+        start = c.first[doc] + p.stride * nth
         stop = np.minimum(start + p.window, c.first[doc + 1])
-        size2 = norm[stop] - norm[start]
-        near = np.flatnonzero((inside[stop] - inside[start] >= p.min_cosine**2 * size2 - 1e-9) & (size2 > 0))
-        found = [self._confirm(h, word, start[k], stop[k], size2[k]) for k in np.array_split(near, -(-len(near) // 4096))] if len(near) else []
-        if not found:
-            return none
-        window = np.concatenate([k[w] for k, (w, *_) in zip(np.array_split(near, -(-len(near) // 4096)), found, strict=True)])
-        return doc[window], *(np.concatenate([x[j] for x in found]) for j in (1, 2, 3))
-
-    def _confirm(self, h, word, start, stop, size2):
+        block = self._first_block(c)[doc] + nth
+        rare = word >= 0
+        rare[rare] = ~self.common[word[rare]]
+        n2, c2, r2 = (x[stop] - x[start] for x in (np.concatenate([[0], np.cumsum(y)]) for y in (weight, weight * ((word >= 0) & ~rare), weight * rare)))
+        both, a = np.sqrt(np.maximum(0, c2 + r2)), self.most_common
+        # The largest product with a unit vector of which at most the part a is in common words.
+        bound = np.where(np.sqrt(np.maximum(0, c2)) <= a * both, both, a * np.sqrt(np.maximum(0, c2)) + np.sqrt(1 - a * a) * np.sqrt(np.maximum(0, r2)))
+        norm = np.sqrt(np.maximum(n2, 1e-12))
+        return doc, start, stop, block, np.flatnonzero(bound * self.repeats >= p.min_cosine * norm), norm.astype(np.float32)
+
+    def _first_block(self, c: Chunk) -> np.ndarray:
+        """Blocks of `stride` words, with empty ones after each text so that no window leaves it."""
+        blocks = -(-c.n_words // self.p.stride) + self.p.window // self.p.stride
+        return np.cumsum(blocks) - blocks
+
+    def _blocks(self, c: Chunk, word: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """The sum of the weighted rows of the latent space over each block's words, for the blocks of wanted windows."""
+        p = self.p
+        total = int((-(-c.n_words // p.stride) + p.window // p.stride).sum())
+        out = np.zeros((total, self.rows.shape[1]), np.float32)
+        used = np.zeros(total, bool)
+        for j in range(p.window // p.stride):
+            used[wanted + j] = True
+        base = self._first_block(c)
+        used = np.flatnonzero(used)
+        doc = np.searchsorted(base, used, side="right") - 1
+        start = c.first[doc] + (used - base[doc]) * p.stride
+        for a in range(0, len(used), 256):
+            s = slice(a, a + 256)
+            grid = start[s, None] + np.arange(p.stride)
+            ids = np.where(grid < c.first[doc[s] + 1, None], word[np.minimum(grid, len(word) - 1)], -1)
+            out[used[s]] = self.rows[ids].sum(1)  # the last row, of no word, is 0
+        return out
+
+    def _confirm(self, word: np.ndarray, start: np.ndarray, stop: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.p
-        grid = start[:, None] + np.arange(p.window)
-        real = grid < stop[:, None]
-        grid = np.minimum(grid, len(h) - 1)
-        hashes, ids = h[grid], np.where(real, word[grid], -1)
-        # The windows' vectors over the benchmark's words, folded into the latent space.
-        key = (np.arange(len(start))[:, None] * len(self.vocabulary) + ids)[ids >= 0]
-        once, n = np.unique(key, return_counts=True)
-        row, v = once // len(self.vocabulary), once % len(self.vocabulary)
-        value = (np.sqrt(n) * self.idf[bucket(self.vocabulary[v])]).astype(np.float32)
-        latent = np.zeros((len(start), self.rows.shape[1]), np.float32)
-        if len(row):
-            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            for a in range(0, len(first), 256):
-                lo, hi = first[a], first[a + 256] if a + 256 < len(first) else len(row)
-                latent[row[first[a : a + 256]]] = np.add.reduceat(self.rows[v[lo:hi]] * value[lo:hi, None], first[a : a + 256] - lo)
-        cosine = latent @ self.latent.T / np.sqrt(size2)[:, None]
-        w, q = np.nonzero(cosine >= p.min_cosine)
-        share, answer = np.zeros(len(w)), np.zeros(len(w))
-        for a in range(0, len(w), 2048):
+        share, answer = np.zeros(len(q)), np.zeros(len(q))
+        for a in range(0, len(q), 2048):
             s = slice(a, a + 2048)
-            text = np.where(real[w[s]], hashes[w[s]], 0)
+            grid = start[s, None] + np.arange(p.window)
+            text = np.where(grid < stop[s, None], word[np.minimum(grid, len(word) - 1)], np.int32(-1))
             share[s] = common_subsequence(self.words[q[s]], text) / self.size[q[s]]
             answer[s] = (self.rare[q[s]][:, :, None] == text[:, None, :]).any(2).mean(1)
-        ok = (share >= p.sure) | ((share >= p.possible) & (answer >= p.answer_share))
-        return w[ok], q[ok], share[ok], cosine[w[ok], q[ok]]
+        return (share >= p.sure) | ((share >= p.possible) & (answer >= p.answer_share)), share
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the longest common subsequences of rows of a (at most 64 wide) and b; 0 is no word.
+    """Lengths of the longest common subsequences of rows of a (64 wide) and b; entries below 0 match nothing.
 
     Bit-parallel over the positions of a, all pairs at the same time.
     """
-    bits = np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64)
     left = np.full(len(a), ~np.uint64(0))
+    b = np.where(b < 0, np.int32(-9), b)
     for j in range(b.shape[1]):
-        match = (((a == b[:, j : j + 1]) & (a != 0)) * bits).sum(1, dtype=np.uint64)
+        match = np.packbits(a == b[:, j : j + 1], axis=1, bitorder="little").view("<u8")[:, 0]
         u = left & match
         left = (left + u) | (left - u)
     return np.bitwise_count(~left).astype(np.int64)
@@ -268,7 +298,7 @@ def _each(df: DataFrame, text_col: str, index: Index, schema: str, out: Callable
     def make():
         return lambda rows, c: out(rows, c, shared.value.leaks(c))
 
-    return map_texts(df, text_col, make, schema, lower=True)
+    return map_texts(df, text_col, make, schema, through=folded)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

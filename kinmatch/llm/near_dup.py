@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.common import map_texts, saved
 from kinmatch.llm.components import components
-from kinmatch.llm.text import Chunk, mix
+from kinmatch.llm.text import Chunk, lowered, mix
 
 _rng = np.random.default_rng(7)
 _XOR, _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64), _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -86,7 +86,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFra
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(rows.withColumn("text_key", F.xxhash64("text")), "text", make, f"row_id {kind}, n bigint, node bigint, text_key bigint, sig array<bigint>", lower=True)
+    return map_texts(rows.withColumn("text_key", F.xxhash64("text")), "text", make, f"row_id {kind}, n bigint, node bigint, text_key bigint, sig array<bigint>", through=lowered)
 
 
 def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small: bool) -> DataFrame:
@@ -103,7 +103,7 @@ def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small
     texts = df.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "text_key").select("node", "text")
     # Copies of one text: each gives the same set, one of them is kept.
-    return map_texts(texts, "text", make, "node bigint, set array<bigint>", lower=True).groupBy("node").agg(F.first("set").alias("set"))
+    return map_texts(texts, "text", make, "node bigint, set array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"))
 
 
 def postings(nodes: DataFrame, p: NearDup) -> DataFrame:

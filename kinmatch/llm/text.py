@@ -6,7 +6,7 @@ ASCII, so UTF-8 bytes can be scanned without decoding. A null text is an empty o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -48,8 +48,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def token_bytes(data: np.ndarray, lower: bool) -> np.ndarray:
-    return _LOWER[data] if lower else data
+_FOLD = _LOWER.copy()
+_FOLD[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWER[data]
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """ASCII punctuation as spaces, A-Z and the capitals of Latin-1 in lower case."""
+    out = _FOLD[data]
+    if len(data) > 1:
+        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        out[1:][capital] += 0x20
+    return out
 
 
 @dataclass
@@ -154,8 +168,8 @@ class Chunk:
         return np.concatenate([out, mix(acc + np.uint64(1))]), np.concatenate([doc, short])
 
 
-def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The texts of an Arrow column in chunks of about `limit` bytes, each text whole."""
+def chunks(texts: pa.Array, through: Callable[[np.ndarray], np.ndarray] | None = None, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """The texts of an Arrow column in chunks of about `limit` bytes, each text whole; through changes bytes, not their number."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -167,5 +181,5 @@ def chunks(texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> It
         upto = min(upto, len(texts))
         data = raw[offsets[at] : offsets[upto]]
         off = offsets[at : upto + 1] - offsets[at]
-        yield Chunk(slice(at, upto), token_bytes(data, lower), off[:-1], off[1:])
+        yield Chunk(slice(at, upto), through(data) if through else data, off[:-1], off[1:])
         at = upto
