@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,8 @@ class Decontam:
     possible: float = 0.6
     answer_words: int = 5
     answer_share: float = 0.8
+    #: Passages in one index: documents are scanned once for each slab.
+    slab: int = 20_000
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -119,12 +122,12 @@ def _features(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (w % np.uint64(FEATURES)).astype(np.int64), weight / max(1e-9, np.linalg.norm(weight))
 
 
-def latent_space(parts: DataFrame, idf: np.ndarray, p: Decontam) -> np.ndarray:
-    """Right singular vectors (FEATURES x rank) of the passages' TF-IDF matrix."""
+def latent_space(parts: DataFrame, used: np.ndarray, idf: np.ndarray, p: Decontam) -> np.ndarray:
+    """Right singular vectors (used features x rank) of the passages' TF-IDF matrix."""
     spark = parts.sparkSession
     rank = p.rank
-    basis = np.random.default_rng(11).standard_normal((FEATURES, rank)).astype(np.float32)
-    shared_idf = spark.sparkContext.broadcast(idf)
+    basis = np.random.default_rng(11).standard_normal((len(used), rank)).astype(np.float32)
+    shared_idf, shared_used = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(used)
     for turn in range(p.power + 1):
         shared = spark.sparkContext.broadcast(basis)
 
@@ -133,6 +136,7 @@ def latent_space(parts: DataFrame, idf: np.ndarray, p: Decontam) -> np.ndarray:
             for frame in frames:
                 for words in frame["words"]:
                     f, w = _features(np.asarray(words, np.int64).view(np.uint64), shared_idf.value)
+                    f = np.searchsorted(shared_used.value, f)
                     row = w @ shared.value[f]
                     for k, x in zip(f.tolist(), w.tolist(), strict=True):
                         block = total.setdefault(k // BLOCK, np.zeros((BLOCK, rank)))
@@ -144,33 +148,31 @@ def latent_space(parts: DataFrame, idf: np.ndarray, p: Decontam) -> np.ndarray:
             return pd.DataFrame({"block": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
 
         sums = parts.mapInPandas(multiply, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
-        product = np.zeros((FEATURES, rank))
-        for r in sums.toLocalIterator():
+        product = np.zeros((-(-len(used) // BLOCK) * BLOCK, rank))
+        for r in sums.collect():
             product[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, rank)
+        product = product[: len(used)]
         if turn == p.power:
             # basis' A'A basis: its eigenvectors turn the basis into singular vectors.
             values, turn_by = np.linalg.eigh(basis.T.astype(np.float64) @ product)
             keep = values > max(1e-6 * values.max(), 1e-12)
             return (basis @ turn_by[:, keep]).astype(np.float32)
-        used = np.flatnonzero(np.abs(product).sum(1))
-        q, _ = np.linalg.qr(product[used])
-        basis = np.zeros((FEATURES, q.shape[1]), np.float32)
-        basis[used] = q
-        rank = q.shape[1]
+        basis = np.linalg.qr(product)[0].astype(np.float32)
+        rank = basis.shape[1]
     raise AssertionError
 
 
 class Index:
     """What a task needs: the IDF, the benchmark's words and passages, and their latent vectors."""
 
-    def __init__(self, items: list, words: list[np.ndarray], idf: np.ndarray, space: np.ndarray, p: Decontam):
+    def __init__(self, items: list, words: list[np.ndarray], idf: np.ndarray, used: np.ndarray, space: np.ndarray, p: Decontam):
         self.items, self.idf, self.p = items, idf, p
         self.size = np.array([len(w) for w in words], np.int64)
         self.vocabulary = np.unique(np.concatenate(words))
         self.words = np.full((len(words), 64), -1, np.int32)
         for k, w in enumerate(words):
             self.words[k, : len(w)] = np.searchsorted(self.vocabulary, w)
-        self.feature = (self.vocabulary % np.uint64(FEATURES)).astype(np.int64)
+        self.feature = np.searchsorted(used, (self.vocabulary % np.uint64(FEATURES)).astype(np.int64))
         weight = idf[bucket(self.vocabulary)]
         self.rows = np.append(space[self.feature] * weight[:, None], np.zeros((1, space.shape[1]), np.float32), 0)
         self.common = weight < p.common_idf
@@ -180,7 +182,7 @@ class Index:
         rare = np.zeros((len(words), p.answer_words), np.int32)
         for k, w in enumerate(words):
             f, x = _features(w, idf)
-            latent.append(x @ space[f])
+            latent.append(x @ space[np.searchsorted(used, f)])
             once, n = np.unique(w, return_counts=True)
             mass = (n * idf[bucket(once)]) ** 2
             self.repeats = max(self.repeats, np.sqrt(mass.sum() / (mass / n).sum()))
@@ -281,18 +283,22 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~left).astype(np.int64)
 
 
-def build_index(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Index | None:
-    """None if the benchmark has no passage. Its size is that of the benchmark and of fixed tables, not of df."""
+def build_indexes(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index]:
+    """One for each slab of at most about `slab` passages, so that what a task holds stays bounded."""
     parts = passages(benchmark, item_col, item_text, p)
-    rows = parts.collect()
-    if not rows:
-        return None
-    idf = idf_of(document_frequency(df, text_col))
-    words = [np.array(r.words, np.int64).view(np.uint64) for r in rows]
-    return Index([r.item_id for r in rows], words, idf, latent_space(parts, idf, p), p)
+    slabs = -(-parts.count() // p.slab)
+    idf = idf_of(document_frequency(df, text_col)) if slabs else None
+    out = []
+    for k in range(slabs):
+        slab = parts.where(F.pmod(F.xxhash64("words"), F.lit(slabs)) == k) if slabs > 1 else parts
+        if rows := slab.collect():
+            words = [np.array(r.words, np.int64).view(np.uint64) for r in rows]
+            used = np.unique((np.concatenate(words) % np.uint64(FEATURES)).astype(np.int64))
+            out.append(Index([r.item_id for r in rows], words, idf, used, latent_space(slab, used, idf, p), p))
+    return out
 
 
-def _each(df: DataFrame, text_col: str, index: Index, schema: str, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
+def _each(df: DataFrame, text_col: str, index: Index, schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(index)
 
     def make():
@@ -305,32 +311,29 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id
     """One row for each id and benchmark item that its text holds: id, item, lcs_share and cosine (the best of its windows)."""
     kinds = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"row_id {kinds[0]}, item {kinds[1]}, lcs_share double, cosine double"
-    index = build_index(df, benchmark, p, text_col, item_col, item_text)
     names = [id_col, item_col]
-    if index is None:
-        return df.sparkSession.createDataFrame([], schema).toDF(*names, "lcs_share", "cosine")
-    items = pa.array(index.items)
 
-    def out(rows, c, leaks):
+    def out(items, rows, c, leaks):
         doc, q, share, cosine = leaks
         if not len(doc):
             return None
-        return pa.RecordBatch.from_arrays([rows.column("row_id").take(pa.array(doc)), items.take(pa.array(q)), pa.array(share), pa.array(cosine.astype(float))], ["row_id", "item", "lcs_share", "cosine"])
+        return pa.RecordBatch.from_arrays([rows.column("row_id").take(pa.array(doc)), items.take(pa.array(q)), pa.array(share), pa.array(cosine)], ["row_id", "item", "lcs_share", "cosine"])
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
-    found = _each(rows, "text", index, schema, out)
+    found = df.sparkSession.createDataFrame([], schema)
+    for index in build_indexes(df, benchmark, p, text_col, item_col, item_text):
+        found = found.union(_each(rows, "text", index, schema, partial(out, pa.array(index.items))))
     return found.groupBy("row_id", "item").agg(F.max("lcs_share").alias("lcs_share"), F.max("cosine").alias("cosine")).toDF(*names, "lcs_share", "cosine")
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """df's rows, all columns, whose text holds no benchmark item."""
-    index = build_index(df, benchmark, p, text_col, item_col, item_text)
-    if index is None:
-        return df
-
     def out(rows, c, leaks):
-        clean = np.ones(c.n, bool)
-        clean[leaks[0]] = False
-        return rows.filter(pa.array(clean))
-
-    return _each(df, text_col, index, df.schema, out)
+        keep = np.ones(c.n, bool)
+        keep[leaks[0]] = False
+        return rows.filter(pa.array(keep))
+
+    clean = df
+    for index in build_indexes(df, benchmark, p, text_col, item_col, item_text):
+        clean = _each(clean, text_col, index, df.schema, out)
+    return clean

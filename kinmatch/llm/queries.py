@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import chat, decontam, mixing, near_dup, quality, sharding, token_counts, url_rules
+from kinmatch.llm import chat, decontam, mixing, near_dup, quality, sharding, token_counts, toxicity, url_rules
 from kinmatch.llm.common import table
 
 #: The curated URL rules.
@@ -50,6 +50,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), near_dup.NearDup(words=4))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -77,6 +84,7 @@ QUERIES = {
         op5_quality_rules,
         op6_mixing,
         op7_minhash_near_dedup,
+        op8_toxicity,
         op9_chat_formatting,
         op10_benchmark_decontamination,
     )
