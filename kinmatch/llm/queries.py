@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmatch.llm import chat, decontam, mixing, near_dup, quality, sharding, token_counts, toxicity, url_rules
+from kinmatch.llm import chat, decontam, lm_scores, mixing, near_dup, quality, sharding, token_counts, toxicity, url_rules
 from kinmatch.llm.common import table
 
 #: The curated URL rules.
@@ -28,6 +28,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    out = lm_scores.score_texts(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, ~held_out)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
@@ -79,6 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters,
+        op2_lm_scoring,
         op3_token_counts,
         op4_sharding,
         op5_quality_rules,
