@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -27,6 +28,13 @@ def saved(df: DataFrame, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFra
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFrame:
+    """df as Parquet in a new folder under spark.checkpoint.dir, read again."""
+    path = f"{df.sparkSession.conf.get('spark.checkpoint.dir', fallback)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_texts(
     df: DataFrame,
     text: str,

@@ -3,7 +3,7 @@
 A text's set is its distinct runs of `words` words (all its words, if fewer). Equal sets are one
 node. A node's signature has `coords` coordinates, each the least hash of its set; it is posted
 under each coordinate with its value. A pair is a candidate if it collides in at least `matches`
-coordinates (at similarity 0.8 and 9 of 24 a pair is missed with a chance of about 1e-6), and
+coordinates (at similarity 0.8 exactly, 26 of 48 miss a pair with a chance of 5e-5, above it with less), and
 linked if the intersection of its full sets is at least `similarity` of their union.
 
 Skip and prefix: postings of one node cannot collide and are skipped; a node with fewer than
@@ -12,9 +12,10 @@ since two nodes that collide in `matches` must share one of them. So long lists,
 that many texts share, are hardly ever merged.
 
 Linking: a list's nodes need not be paired with each other if links already join them. In each
-round every list with nodes of two components pairs its nodes with one of them, the hub; links
-found join components. When few pairs across components are left, or after `rounds`, all of those
-are tested. So components are those of all links between candidates, without a list's square.
+of `rounds` rounds every list with nodes of two components pairs its nodes with one of them, the
+hub; links found join components. Then all pairs across components are tested that sizes and
+bitmaps of the sets leave possible. So components are those of all links between
+candidates, without a list's square.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is its own
 component; repeated rows and ids share a node, a null id counts as no id; an empty table gives an
@@ -37,16 +38,19 @@ from kinmatch.llm.text import Chunk, lowered, mix
 _rng = np.random.default_rng(7)
 _XOR, _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64), _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
+#: Words of 64 bits in a set's bitmap.
+_WORDS = 32
+
 
 @dataclass(frozen=True)
 class NearDup:
     words: int = 5
     similarity: int = 80  # per cent
-    coords: int = 24
-    matches: int = 9
-    rounds: int = 6
-    #: Ids of nodes up to which the texts to confirm are picked by broadcast (8 bytes each), else by shuffle.
-    broadcast_nodes: int = 1_000_000
+    coords: int = 48
+    matches: int = 26
+    rounds: int = 2
+    #: Ids or pairs of nodes up to which texts and sets to confirm are picked by broadcast (8 to 32 bytes each), else by shuffle.
+    broadcast_nodes: int = 250_000
 
 
 def sets_of(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,29 +94,57 @@ def signatures(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFra
 
 
 def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small: bool) -> DataFrame:
-    """node, set array<bigint> for the texts of wanted (node, text_key), one for each node."""
+    """node, set array<int>, bits array<bigint> (a bitmap of the set) for the texts of wanted (node, text_key), one for each node.
+
+    The halves of the shingle hashes: two of the hundreds in a pair's sets are alike by chance
+    in one pair of 100,000, and then count one too many.
+    """
 
     def make():
         def one(rows: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
             sets, n = sets_of(c, p.words)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(sets)))], ["node", "set"])
+            short = (sets >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            bits = np.zeros((c.n, _WORDS), np.uint64)
+            np.bitwise_or.at(bits, (np.repeat(np.arange(c.n), n), ((sets >> np.uint64(26)) % np.uint64(_WORDS)).astype(np.int64)), np.uint64(1) << (sets >> np.uint64(20) & np.uint64(63)))
+            words = pa.ListArray.from_arrays(pa.array(np.arange(c.n + 1, dtype=np.int32) * _WORDS), pa.array(_signed(bits.reshape(-1))))
+            return pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short)), words], ["node", "set", "bits"])
 
         return one
 
     texts = df.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "text_key").select("node", "text")
     # Copies of one text: each gives the same set, one of them is kept.
-    return map_texts(texts, "text", make, "node bigint, set array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"))
+    return map_texts(texts, "text", make, "node bigint, set array<int>, bits array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
 
 
 def postings(nodes: DataFrame, p: NearDup) -> DataFrame:
-    """key, node: what is left to merge after skipping and the prefix."""
-    posted = nodes.select(F.explode("sig").alias("key"), "node")
+    """key, node, n, pull: what is left to merge after skipping and the prefix; pull: how many postings meet the node's."""
+    posted = nodes.select(F.explode("sig").alias("key"), "node", "n")
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = posted.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"))
-    alive = shared.where(F.size("keys") >= p.matches)
-    return alive.select(F.explode(F.slice("keys", 1, F.size("keys") - p.matches + 1)).alias("k"), "node").select("k.key", "node")
+    shared = posted.join(lists, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("size", "key"))).alias("keys"))
+    alive = shared.where(F.size("keys") >= p.matches).withColumn("pull", F.aggregate("keys", F.lit(0).cast("bigint"), lambda n, k: n + k["size"]))
+    return alive.select(F.explode(F.slice("keys", 1, F.size("keys") - p.matches + 1)).alias("k"), "node", "n", "pull").select("k.key", "node", "n", "pull")
+
+
+def across(rooted: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """a, b: the pairs of different components on a list whose bitmaps leave a link possible.
+
+    An intersection has at most the bits that two bitmaps share, and as many more as the set with
+    fewer shared bits has shingles on a bit that another took. Texts of a group of copies that
+    changed too much fail this, so they are not paired with the whole group.
+    """
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    # Higher-order functions, not a term for each word: the code of the join stays small enough to be compiled.
+    total = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
+    own = total(F.col("bits"))
+    rows = rooted.join(open_keys, "key").join(sets.select("node", "bits"), "node").select("key", "node", "root", "n", "bits", (F.col("n") - own).alias("hidden"))
+    one, two = rows.alias("one"), rows.alias("two")
+    common = total(F.zip_with("one.bits", "two.bits", lambda x, y: x.bitwiseAND(y))) + F.least("one.hidden", "two.hidden")
+    fits = (F.col("one.key") == F.col("two.key")) & (F.col("one.root") < F.col("two.root"))
+    fits = fits & (100 * F.least("one.n", "two.n") >= p.similarity * F.greatest("one.n", "two.n"))
+    fits = fits & ((100 + p.similarity) * common >= p.similarity * (F.col("one.n") + F.col("two.n")))
+    return one.join(two, fits).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
 
 
 def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,10 +152,10 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
     docs = saved(signatures(df, id_col, text_col, p))
     nodes = docs.where("n > 0").groupBy("node").agg(F.min("row_id").alias("least"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig"))
     nodes = saved(nodes)
-    lists = saved(postings(nodes, p)).withColumnRenamed("key", "key")
-    facts = nodes.select("node", "n", "sig")
+    lists = saved(postings(nodes, p))
     roots = saved(lists.select("node").distinct().withColumn("root", F.col("node")))
-    wanted = roots.select("node").join(nodes.select("node", "text_key"), "node")
+    facts = saved(nodes.join(roots.select("node"), "node").select("node", "n", "sig", "text_key"))
+    wanted, facts = facts.select("node", "text_key"), facts.drop("text_key")
     sets = saved(full_sets(df, text_col, wanted, p, roots.count() <= p.broadcast_nodes)) if not lists.isEmpty() else None
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -132,30 +164,38 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
         near = pairs.join(sides[0], "a").join(sides[1], "b")
         near = near.where(100 * F.least("n_a", "n_b") >= p.similarity * F.greatest("n_a", "n_b"))
         near = near.where(F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= p.matches).select("a", "b", "n_a", "n_b")
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        near = saved(near)
+        small = F.broadcast if near.count() <= p.broadcast_nodes else lambda x: x
+        # Only the sets that a pair needs move, to where its second node is.
+        mine = sets.drop("bits").withColumnsRenamed({"node": "a", "set": "set_a"}).join(small(near), "a")
+        theirs = sets.drop("bits").withColumnsRenamed({"node": "b", "set": "set_b"}).join(small(near.select("b").distinct()), "b", "left_semi")
+        both = mine.join(theirs, "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         return both.select("a", "b", common.alias("common"), "n_a", "n_b").where(100 * F.col("common") >= p.similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    round_no = 0
+    posted, round_no = lists.count(), 0
     while sets is not None:
-        rooted = lists.join(roots, "node")
-        open_lists = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(round_no))).alias("hub")).where("low <> high")
+        rooted = lists.join(roots, "node").persist()
+        # First the node that most postings meet, likely the text that others are copies of; then, in each list, another one.
+        hub = F.max_by("node", F.struct("pull", "node")) if not round_no else F.min_by("node", F.xxhash64("node", "key", F.lit(round_no)))
+        open_lists = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), hub.alias("hub")).where("low <> high")
         # Pairs across components: half of size^2 less the squares of the components' parts.
         parts = rooted.groupBy("key", "root").agg(F.count("*").alias("part")).groupBy("key").agg(((F.pow(F.sum("part"), 2) - F.sum(F.col("part") * F.col("part"))) / 2).alias("pairs"))
         left = parts.agg(F.sum("pairs"), F.sum(F.lit(1))).first()[0] or 0
         if not left:
             break
-        last = round_no >= p.rounds or left <= 100_000
+        last = round_no >= p.rounds or left <= posted
         if last:
-            one, two = rooted.alias("one"), rooted.alias("two")
-            pairs = one.join(two, "key").where(F.col("one.root") < F.col("two.root")).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
+            pairs = across(rooted, sets, p)
         else:
-            pairs = rooted.join(open_lists.select("key", "hub"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            hubs = open_lists.select("key", "hub").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
+            pairs = rooted.join(hubs, "key").where("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         joined = linked(pairs).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
         moved = components(joined.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b"))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        rooted.unpersist()
         round_no += 1
         if last:
             break
@@ -165,3 +205,21 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
     of_node = named.join(least, "root").select("node", "component_id")
     out = docs.select("row_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("row_id")).otherwise(F.col("component_id")))
     return out.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows, all columns, whose id is the smallest of its component; of rows that share such an id one stays.
+
+    Rows without an id stay only if nothing is like them.
+    """
+    kept = near_duplicates(df, p, id_col, text_col).where("kept")
+    ids = saved(kept.groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("kept_rows")))
+    wanted = ids.select("kept_id")
+    rows = df.join(F.broadcast(wanted) if ids.count() <= p.broadcast_nodes else wanted, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    again = ids.where("kept_rows > 1").select("kept_id")
+    # Usually no id has two rows, and then no text is moved.
+    if again.isEmpty():
+        return rows
+    single = rows.join(again, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_anti")
+    shared = rows.join(again, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    return single.unionByName(shared.dropDuplicates([id_col]))
