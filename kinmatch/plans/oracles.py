@@ -86,7 +86,7 @@ SELECT a, b, round(100.0 * least(2, CASE WHEN x[1] = y[2] THEN 1 + (CASE WHEN st
                         WHEN starts_with(x[2], y[2]) OR starts_with(y[2], x[2]) THEN 1 ELSE 0 END) END) / 2, 6) AS overlap,
        CASE WHEN substr(x[1], 1, 1) || substr(x[2], 1, 1) = substr(b, 1, 1) || substr(string_split(b, ' ')[2], 1, 1) THEN 100.0 ELSE 0.0 END AS acronym FROM s""",
     "time_epochs": """
-SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE epoch_ms(date_trunc('minute', ts)) - 10800000 END AS epoch_ms, epoch_ms(date_trunc('day', ts)) AS date_ms,
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -1 ELSE epoch_ms(date_trunc('minute', ts)) - 10800000 END AS epoch_ms, epoch_ms(date_trunc('day', ts)) AS date_ms,
        strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d') AS next_day, strftime(ts - INTERVAL 1 DAY, '%Y-%m-%d') AS day_before FROM events""",
     "time_rollover": "SELECT o_orderkey, epoch_ms(date_trunc('month', o_orderdate) + INTERVAL 30 DAY) AS date_ms FROM orders",
     "time_compare": """

@@ -156,7 +156,7 @@ def similarity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     date, time = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm")
     bad = F.when(F.col("event_id") % 7 == 0, F.lit("25:00")).otherwise(time)
-    return table(spark, sf_dir, "events").select("event_id", timeutil.epoch_ms(date, bad).alias("epoch_ms"), timeutil.date_ms(date).alias("date_ms"), timeutil.shifted_day(date, 1).alias("next_day"), timeutil.shifted_day(date, -1).alias("day_before"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(timeutil.epoch_ms(date, bad), F.lit(-1)).alias("epoch_ms"), timeutil.date_ms(date).alias("date_ms"), timeutil.shifted_day(date, 1).alias("next_day"), timeutil.shifted_day(date, -1).alias("day_before"))
 
 
 def time_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
