@@ -12,7 +12,7 @@ _NAMED = {"&quot;": '"', "&apos;": "'", "&amp;": "&", "&lt;": "<", "&gt;": ">",
 def _char(code: Column) -> Column:
     """The character of a code point, "" if it is not one."""
     ok = code.between(0, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(F.lit(""))
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "utf-32")).otherwise(F.lit(""))
 
 
 def decode_entities(c: Column) -> Column:
