@@ -10,24 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm.text import Chunk, chunks
+from kinmatch.operators.graph import saved
+
+__all__ = ["map_texts", "saved", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFrame:
-    """df, computed once and cut from its lineage, in the folder all executors share.
-
-    The folder is spark.checkpoint.dir of the session. Only where that is unset, as in
-    tests, a local one is set.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", fallback))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFrame:
     """df as Parquet in a new folder under spark.checkpoint.dir, read again."""
     path = f"{df.sparkSession.conf.get('spark.checkpoint.dir', fallback)}/{name}-{uuid.uuid4().hex}"

@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import map_texts, saved
-from kinmatch.llm.components import components
 from kinmatch.llm.text import Chunk, lowered, mix
+from kinmatch.operators.graph import components
 
 _rng = np.random.default_rng(7)
 _XOR, _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64), _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
