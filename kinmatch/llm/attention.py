@@ -65,7 +65,9 @@ class Attention:
         """rows: (blocks, block) of input rows; opens: blocks without one before. Logits and what backward needs."""
         w, d = self.w, self.shape.dim
         x = w["e"][rows]
-        q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
+        # Flat products: one large one instead of one for each block.
+        times = lambda y, m: (y.reshape(-1, y.shape[-1]) @ m).reshape(*y.shape[:-1], m.shape[1])
+        q, k, v = np.split(times(x, np.concatenate([w["q"], w["k"], w["v"]], axis=1)), 3, axis=2)
         keys, values = (np.concatenate([np.concatenate([np.zeros_like(y[:1]), y[:-1]]), y], axis=1) for y in (k, v))
         s = q @ keys.transpose(0, 2, 1)
         s *= np.float32(d**-0.5)
@@ -74,8 +76,10 @@ class Attention:
         np.exp(s, out=s)
         s /= s.sum(2, keepdims=True)
         z = s @ values
-        h = x + z @ w["o"]
-        return h @ w["u"] + w["c"], (x, q, keys, values, s, z, h)
+        h = x + times(z, w["o"])
+        logits = times(h, w["u"])
+        logits += w["c"]
+        return logits, (x, q, keys, values, s, z, h)
 
     def _step(self, rows: np.ndarray, opens: np.ndarray, klass: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss and gradients over the real positions."""
@@ -147,6 +151,11 @@ class Attention:
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text; ids: those of the texts with their ends, one after another."""
+        sums, ends = np.concatenate([[0], np.cumsum(self.logs(ids, sizes))]), np.cumsum(sizes)
+        return (sums[ends] - sums[ends - sizes]) / np.log(10)
+
+    def logs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Natural log probability of each id, given those before it in its text."""
         at, rows, opens = self._padded(ids, sizes)
         out, klass = np.zeros(rows.size, np.float32), np.zeros(rows.size, np.int64)
         klass[at] = self.klass[ids]
@@ -161,7 +170,4 @@ class Attention:
             top = np.take_along_axis(logits, klass[lo : lo + 256, :, None], 2)[..., 0]
             np.exp(logits, out=logits)
             out[lo * b : (lo + 256) * b] = (top - np.log(logits.sum(2))).reshape(-1)
-        each = out[at].astype(np.float64) + self.within[ids]
-        sums = np.concatenate([[0], np.cumsum(each)])
-        ends = np.cumsum(sizes)
-        return (sums[ends] - sums[ends - sizes]) / np.log(10)
+        return out[at].astype(np.float64) + self.within[ids]

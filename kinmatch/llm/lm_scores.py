@@ -4,8 +4,10 @@
    hash. The counts stay a table; only the commonest words, at most `common`, are broadcast.
 2. The attention model is trained on a bounded sample of the training texts (`sample` of them,
    the first by md5(id)).
-3. Every whole text is scored in one pass: the attention model over its subwords, the base score
-   of its common words, and a list of the rest, which meets the counts in a join.
+3. Every whole text is scored in one pass: the attention model over its subwords, mixed word by
+   word with the counted probability of common words (none for rarer ones, so that all
+   probabilities add up to at most one); the base score of its common words; and a list of the
+   rest, which meets the counts in a join.
 
 Words are told apart by 64-bit hashes. Defined results: a null or empty text is its end alone; a
 null id is hashed as an empty text; without training texts all counts are 0 and N is 0; repeated
@@ -30,17 +32,20 @@ from kinmatch.llm.text import Chunk, chunks, lowered
 
 #: The key of the end of a text among the word hashes.
 END = 0
-CACHE_WORDS, CACHE_KEPT = 300_000, 100_000
+#: Words whose subwords are remembered; then all are forgotten.
+CACHE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
 class Scoring:
     common: int = 1 << 18
-    sample: int = 1500
+    sample: int = 4000
     steps: int = 1500
     dim: int = 16
-    classes: int = 512
+    classes: int = 160
     block: int = 4
+    #: Of the attention model in a word's probability; the rest is that of the counted words.
+    share: float = 0.5
     #: Counts merged in a task before they are sent on.
     merge: int = 3_000_000
 
@@ -54,50 +59,64 @@ def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
 class Subwords:
     """The subword ids of words, each with a space before it; the commonest stay in a table."""
 
-    def __init__(self, path: str, pattern: str):
-        self.encoding = tokenizer(path, pattern)
+    def __init__(self, path: str, pattern: str, n_common: int = 0):
+        self.encoding, self.n_common = tokenizer(path, pattern), n_common
         self.size = self.encoding.n_vocab
-        self._reset([], [])
-
-    def _reset(self, words: list[bytes], ids: list[list[int]]) -> None:
-        self.at = {w: k for k, w in enumerate(words)}
-        self.lists = ids
-        self._table()
-
-    def _table(self) -> None:
-        self.sizes = np.array([len(x) for x in self.lists], np.int64)
-        self.flat = np.fromiter((y for x in self.lists for y in x), np.int64, int(self.sizes.sum()))
-        self.starts = np.cumsum(self.sizes) - self.sizes
-
-    def __call__(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, an end (id `size`) after each, and how many each text has."""
-        words = c.data.tobytes()
-        texts = [words[a:b].split() for a, b in zip(c.begin, c.end, strict=True)]
-        every = set().union(*texts)
-        new = every - self.at.keys()
-        if new:
-            if len(self.at) + len(new) > CACHE_WORDS:
-                kept = list(self.at)[:CACHE_KEPT]
-                self._reset(kept, self.lists[: len(kept)])
-                new = every - self.at.keys()
-            grown = list(new)
-            ids = [self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in grown]
-            base = len(self.lists)
-            self.at.update(zip(grown, range(base, base + len(grown)), strict=True))
-            self.lists += ids
-            more = np.array([len(x) for x in ids], np.int64)
-            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(more) - more)
-            self.sizes = np.append(self.sizes, more)
-            self.flat = np.append(self.flat, np.fromiter((y for x in ids for y in x), np.int64, int(more.sum())))
-        n = np.array([len(t) for t in texts], np.int64)
-        index = np.fromiter((self.at[w] for t in texts for w in t), np.int64, int(n.sum()))
+        self._clear()
+        # Tokens never cross a space, and in " a b c" each word begins with the one token that begins with a space.
+        self.opens = np.array([self.encoding.decode_single_token_bytes(k)[:1] == b" " for k in range(self.size)])
+
+    def _clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.sizes = self.starts = self.flat = self.slot = np.zeros(0, np.int64)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(texts)), np.int64)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) == len(words):
+            return ids, np.diff(np.append(first, len(ids)))
+        each = [self.encoding.encode_ordinary(" " + t) for t in texts]
+        return np.array([x for ids in each for x in ids], np.int64), np.array([len(x) for x in each], np.int64)
+
+    def __call__(self, c: Chunk, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, an end (id `size`) after each, how many each text has, and how many each word.
+
+        common: for each word its number among the commonest words, or -1; those are met by number.
+        """
+        if len(self.at) > CACHE_WORDS:
+            self._clear()
+        index = np.full(len(c.starts), -1)
+        if common is not None:
+            if not len(self.slot):
+                self.slot = np.full(self.n_common, -1)
+            numbered = common >= 0
+            index[numbered] = self.slot[common[numbered]]
+        open_ = np.flatnonzero(index < 0)
+        if len(open_):
+            data = c.data.tobytes()
+            words = [data[a:b] for a, b in zip(c.starts[open_].tolist(), c.stops[open_].tolist(), strict=True)]
+            grown = list(dict.fromkeys(w for w in words if w not in self.at))
+            if grown:
+                ids, more = self._encode(grown)
+                base = len(self.sizes)
+                self.at.update(zip(grown, range(base, base + len(grown)), strict=True))
+                self.starts = np.append(self.starts, len(self.flat) + np.cumsum(more) - more)
+                self.sizes = np.append(self.sizes, more)
+                self.flat = np.append(self.flat, ids)
+            index[open_] = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            if common is not None:
+                ours = open_[common[open_] >= 0]
+                self.slot[common[ours]] = index[ours]
+        n = c.n_words
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         per_text = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
         gather = np.arange(int(sizes.sum())) + np.repeat(self.starts[index] - (ends - sizes), sizes)
         out = np.full(len(gather) + c.n, self.size, np.int64)
         out[np.arange(len(gather)) + np.repeat(np.arange(c.n), per_text)] = self.flat[gather]
-        return out, per_text + 1
+        return out, per_text + 1, sizes
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,12 +158,12 @@ def word_counts(texts: DataFrame, merge: int) -> DataFrame:
 class Common:
     """Counts of the commonest words, found by the leading bits of their sorted hashes."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, total: int, distinct: int):
+    def __init__(self, key: np.ndarray, n: np.ndarray, total: int, distinct: int, ends: int):
         order = np.argsort(key)
         self.key, self.n = np.append(key[order], np.uint64(0)), np.append(n[order], 0)
         self.first = np.searchsorted(key[order] >> np.uint64(44), np.arange(1 << 20).astype(np.uint64)).astype(np.int32)
         self.longest = int(np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=1).max()) if len(key) else 0
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.ends = total, distinct, ends
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 for words that are not here."""
@@ -158,6 +177,19 @@ class Common:
             open_ = open_[~same]
         return out
 
+    def mixed(self, lm: Attention, subwords: Subwords, c: Chunk, at: np.ndarray, share: float) -> np.ndarray:
+        """log10 probability of each text: of each word `share` by the attention model, the rest by the counts of common words."""
+        ids, per_text, per_word = subwords(c, at)
+        each = lm.logs(ids, per_text)
+        end = ids == subwords.size
+        word = np.add.reduceat(each[~end], np.cumsum(per_word) - per_word) if len(per_word) else np.zeros(0)
+        counted = lambda n: np.log(10) * self.log10(n)
+        word += np.log(share)
+        here = at >= 0
+        word[here] = np.logaddexp(word[here], np.log(1 - share) + counted(self.n[at[here]]))
+        ends = np.logaddexp(each[end] + np.log(share), np.log(1 - share) + counted(self.ends))
+        return (np.bincount(c.doc, word, c.n) + ends) / np.log(10)
+
     def log10(self, n):
         return np.log10((n + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
@@ -205,14 +237,16 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
     lessons = rows.where("learned")
     counts = saved(word_counts(lessons.select("text"), p.merge))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     key, n, least = commonest(counts, p.common)
     chosen = lessons.select("row_id", F.md5(F.coalesce(F.col("row_id").cast("string"), F.lit(""))).alias("at")).orderBy("at").limit(p.sample).select("row_id").distinct()
     model = train(lessons.join(F.broadcast(chosen), "row_id").orderBy(F.md5(F.coalesce(F.col("row_id").cast("string"), F.lit("")))).select("text").limit(p.sample), path, pattern, p)
     context = df.sparkSession.sparkContext
-    common, shared = context.broadcast(Common(key, n, total, distinct)), context.broadcast(model)
+    common, shared = context.broadcast(Common(key, n, total, distinct, ends)), context.broadcast(model)
 
     def make():
-        table, lm, subwords = common.value, shared.value, Subwords(path, pattern)
+        table, lm = common.value, shared.value
+        subwords = Subwords(path, pattern, len(table.key))
 
         def one(batch: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
             h = np.maximum(c.word_hash, 1)
@@ -221,7 +255,7 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
             base = np.bincount(c.doc[here], table.log10(table.n[at[here]]), c.n)
             known = np.bincount(c.doc[here], minlength=c.n)
             rare = np.concatenate([[0], np.cumsum(np.bincount(c.doc[~here], minlength=c.n))]).astype(np.int32)
-            score = lm.score(*subwords(c))
+            score = table.mixed(lm, subwords, c, at, p.share)
             arrays = [batch.column("row_id"), batch.column("learned"), pa.array(c.n_words + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~here].view(np.int64)))]
             return pa.RecordBatch.from_arrays(arrays, ["row_id", "learned", "n_tokens", "known", "base", "score", "rare"])
 
@@ -234,7 +268,6 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
     scale = F.lit(float(total) + 0.1 * (distinct + 1))
     log10 = lambda c: F.log10((c + 0.1) / scale)
     met = words.join(table, "word", "left").groupBy("at").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * log10(F.coalesce("n", F.lit(0)))).alias("more_base"))
-    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return scored.join(met, "at", "left").select(
         F.col("row_id").alias(id_col), "learned", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + log10(F.lit(float(ends)))).alias("base_score"), "score",
