@@ -14,23 +14,33 @@ def saved(df: DataFrame, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFra
     return df.checkpoint(eager=True)
 
 
-def _ordered(edges: DataFrame) -> DataFrame:
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+#: Edges to a task: few edges in many tasks cost shuffle files and scheduling, not work.
+EDGES_A_TASK = 50_000
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def tasks_for(rows: int, each: int = EDGES_A_TASK) -> int:
+    return 1 + rows // each
+
+
+def _ordered(edges: DataFrame, tasks: int) -> DataFrame:
+    rows = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return rows.coalesce(tasks).distinct()
+
+
+def _stars(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Each node's smallest neighbour (itself included) gets its larger (or all its smaller) neighbours."""
     both = edges.union(edges.select("b", "a")) if large else edges
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     joined = both.join(least, "a")
     moved = joined.where("b > a") if large else joined
     out = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return _ordered(out if large else out.union(least.select("a", F.col("m").alias("b"))))
+    return _ordered(out if large else out.union(least.select("a", F.col("m").alias("b"))), tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge; root is the smallest node of its component. edges: a, b."""
-    now, before = saved(_ordered(edges.select("a", "b"))), None
+    now, before = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while (state := now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()) != before and state[0]:
-        before, now = state, saved(_stars(_stars(now, True), False))
+        tasks = tasks_for(state[0])
+        before, now = state, saved(_stars(_stars(now.coalesce(tasks), True, tasks), False, tasks))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
