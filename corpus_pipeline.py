@@ -8,7 +8,6 @@ is laid out in shards. Each stage handles nulls, empty tables and repeated rows
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinmatch.llm import decontam, mixing, near_dup, sharding, toxicity
 from kinmatch.llm.common import stored, table
