@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.llm.common import map_texts, saved
 from kinmatch.llm.text import Chunk, lowered, mix
-from kinmatch.operators.graph import components
+from kinmatch.operators.graph import components, tasks_for
 
 _rng = np.random.default_rng(7)
 _XOR, _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64), _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -165,7 +165,9 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
         near = near.where(100 * F.least("n_a", "n_b") >= p.similarity * F.greatest("n_a", "n_b"))
         near = near.where(F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= p.matches).select("a", "b", "n_a", "n_b")
         near = saved(near)
-        small = F.broadcast if near.count() <= p.broadcast_nodes else lambda x: x
+        count = near.count()
+        near = near.coalesce(tasks_for(count))
+        small = F.broadcast if count <= p.broadcast_nodes else lambda x: x
         # Only the sets that a pair needs move, to where its second node is.
         mine = sets.drop("bits").withColumnsRenamed({"node": "a", "set": "set_a"}).join(small(near), "a")
         theirs = sets.drop("bits").withColumnsRenamed({"node": "b", "set": "set_b"}).join(small(near.select("b").distinct()), "b", "left_semi")
@@ -174,6 +176,9 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
         return both.select("a", "b", common.alias("common"), "n_a", "n_b").where(100 * F.col("common") >= p.similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
     posted, round_no = lists.count(), 0
+    # Few postings in many tasks cost shuffle files in every round.
+    tasks = tasks_for(posted, 200_000)
+    lists, roots, facts = lists.coalesce(tasks), roots.coalesce(tasks), facts.coalesce(tasks)
     while sets is not None:
         rooted = lists.join(roots, "node").persist()
         # First the node that most postings meet, likely the text that others are copies of; then, in each list, another one.
@@ -194,7 +199,7 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
         joined = linked(pairs).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
         moved = components(joined.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b"))
         moved = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
-        roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        roots = saved(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))).coalesce(tasks)
         rooted.unpersist()
         round_no += 1
         if last:
