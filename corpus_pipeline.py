@@ -1,8 +1,7 @@
 """The corpus pipeline: each stage takes what the one before kept, as Parquet.
 
 Toxic documents go, then all but one of each group of near duplicates, then documents that hold
-benchmark items; then the surplus of sources beyond what the target mix can use goes, and the rest
-is laid out in shards. Each stage handles nulls, empty tables and repeated rows as its operator does.
+benchmark items; what is left, all of it, is placed in the target mix and laid out in shards. Each stage handles nulls, empty tables and repeated rows as its operator does.
 """
 
 from __future__ import annotations
@@ -29,12 +28,12 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents up to the point of the mix at which the first source runs out."""
-    return mixing.mix_sources(docs).where("in_mix").select("row.*")
+    """All documents, and mix_slot: in its order a source that has run out leaves its slots to the others."""
+    return mixing.mix_sources(docs).select("row.*", "mix_slot")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, and shard and slot."""
+    """The columns of documents, mix_slot, shard and slot."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "shard", "slot"))
     return sharding.shard(docs, carry=carry).select(*docs.columns, "shard", "slot")
 

@@ -14,7 +14,9 @@ not change the ranks.
 Defined results: a null source is a source of its own, the empty string; a null id counts as an
 empty one; repeated rows are placed one after another; a source without a weight in `weights`
 gets the smallest quota, one slot; an empty table gives an empty one. in_mix is false from the
-first slot on whose source has run out: up to there the shares hold, later they cannot.
+first slot on whose source has run out: up to there the shares hold, later they cannot. From there
+on the slots of that source stay empty and the others keep theirs, so all rows have a place and
+the shares of the rest, among each other, go on.
 Sources are at most M: M doubles until each can have a slot.
 """
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kinmatch.llm import chat, decontam, lm_scores, mixing, near_dup, quality, sharding, token_counts, toxicity, url_rules
 from kinmatch.llm.queries import URL_RULES
 from kinmatch.llm.text import chunks, lowered
@@ -219,6 +220,18 @@ def test_mix_never_strays_a_block(spark):
     assert mixing.mix_sources(df.limit(0), mix).count() == 0
 
 
+def test_a_tiny_source_does_not_end_the_pipelines_mix(spark):
+    source = F.when(F.col("doc_id") < 3, "tiny").when(F.col("doc_id") < 60_000, "a").otherwise("b")
+    df = spark.range(100_003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).withColumn("source", source)
+    got = corpus_pipeline.mixed(spark, df, "").select("doc_id", "source", "mix_slot").toPandas()
+    assert sorted(got["doc_id"]) == list(range(100_003))
+    # No slot has two sources, and the shares of the others go on after the tiny one.
+    assert (got.groupby("mix_slot")["source"].nunique() == 1).all()
+    order = got.sort_values("mix_slot")["source"].to_numpy()
+    shares = [(part == "a").sum() / np.isin(part, ["a", "b"]).sum() for part in np.array_split(order[:90_000], 9)]
+    assert max(shares) - min(shares) < 0.01
+
+
 # -- 7 --
 
 
