@@ -147,8 +147,8 @@ def across(rooted: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     return one.join(two, fits).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
 
 
-def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: its id, n_shingles, component_id (the smallest id reachable) and kept."""
+def _judged(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
+    """row_id, text_key, n, root (a node of the component, null for an empty set), component_id and kept for each row of df."""
     docs = saved(signatures(df, id_col, text_col, p))
     nodes = docs.where("n > 0").groupBy("node").agg(F.min("row_id").alias("least"), F.first("n").alias("n"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig"))
     nodes = saved(nodes)
@@ -207,24 +207,37 @@ def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id
 
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "component_id")
-    out = docs.select("row_id", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("row_id")).otherwise(F.col("component_id")))
-    return out.select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_node = named.join(least, "root").select("node", "root", "component_id")
+    out = docs.select("row_id", "text_key", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("row_id")).otherwise(F.col("component_id")))
+    return out.select("row_id", "text_key", "n", "root", "component_id", F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of df: its id, n_shingles, component_id (the smallest id reachable) and kept."""
+    return _judged(df, id_col, text_col, p).select(F.col("row_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def one_of_each(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df's rows, all columns, whose id is the smallest of its component; of rows that share such an id one stays.
+    """df's rows, all columns, one of each component: one with its smallest id (without an id, if none has one).
 
-    Rows without an id stay only if nothing is like them.
+    Rows are told apart by id and text. A row without words is like nothing and stays; of several
+    with one id one stays.
     """
-    kept = near_duplicates(df, p, id_col, text_col).where("kept")
-    ids = saved(kept.groupBy(F.col(id_col).alias("kept_id")).agg(F.count("*").alias("kept_rows")))
-    wanted = ids.select("kept_id")
-    rows = df.join(F.broadcast(wanted) if ids.count() <= p.broadcast_nodes else wanted, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    again = ids.where("kept_rows > 1").select("kept_id")
-    # Usually no id has two rows, and then no text is moved.
+    kept = _judged(df, id_col, text_col, p).where("kept")
+    counted = kept.groupBy("root", "row_id", "text_key", (F.col("n") == 0).alias("blank")).agg(F.count("*").alias("kept_rows"))
+    # Rows without words and id are all wanted: nothing says that two of them are one.
+    loose = F.col("blank") & F.col("row_id").isNull()
+    best = F.min(F.struct("text_key", "kept_rows")).alias("best")
+    one = counted.where(~loose).groupBy("root", "row_id").agg(best).select("row_id", "best.*", F.lit(False).alias("loose"))
+    ids = saved(one.unionByName(counted.where(loose).select("row_id", "text_key", "kept_rows", F.lit(True).alias("loose"))))
+    ids = ids.withColumnsRenamed({"row_id": "kept_id", "text_key": "kept_key"})
+    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("kept_key"))
+    wanted = ids.select("kept_id", "kept_key")
+    rows = df.join(F.broadcast(wanted) if ids.count() <= p.broadcast_nodes else wanted, same, "left_semi")
+    again = ids.where("kept_rows > 1 and not loose").select("kept_id", "kept_key")
+    # Usually no id and text has two rows, and then no text is moved.
     if again.isEmpty():
         return rows
-    single = rows.join(again, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_anti")
-    shared = rows.join(again, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return single.unionByName(shared.dropDuplicates([id_col]))
+    single, shared = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
+    key = "kept key of " + text_col
+    return single.unionByName(shared.withColumn(key, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, key]).drop(key))

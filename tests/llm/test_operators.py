@@ -289,6 +289,15 @@ def test_one_of_each_keeps_one_row(spark):
     assert near_dup.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_one_row_for_each_component(spark):
+    a, b, c, d = (prose(60, 3000 + k) for k in range(4))
+    # Rows without an id: a is near nothing, b is there twice, c is a copy of one with an id; d shares its id with another text.
+    rows = [(None, a), (None, b), (None, b + " "), (None, c), (7, c), (8, d), (8, prose(60, 3009)), (9, "x " + d), (9, prose(60, 3010)), (None, None), (None, " "), (None, None)]
+    got = near_dup.one_of_each(documents(spark, rows)).collect()
+    left = Counter((r.doc_id, (r.text or "").strip()) for r in got)
+    assert left == Counter([(None, a), (None, b), (7, c), (8, d), (8, prose(60, 3009)), (9, prose(60, 3010)), (None, ""), (None, ""), (None, "")])
+
+
 # -- 8 --
 
 
