@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval, confirmed by common subsequences.
 
 1. Every document is counted once for each of its hashed words (2**18 counters): the IDF.
-2. Benchmark items are cut into passages of at most 48 words. A randomised SVD of their TF-IDF
-   matrix gives the latent space: partitions of passages multiply the sketch by their part of
-   A'A, the parts are added up by feature block, and the driver orthonormalises the bounded
-   (features x rank) sketch, for a few power iterations.
+2. Benchmark items are cut into passages of at most 48 words, and these into slabs of at most
+   `rank`. A randomised SVD of each slab's TF-IDF matrix gives its latent space: the driver
+   multiplies the bounded (features x rank) sketch by A'A and orthonormalises it, for a few power
+   iterations. Slabs share the scans of the documents, as many in each as memory allows.
 3. Windows of 64 words, 16 apart, of every whole document are folded in. Vectors are linear in
    tf, so each block of 16 words is projected once and a window is the sum of four. Its norm is
    taken word by word (repeats add up less), a difference of running sums, and so is what it has
@@ -15,8 +15,8 @@
    or `possible` of them and, as in a paraphrase, the answer too: `answer_share` of the passage's
    rarest words are in the window.
 
-With rank at least the number of passages the space holds all of them, so no cosine is lost; with
-more passages, recall is that of the truncated space.
+A slab's space has a dimension for each of its passages, so it holds all of them and no cosine is
+lost, however many passages there are.
 
 Defined results: null, empty and short texts have no leak unless they hold a passage; items of
 fewer than `min_words` words, null ones too, cannot be told from chance and are skipped; repeated
@@ -25,12 +25,11 @@ rows are judged alike; an empty benchmark or table gives no leaks; other columns
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +38,8 @@ from kinmatch.llm.common import map_texts
 from kinmatch.llm.text import Chunk, chunks, folded
 
 BUCKETS = 1 << 18
-#: Features of the latent space at most, and rows of the sketch summed in one piece.
-FEATURES, BLOCK = 1 << 16, 1024
+#: Features of the latent space at most.
+FEATURES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -58,8 +57,8 @@ class Decontam:
     possible: float = 0.6
     answer_words: int = 5
     answer_share: float = 0.8
-    #: Passages in one index: documents are scanned once for each slab.
-    slab: int = 20_000
+    #: Passages in one scan of the documents, about: their indexes are held by each task.
+    scan: int = 4096
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
@@ -122,44 +121,20 @@ def _features(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (w % np.uint64(FEATURES)).astype(np.int64), weight / max(1e-9, np.linalg.norm(weight))
 
 
-def latent_space(parts: DataFrame, used: np.ndarray, idf: np.ndarray, p: Decontam) -> np.ndarray:
-    """Right singular vectors (used features x rank) of the passages' TF-IDF matrix."""
-    spark = parts.sparkSession
-    rank = p.rank
-    basis = np.random.default_rng(11).standard_normal((len(used), rank)).astype(np.float32)
-    shared_idf, shared_used = spark.sparkContext.broadcast(idf), spark.sparkContext.broadcast(used)
-    for turn in range(p.power + 1):
-        shared = spark.sparkContext.broadcast(basis)
-
-        def multiply(frames, shared=shared):
-            total: dict[int, np.ndarray] = {}
-            for frame in frames:
-                for words in frame["words"]:
-                    f, w = _features(np.asarray(words, np.int64).view(np.uint64), shared_idf.value)
-                    f = np.searchsorted(shared_used.value, f)
-                    row = w @ shared.value[f]
-                    for k, x in zip(f.tolist(), w.tolist(), strict=True):
-                        block = total.setdefault(k // BLOCK, np.zeros((BLOCK, rank)))
-                        block[k % BLOCK] += x * row
-            yield pd.DataFrame({"block": list(total), "sums": [x.astype(np.float32).tobytes() for x in total.values()]})
-
-        def add(key, frame):
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["sums"])
-            return pd.DataFrame({"block": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
-
-        sums = parts.mapInPandas(multiply, "block int, sums binary").groupBy("block").applyInPandas(add, "block int, sums binary")
-        product = np.zeros((-(-len(used) // BLOCK) * BLOCK, rank))
-        for r in sums.collect():
-            product[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums, np.float32).reshape(BLOCK, rank)
-        product = product[: len(used)]
-        if turn == p.power:
-            # basis' A'A basis: its eigenvectors turn the basis into singular vectors.
-            values, turn_by = np.linalg.eigh(basis.T.astype(np.float64) @ product)
-            keep = values > max(1e-6 * values.max(), 1e-12)
-            return (basis @ turn_by[:, keep]).astype(np.float32)
-        basis = np.linalg.qr(product)[0].astype(np.float32)
-        rank = basis.shape[1]
-    raise AssertionError
+def latent_space(words: list[np.ndarray], used: np.ndarray, idf: np.ndarray, p: Decontam) -> np.ndarray:
+    """Right singular vectors (used features x rank) of the TF-IDF matrix of at most `rank` passages."""
+    a = np.zeros((len(words), len(used)))
+    for k, w in enumerate(words):
+        f, x = _features(w, idf)
+        np.add.at(a[k], np.searchsorted(used, f), x)
+    basis = np.random.default_rng(11).standard_normal((len(used), p.rank))
+    for _ in range(p.power):
+        basis = np.linalg.qr(a.T @ (a @ basis))[0]
+    # basis' A'A basis: its eigenvectors turn the basis into singular vectors.
+    seen = a @ basis
+    values, turn_by = np.linalg.eigh(seen.T @ seen)
+    keep = values > max(1e-6 * values.max(), 1e-12)
+    return (basis @ turn_by[:, keep]).astype(np.float32)
 
 
 class Index:
@@ -283,26 +258,42 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~left).astype(np.int64)
 
 
-def build_indexes(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index]:
-    """One for each slab of at most about `slab` passages, so that what a task holds stays bounded."""
+def scans(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Iterator[list[Index]]:
+    """The indexes of one scan after another; each index has at most `rank` passages, so that its space holds them all."""
     parts = passages(benchmark, item_col, item_text, p)
-    slabs = -(-parts.count() // p.slab)
-    idf = idf_of(document_frequency(df, text_col)) if slabs else None
-    out = []
-    for k in range(slabs):
-        slab = parts.where(F.pmod(F.xxhash64("words"), F.lit(slabs)) == k) if slabs > 1 else parts
-        if rows := slab.collect():
-            words = [np.array(r.words, np.int64).view(np.uint64) for r in rows]
+    n = -(-parts.count() // p.scan)
+    idf = idf_of(document_frequency(df, text_col)) if n else None
+    for k in range(n):
+        rows = (parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k) if n > 1 else parts).collect()
+        out = []
+        for at in np.array_split(np.arange(len(rows)), -(-len(rows) // p.rank)) if rows else []:
+            words = [np.array(rows[i].words, np.int64).view(np.uint64) for i in at]
             used = np.unique((np.concatenate(words) % np.uint64(FEATURES)).astype(np.int64))
-            out.append(Index([r.item_id for r in rows], words, idf, used, latent_space(slab, used, idf, p), p))
-    return out
+            out.append(Index([rows[i].item_id for i in at], words, idf, used, latent_space(words, used, idf, p), p))
+        if out:
+            yield out
+
+
+def build_indexes(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index]:
+    """The indexes of all scans."""
+    return [index for scan in scans(df, benchmark, p, text_col, item_col, item_text) for index in scan]
+
+
+def _all_leaks(scan: list[Index], c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the indexes of a scan find, passages numbered through."""
+    found, before = [], 0
+    for index in scan:
+        doc, q, share, cosine = index.leaks(c)
+        found.append((doc, q + before, share, cosine))
+        before += len(index.items)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _each(df: DataFrame, text_col: str, index: Index, schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(index)
+def _each(df: DataFrame, text_col: str, scan: list[Index], schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(scan)
 
     def make():
-        return lambda rows, c: out(rows, c, shared.value.leaks(c))
+        return lambda rows, c: out(rows, c, _all_leaks(shared.value, c))
 
     return map_texts(df, text_col, make, schema, through=folded)
 
@@ -321,8 +312,9 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     found = df.sparkSession.createDataFrame([], schema)
-    for index in build_indexes(df, benchmark, p, text_col, item_col, item_text):
-        found = found.union(_each(rows, "text", index, schema, partial(out, pa.array(index.items))))
+    for scan in scans(df, benchmark, p, text_col, item_col, item_text):
+        items = pa.array([item for index in scan for item in index.items])
+        found = found.union(_each(rows, "text", scan, schema, partial(out, items)))
     return found.groupBy("row_id", "item").agg(F.max("lcs_share").alias("lcs_share"), F.max("cosine").alias("cosine")).toDF(*names, "lcs_share", "cosine")
 
 
@@ -334,6 +326,6 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(),
         return rows.filter(pa.array(keep))
 
     clean = df
-    for index in build_indexes(df, benchmark, p, text_col, item_col, item_text):
-        clean = _each(clean, text_col, index, df.schema, out)
+    for scan in scans(df, benchmark, p, text_col, item_col, item_text):
+        clean = _each(clean, text_col, scan, df.schema, out)
     return clean

@@ -394,6 +394,17 @@ def test_latent_space_keeps_all_cosines(spark):
     assert np.allclose(np.linalg.norm(index.latent, axis=1), 1, atol=1e-3)
 
 
+def test_more_passages_than_rank_are_all_found(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(20_000)}" for _ in range(n))
+    items = [(k, text(30)) for k in range(300)]
+    rows = [(k, f"{text(60)} {items[k][1]} {text(60)}") for k in range(300)] + [(k, text(150)) for k in range(300, 350)]
+    df, benchmark = documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    for p in (decontam.Decontam(rank=32), decontam.Decontam(rank=32, scan=100)):
+        assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, benchmark, p).collect()} == {(k, k) for k in range(300)}
+    assert {x.doc_id for x in decontam.without_leaks(df, benchmark, p).collect()} == set(range(300, 350))
+
+
 def test_queries_are_registered_and_hashes_agree():
     from kinmatch.llm.queries import QUERIES
 
