@@ -9,17 +9,22 @@
    tf, so each block of 16 words is projected once and a window is the sum of four. Its norm is
    taken word by word (repeats add up less), a difference of running sums, and so is what it has
    of common and of rarer benchmark words, which bounds its cosine with any passage that repeats
-   words no more than the passages do. Windows within reach of `min_cosine` are compared with all
-   passages in slabs (the benchmark is the stated query set).
+   words no more than the passages do, and tells whether it can hold `sure` of a passage's words.
+   Windows within reach are compared with all passages in slabs (the benchmark is the stated
+   query set). A candidate has a cosine of `min_cosine`, or a product with the passage that is no
+   less than that of `sure` of the passage's words, its lightest ones: other words in the window
+   thin out a short passage's cosine, but do not take from that product.
 4. A candidate is a leak if the longest common subsequence holds `sure` of the passage's words,
-   or `possible` of them and, as in a paraphrase, the answer too: `answer_share` of the passage's
-   rarest words are in the window.
+   or, with a cosine of `min_cosine`, `possible` of them and, as in a paraphrase, the answer too:
+   `answer_share` of the passage's rarest words are in the window.
+5. Items of fewer than `min_words` words are too short for a share of their words to tell much;
+   they are matched exactly, as runs of words.
 
 A slab's space has a dimension for each of its passages, so it holds all of them and no cosine is
 lost, however many passages there are.
 
-Defined results: null, empty and short texts have no leak unless they hold a passage; items of
-fewer than `min_words` words, null ones too, cannot be told from chance and are skipped; repeated
+Defined results: null, empty and short texts have no leak unless they hold a passage; null items
+and those without words hold nothing and are in no text; the cosine of an exact run is 1; repeated
 rows are judged alike; an empty benchmark or table gives no leaks; other columns are not read.
 """
 
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.common import map_texts
-from kinmatch.llm.text import Chunk, chunks, folded
+from kinmatch.llm.text import Chunk, chunks, folded, run_hash
 
 BUCKETS = 1 << 18
 #: Features of the latent space at most.
@@ -93,25 +98,24 @@ def idf_of(counts: np.ndarray) -> np.ndarray:
 def cut(c: Chunk, d: int, p: Decontam) -> list[np.ndarray]:
     """The passages of a text as word hashes: as few even cuts as keep to the length."""
     words = c.word_hash[c.first[d] : c.first[d + 1]]
-    if len(words) < p.min_words:
-        return []
-    return np.array_split(words, -(-len(words) // p.passage))
+    return np.array_split(words, -(-len(words) // p.passage)) if len(words) else []
 
 
 def passages(benchmark: DataFrame, id_col: str, text_col: str, p: Decontam) -> DataFrame:
-    """item_id, words array<bigint> (hashes)."""
+    """item_id, words array<bigint> (hashes), short (is the item matched exactly)."""
 
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column("text"), folded):
-                got = [(c.rows.start + d, w) for d in range(c.n) for w in cut(c, d, p)]
+                got = [(d, w) for d in range(c.n) for w in cut(c, d, p)]
                 if got:
-                    ids = batch.column("item_id").take(pa.array([d for d, _ in got]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([w.view(np.int64) for _, w in got], pa.list_(pa.int64()))], ["item_id", "words"])
+                    ids = batch.column("item_id").take(pa.array([c.rows.start + d for d, _ in got]))
+                    short = pa.array([bool(c.n_words[d] < p.min_words) for d, _ in got])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([w.view(np.int64) for _, w in got], pa.list_(pa.int64())), short], ["item_id", "words", "short"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"item_id {kind}, words array<bigint>")
+    return rows.mapInArrow(run, f"item_id {kind}, words array<bigint>, short boolean")
 
 
 def _features(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,6 +158,7 @@ class Index:
         self.flags = np.zeros(BUCKETS, bool)
         self.flags[bucket(self.vocabulary)] = True
         latent, self.most_common, self.repeats = [], 0.0, 1.0
+        product, least, least_rare = (np.zeros(len(words)) for _ in range(3))
         rare = np.zeros((len(words), p.answer_words), np.int32)
         for k, w in enumerate(words):
             f, x = _features(w, idf)
@@ -164,7 +169,17 @@ class Index:
             self.most_common = max(self.most_common, np.sqrt(mass[idf[bucket(once)] < p.common_idf].sum() / mass.sum()))
             order = np.lexsort((once, -idf[bucket(once)]))[: p.answer_words]
             rare[k] = np.resize(np.searchsorted(self.vocabulary, once[order]), p.answer_words)
+            # What `sure` of the words, the lightest, have at least of the product and of the window's mass, in all and in rarer words.
+            each, need = idf[bucket(once)].astype(np.float64) ** 2, int(np.ceil(p.sure * len(w) - 1e-9))
+            product[k] = np.sort(np.repeat(n * each, n))[:need].sum() / np.sqrt(mass.sum())
+            least[k] = np.sort(np.repeat(each, n))[:need].sum()
+            of_rare = np.sort(np.repeat(each, n)[np.repeat(idf[bucket(once)] >= p.common_idf, n)])
+            least_rare[k] = of_rare[: max(0, need - (len(w) - len(of_rare)))].sum()
         self.latent, self.rare = np.array(latent, np.float32), rare
+        # Less a little for what small singular values and single precision take away.
+        self.product = (0.97 * product).astype(np.float32)
+        order = np.argsort(least_rare)
+        self.least_rare, self.least = 0.999 * least_rare[order], 0.999 * np.minimum.accumulate(least[order])
 
     def leaks(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, passage, share of the passage in common, cosine of every confirmed window."""
@@ -182,10 +197,11 @@ class Index:
             latent = self._blocks(c, word, block[near])
             for k in np.array_split(near, -(-len(near) // 4096)) if len(near) else []:
                 vectors = sum(latent[block[k] + j] for j in range(p.window // p.stride))
-                cosine = vectors @ self.latent.T / norm[k, None]
-                w, q = np.nonzero(cosine >= p.min_cosine)
+                product = vectors @ self.latent.T
+                cosine = product / norm[k, None]
+                w, q = np.nonzero((cosine >= p.min_cosine) | (product >= self.product))
                 if len(w):
-                    found, share = self._confirm(word, start[k[w]], stop[k[w]], q)
+                    found, share = self._confirm(word, start[k[w]], stop[k[w]], q, cosine[w, q])
                     out.append((doc[k[w[found]]], q[found], share[found], cosine[w[found], q[found]].astype(np.float64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -206,7 +222,10 @@ class Index:
         # The largest product with a unit vector of which at most the part a is in common words.
         bound = np.where(np.sqrt(np.maximum(0, c2)) <= a * both, both, a * np.sqrt(np.maximum(0, c2)) + np.sqrt(1 - a * a) * np.sqrt(np.maximum(0, r2)))
         norm = np.sqrt(np.maximum(n2, 1e-12))
-        return doc, start, stop, block, np.flatnonzero(bound * self.repeats >= p.min_cosine * norm), norm.astype(np.float32)
+        # Of the passages whose rarer words the window can hold, the one of least mass; 1e-6 for the running sums.
+        k = np.searchsorted(self.least_rare, r2 + 1e-6, side="right") - 1
+        whole = (k >= 0) & (c2 + r2 + 1e-6 >= self.least[np.maximum(k, 0)])
+        return doc, start, stop, block, np.flatnonzero(whole | (bound * self.repeats >= p.min_cosine * norm)), norm.astype(np.float32)
 
     def _first_block(self, c: Chunk) -> np.ndarray:
         """Blocks of `stride` words, with empty ones after each text so that no window leaves it."""
@@ -232,7 +251,7 @@ class Index:
             out[used[s]] = self.rows[ids].sum(1)  # the last row, of no word, is 0
         return out
 
-    def _confirm(self, word: np.ndarray, start: np.ndarray, stop: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _confirm(self, word: np.ndarray, start: np.ndarray, stop: np.ndarray, q: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.p
         share, answer = np.zeros(len(q)), np.zeros(len(q))
         for a in range(0, len(q), 2048):
@@ -241,7 +260,34 @@ class Index:
             text = np.where(grid < stop[s, None], word[np.minimum(grid, len(word) - 1)], np.int32(-1))
             share[s] = common_subsequence(self.words[q[s]], text) / self.size[q[s]]
             answer[s] = (self.rare[q[s]][:, :, None] == text[:, None, :]).any(2).mean(1)
-        return (share >= p.sure) | ((share >= p.possible) & (answer >= p.answer_share)), share
+        return (share >= p.sure) | ((share >= p.possible) & (answer >= p.answer_share) & (cosine >= p.min_cosine)), share
+
+
+class Runs:
+    """Short items, found as runs of words."""
+
+    def __init__(self, items: list, words: list[np.ndarray]):
+        self.items, self.keys = [], {}
+        for n in sorted({len(w) for w in words}):
+            # The hash that grams() gives the same run in a text.
+            some = [(run_hash(w), item) for w, item in zip(words, items, strict=True) if len(w) == n]
+            key = np.array([k for k, _ in some], np.uint64)
+            order = np.argsort(key, kind="stable")
+            self.keys[n] = key[order], len(self.items)
+            self.items += [some[k][1] for k in order]
+
+    def leaks(self, c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item, 1 and 1 for every run that is an item."""
+        out = [(np.zeros(0, np.int64),) * 2]
+        for n, (keys, before) in self.keys.items():
+            run, doc = c.grams(n)
+            low, high = np.searchsorted(keys, run), np.searchsorted(keys, run, side="right")
+            at = np.flatnonzero(high > low)
+            times = (high - low)[at]
+            nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            out.append((np.repeat(doc[at], times), before + np.repeat(low[at], times) + nth))
+        doc, q = (np.concatenate(x) for x in zip(*out, strict=True))
+        return doc, q, np.ones(len(q)), np.ones(len(q))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,28 +304,32 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~left).astype(np.int64)
 
 
-def scans(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Iterator[list[Index]]:
+def scans(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Iterator[list[Index | Runs]]:
     """The indexes of one scan after another; each index has at most `rank` passages, so that its space holds them all."""
     parts = passages(benchmark, item_col, item_text, p)
     n = -(-parts.count() // p.scan)
     idf = idf_of(document_frequency(df, text_col)) if n else None
     for k in range(n):
         rows = (parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k) if n > 1 else parts).collect()
+        items, words = [r.item_id for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows]
+        short, long = ([i for i, r in enumerate(rows) if r.short == kind] for kind in (True, False))
         out = []
-        for at in np.array_split(np.arange(len(rows)), -(-len(rows) // p.rank)) if rows else []:
-            words = [np.array(rows[i].words, np.int64).view(np.uint64) for i in at]
-            used = np.unique((np.concatenate(words) % np.uint64(FEATURES)).astype(np.int64))
-            out.append(Index([rows[i].item_id for i in at], words, idf, used, latent_space(words, used, idf, p), p))
+        for at in np.array_split(np.array(long), -(-len(long) // p.rank)) if long else []:
+            own = [words[i] for i in at]
+            used = np.unique((np.concatenate(own) % np.uint64(FEATURES)).astype(np.int64))
+            out.append(Index([items[i] for i in at], own, idf, used, latent_space(own, used, idf, p), p))
+        if short:
+            out.append(Runs([items[i] for i in short], [words[i] for i in short]))
         if out:
             yield out
 
 
-def build_indexes(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index]:
+def build_indexes(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> list[Index | Runs]:
     """The indexes of all scans."""
     return [index for scan in scans(df, benchmark, p, text_col, item_col, item_text) for index in scan]
 
 
-def _all_leaks(scan: list[Index], c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _all_leaks(scan: list[Index | Runs], c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What the indexes of a scan find, passages numbered through."""
     found, before = [], 0
     for index in scan:
@@ -289,7 +339,7 @@ def _all_leaks(scan: list[Index], c: Chunk) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _each(df: DataFrame, text_col: str, scan: list[Index], schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
+def _each(df: DataFrame, text_col: str, scan: list[Index | Runs], schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(scan)
 
     def make():

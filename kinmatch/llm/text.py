@@ -66,6 +66,11 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def run_hash(words: np.ndarray) -> np.uint64:
+    """The hash that grams() gives a run of these words."""
+    return mix((words * _GRAM[: len(words)]).sum(keepdims=True))[0]
+
+
 @dataclass
 class Chunk:
     """Some whole texts: their bytes one after another, and where each begins and ends."""

@@ -405,6 +405,19 @@ def test_more_passages_than_rank_are_all_found(spark):
     assert {x.doc_id for x in decontam.without_leaks(df, benchmark, p).collect()} == set(range(300, 350))
 
 
+def test_short_items_among_rare_words_are_found(spark):
+    r = random.Random(12)
+    items = [(k, prose(n, 6000 + k)) for k, n in enumerate([8, 9, 10, 12, 15] * 8)] + [(100 + n, " ".join(f"q{n}x{j}" for j in range(n))) for n in range(1, 8)] + [(200, None), (201, " - ")]
+    rare = lambda: " ".join(f"r{r.randrange(1 << 40)}" for _ in range(70))
+    rows = [(k, f"{rare()} {t} {rare()}") for k, t in items if t] + [(1000 + k, prose(60, 8000 + k)) for k in range(200)]
+    rows += [(500, "q3x0 q3x1 and q3x2"), (501, "q2x1 q2x0"), (502, None), (503, "")]
+    df, benchmark = documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.find_leaks(df, benchmark).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(k, k) for k, t in items if t and k != 201}
+    left = {x.doc_id for x in decontam.without_leaks(df, benchmark).collect()}
+    assert left == {k for k, _ in rows} - {k for k, t in items if t and k != 201}
+
+
 def test_queries_are_registered_and_hashes_agree():
     from kinmatch.llm.queries import QUERIES
 
