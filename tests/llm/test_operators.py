@@ -321,6 +321,21 @@ def test_toxic_words_are_restored_and_found(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_toxic_words_are_found_among_other_letters_and_in_long_runs(spark):
+    bad = ["stupid", "idiot", "moron", "clown", "dünn"]
+    plain = ["you", "are", "such", "that", "this", "what", "people"]
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(plain + VOCABULARY) for _ in range(n))
+    rows = [(k, say(30) + (f" {bad[k % 5]} " if k % 3 == 0 else " ") + say(10)) for k in range(720)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(720)], "doc_id bigint, toxic int")
+    model = toxicity.fit(documents(spark, rows), labels)
+    toxic = ["you are a s t u p i d", "such a c l o w n", "y o u i d i o t", "y o u a r e s u c h a s t u p i d p e o p l e a n d t h a t i s w h a t y o u a r e", "stu" + "u" * 60 + "pid",
+             "you-moron", "stu.pid", "stuupid", "d ü n n", "people.that.are.people.that.are.people.that.are.idiot"]
+    clean = ["y o u a r e t h a t", "people.that.are", "p e o p l e " * 12, "youu", "x y"]
+    got = toxicity.score(documents(spark, list(enumerate(f"{say(15)} {x} {say(15)}" for x in toxic + clean))), model).collect()
+    assert {(toxic + clean)[r.doc_id]: r.predicted for r in got} == dict.fromkeys(toxic, 1) | dict.fromkeys(clean, 0)
+
+
 # -- 9 --
 
 
