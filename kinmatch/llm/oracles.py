@@ -25,22 +25,33 @@ tokens AS (
                           lambda w: CASE WHEN regexp_matches(w, '^[0-9]') THEN 'n:' || w[1] ELSE 'p:' || w END),
            list_transform(regexp_extract_all(regexp_replace(coalesce(url, ''), '#.*', '', 's'), '[?&]([^=&]+)', 1), lambda w: 'q:' || w)))) AS items
   FROM judged),
+labelled AS (SELECT page_id, row_number() OVER () AS r, items, given FROM tokens WHERE given IS NOT NULL),
+size AS (SELECT count(*) AS n, count(*) FILTER (given = 'block') AS blocked FROM labelled),
+token AS (
+  SELECT t AS token, count(*) AS n, count(*) FILTER (given = 'block') AS blocked, list(r ORDER BY r) AS urls
+  FROM (SELECT r, given, unnest(items) AS t FROM labelled) GROUP BY t HAVING count(*) >= 0.005 * (SELECT n FROM size)),
+groups AS (
+  SELECT row_number() OVER (ORDER BY abs(g.blocked * (size.n - size.blocked)::DOUBLE - (g.n - g.blocked) * size.blocked::DOUBLE) DESC, members) - 1 AS g, members
+  FROM (SELECT urls, any_value(n) AS n, any_value(blocked) AS blocked, list(token ORDER BY token) AS members FROM token GROUP BY urls) g, size),
+known AS (SELECT unnest(members) AS token, g FROM groups),
+own AS (
+  SELECT page_id, url, given, list_sort(list_distinct(list(g))) AS gs
+  FROM (SELECT page_id, url, given, unnest(items) AS token FROM tokens) JOIN known USING (token) GROUP BY ALL),
+transactions AS (SELECT r, l.given, o.gs[1:12] AS gs FROM labelled l JOIN own o USING (page_id)),
 subsets AS (
-  SELECT page_id, url, coalesce(given, 'allow') AS label,
-         unnest(list_transform(range(1, (1 << len(items))::BIGINT), lambda m: list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS ante
-  FROM tokens WHERE len(items) > 0),
-counted AS (
-  SELECT ante, count(*) AS n, count(*) FILTER (label = 'block') AS block, count(*) FILTER (label = 'allow') AS allow FROM subsets GROUP BY ante),
-least AS (SELECT ceil(0.005 * count(*)) AS k, count(*) AS pages FROM tokens WHERE len(items) > 0),
+  SELECT given, unnest(list_transform(range(1, (1 << len(gs))::BIGINT), lambda m: list_filter(gs, lambda x, i: (m >> (i - 1)) & 1 = 1))) AS ante FROM transactions),
+counted AS (SELECT ante, count(*) AS n, count(*) FILTER (given = 'block') AS block, count(*) FILTER (given = 'allow') AS allow FROM subsets GROUP BY ante),
+good AS (
+  SELECT ante, v.verdict, v.k::DOUBLE / c.n AS confidence, v.k AS support
+  FROM counted c, size, LATERAL (VALUES ('block', block, size.blocked), ('allow', allow, size.n - size.blocked)) v(verdict, k, every)
+  WHERE v.k >= 0.005 * size.n AND v.k::DOUBLE / c.n >= 0.8 AND v.k::DOUBLE / c.n > v.every::DOUBLE / size.n),
 rules AS (
-  SELECT ante, n, v.verdict, v.k::DOUBLE / n AS confidence, v.k AS support
-  FROM counted, least, LATERAL (VALUES ('block', block), ('allow', allow)) v(verdict, k)
-  WHERE v.k >= least.k AND v.k > 0 AND v.k::DOUBLE / n >= 0.8),
+  SELECT * FROM good x WHERE NOT EXISTS (
+    SELECT 1 FROM good y WHERE y.verdict = x.verdict AND y.confidence >= x.confidence AND len(y.ante) = len(x.ante) - 1 AND list_has_all(x.ante, y.ante))),
 fired AS (
-  SELECT t.items, max(struct_pack(confidence := r.confidence, support := r.support, verdict := r.verdict)) AS best
-  FROM (SELECT DISTINCT items FROM tokens WHERE rule IS NULL) t JOIN rules r ON list_has_all(t.items, r.ante) GROUP BY t.items)
-SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.given, f.best.verdict, 'allow') AS verdict
-FROM tokens t LEFT JOIN fired f ON t.items = f.items
+  SELECT o.page_id, max(struct_pack(confidence := r.confidence, support := r.support, verdict := r.verdict)) AS best
+  FROM own o JOIN rules r ON list_has_all(o.gs, r.ante) WHERE o.given IS NULL GROUP BY o.page_id)
+SELECT t.page_id, t.host, t.path, t.rule, coalesce(t.given, f.best.verdict, 'allow') AS verdict FROM tokens t LEFT JOIN fired f USING (page_id)
 """
 
 _SPACE = r"\x20\x09-\x0D"

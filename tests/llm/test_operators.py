@@ -61,7 +61,7 @@ def test_url_rules_and_mined_rules(spark):
     df = spark.createDataFrame([(i, u, "clash") for i, u in urls], "page_id bigint, url string, verdict string")
     got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(df, URL_RULES).collect())
     assert got == Counter({
-        (1, "a.b.example.com", "/en/7x", "example.com/en/7", "allow"): 1, (2, "com", "/en/1", "com/en/", "block"): 1, (3, "xcom", "/en/1", None, "allow"): 1, (4, "", "", None, "allow"): 1,
+        (1, "a.b.example.com", "/en/7x", "example.com/en/7", "allow"): 1, (2, "com", "/en/1", "com/en/", "block"): 1, (3, "xcom", "/en/1", None, "block"): 1, (4, "", "", None, "allow"): 1,
         (5, "", "", None, "allow"): 1, (6, "example.net", "/de/81", "example.net/de/8", "block"): 2, (7, "h:", "//p/q", None, "allow"): 1, (8, "shop.org", "/es", None, "allow"): 1,
     })
     assert url_rules.judge_urls(df.limit(0), URL_RULES).count() == 0
@@ -69,17 +69,41 @@ def test_url_rules_and_mined_rules(spark):
 
 def test_mined_rules_equal_counted_subsets(spark):
     r = random.Random(1)
-    rows = [(sorted(r.sample("abcde", r.randint(1, 4))), r.choice(["block", "allow"])) for _ in range(60)]
-    mining = url_rules.Mining(0.05, 0.6)
-    mined = {(tuple(sorted(x.antecedent)), x.verdict): round(x.confidence, 9) for x in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), mining).collect()}
-    want = {}
+    rows = [(sorted(r.sample(range(5), r.randint(1, 4))), r.choice(["block", "allow"])) for _ in range(60)]
+    mined = url_rules.mine(spark.createDataFrame(rows, "groups array<int>, label string"), url_rules.Mining(0.05, 0.6)).collect()
+    every = {}
     for k in range(1, 5):
-        for ante in itertools.combinations("abcde", k):
+        for ante in itertools.combinations(range(5), k):
             has = [label for t, label in rows if set(ante) <= set(t)]
             for v in ("block", "allow"):
-                if has and has.count(v) >= 0.05 * 60 and has.count(v) / len(has) >= 0.6:
-                    want[ante, v] = round(has.count(v) / len(has), 9)
-    assert mined == want and want
+                share = [label for _, label in rows].count(v) / 60
+                if has and has.count(v) >= 0.05 * 60 and has.count(v) / len(has) >= max(0.6, share + 1e-12):
+                    every[ante, v] = has.count(v) / len(has)
+    want = {(ante, v): round(c, 9) for (ante, v), c in every.items() if not any(every.get((ante[:k] + ante[k + 1 :], v), -1) >= c for k in range(len(ante)))}
+    assert {(tuple(sorted(x.antecedent)), x.verdict): round(x.confidence, 9) for x in mined} == want and want
+    assert url_rules.mine(spark.createDataFrame([], "groups array<int>, label string"), url_rules.Mining()).count() == 0
+
+
+def test_mined_rules_decide_urls_without_a_curated_rule(spark):
+    urls = [f"http://s{k}.example.com/en/{k % 10}/{'good' if k % 10 == 7 else 'bad'}" for k in range(200)]
+    urls += ["http://a.fr/x/good", "http://a.fr/x/bad", "http://a.fr/x/other"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, URL_RULES).collect()}
+    assert [got[k] for k in (200, 201, 202)] == [(None, "allow"), (None, "block"), (None, "allow")]
+    assert sum(v == "allow" for r, v in got.values() if r) == 20
+
+
+def test_long_and_repeated_urls_are_mined_in_bounded_work(spark):
+    long = "http://example.com/en/1/" + "/".join(f"w{k}" for k in range(60))
+    r = random.Random(2)
+    mixed = ["http://example.net/de/" + "/".join(f"v{k}" for k in range(40) if r.random() < 0.8) for _ in range(60)]
+    huge = "http://a.org/" + "z" * 2_000_000
+    rows = [long] * 60 + mixed + [huge, None, "", "http://a.b/w3", "http://a.b/en/7"] + ["http://example.com/en/7"] * 9
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(df, URL_RULES).collect()}
+    assert len(got) == len(rows) and got[0] == ("com/en/", "block") and got[60][1] == "block" and got[120] == (None, "allow")
+    # A word of the repeated URL tells blocked ones; the number of the allowed ones allowed ones.
+    assert got[123] == (None, "block") and got[124] == (None, "allow")
 
 
 # -- 2 --
