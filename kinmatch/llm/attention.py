@@ -1,11 +1,15 @@
-"""A small causal self-attention model over subword ids, trained and run in numpy.
+"""A causal self-attention model over subword ids, trained and run in numpy.
 
 The text's subwords are cut into blocks; a window is a block and the one before, and only the
 window's own block is scored, so windows overlap and each token is scored once, with at least a
 block of context where the text has one. All windows of a chunk run as one batch of masked
-attention. Frequent ids are their own output class, others share classes by frequency, and
-within a class an id has its smoothed share of the class's training count, so the probabilities
-of all ids add up to one.
+attention.
+
+Output in two steps. The class of the next id comes from the attention layer, on top of a direct
+path from the id before, whose table is set from the pair counts of all training texts and not
+trained. Frequent ids are a class of their own, the others share classes by frequency; within
+a class an id has its share of the class's count after the id before, smoothed by its share
+anywhere. So the probabilities of all ids add up to one.
 """
 
 from __future__ import annotations
@@ -18,10 +22,47 @@ import numpy as np
 @dataclass(frozen=True)
 class Shape:
     ids: int  # size of the tokenizer's vocabulary; the end of the text is one id more
-    dim: int = 16
+    dim: int = 32
     block: int = 8
-    classes: int = 128
-    inputs: int = 4096  # ids with an input vector of their own
+    classes: int = 256
+    inputs: int = 2048  # ids with an input vector and pair counts of their own
+    #: Smoothing counts of the class after an id, and of an id within a class after an id.
+    class_smooth: float = 5.0
+    id_smooth: float = 2.0
+
+
+class Numbering:
+    """Ids by frequency: their classes, input rows and columns of pair counts."""
+
+    def __init__(self, shape: Shape, counts: np.ndarray):
+        """counts: of each id in the training texts, the end included."""
+        self.shape = shape
+        order = np.argsort(-counts, kind="stable")
+        self.own = own = shape.classes * 3 // 4
+        klass = np.zeros(shape.ids + 1, np.int64)
+        klass[order[:own]] = np.arange(min(own, len(order)))
+        # Other ids: classes of about equal count.
+        rest = order[own:]
+        mass = np.cumsum(counts[rest] + 0.1)
+        klass[rest] = own + np.minimum(shape.classes - own - 1, mass / mass[-1] * (shape.classes - own) if len(rest) else mass).astype(np.int64)
+        self.klass = klass
+        # Frequent ids, then one for each class of the others; inputs have the beginning of a text besides.
+        self.row = shape.inputs + klass
+        self.row[order[: shape.inputs]] = np.arange(min(shape.inputs, len(order)))
+        self.columns = self.begin = shape.inputs + shape.classes
+        self.klass_of_column = np.concatenate([np.zeros(shape.inputs, np.int64), np.arange(shape.classes)])
+        self.klass_of_column[self.row] = klass
+
+    def before(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The input row of each token of ragged texts: that of the id before it."""
+        out = np.empty(len(ids), np.int64)
+        out[1:] = self.row[ids[:-1]]
+        out[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.begin
+        return out
+
+    def pairs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """row * columns + column of every token with what is before it."""
+        return self.before(ids, sizes) * self.columns + self.row[ids]
 
 
 def blocks_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,28 +76,27 @@ def blocks_of(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Attention:
-    def __init__(self, shape: Shape, counts: np.ndarray, seed: int = 3):
-        """counts: of each id in the training texts, the end included."""
-        self.shape = shape
-        order = np.argsort(-counts, kind="stable")
-        own = shape.classes * 3 // 4
-        klass = np.zeros(shape.ids + 1, np.int64)
-        klass[order[:own]] = np.arange(own)
-        # Other ids: classes of about equal count.
-        rest = order[own:]
-        mass = np.cumsum(counts[rest] + 0.1)
-        klass[rest] = own + np.minimum(shape.classes - own - 1, mass / mass[-1] * (shape.classes - own)).astype(np.int64)
-        self.klass = klass
+    def __init__(self, numbering: Numbering, counts: np.ndarray, pair: np.ndarray, pair_n: np.ndarray, seed: int = 3):
+        """counts: of ids; pair, pair_n: the distinct pairs() of the training texts, sorted, and their counts."""
+        self.numbering, self.shape = numbering, numbering.shape
+        shape, k, columns = self.shape, self.shape.classes, numbering.columns
         smoothed = counts + 0.1
-        self.within = (np.log(smoothed) - np.log(np.bincount(klass, smoothed, shape.classes))[klass]).astype(np.float32)
-        # Inputs: frequent ids, then a vector for each class, then the beginning of a text.
-        self.row = shape.inputs + klass
-        self.row[order[: shape.inputs]] = np.arange(min(shape.inputs, len(order)))
-        self.begin = shape.inputs + shape.classes
+        of_class = np.bincount(numbering.klass, smoothed, k)
+        of_column = np.bincount(numbering.row, smoothed, columns)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.column_share = np.where(of_column > 0, of_column / of_class[numbering.klass_of_column], 0)
+        self.id_share = (smoothed / of_column[numbering.row]).astype(np.float64)
+        row, klass = pair // columns, numbering.klass_of_column[pair % columns]
+        after = np.bincount(row * k + klass, pair_n, (columns + 1) * k).reshape(columns + 1, k)
+        self.after_n = after.astype(np.float32)
+        share = of_class / of_class.sum()
+        self.direct = np.log((after + shape.class_smooth * share) / (after.sum(1, keepdims=True) + shape.class_smooth)).astype(np.float32)
+        # Classes of one id need no counts within them.
+        shared = klass >= numbering.own
+        self.pair, self.pair_n = np.append(pair[shared], np.iinfo(np.int64).max), np.append(pair_n[shared], 0)
         rng, d = np.random.default_rng(seed), shape.dim
-        init = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0] if len(s) > 1 and s[0] == d else 1)).astype(np.float32)
-        share = np.log(np.bincount(klass, smoothed, shape.classes) / smoothed.sum()).astype(np.float32)
-        self.w = {"e": init(self.begin + 1, d), "q": init(d, d), "k": init(d, d), "v": init(d, d), "o": init(d, d), "u": init(d, shape.classes), "r": np.zeros(2 * shape.block, np.float32), "c": share}
+        init = lambda scale, *s: (rng.standard_normal(s) * scale / np.sqrt(s[0] if s[0] == d else 1)).astype(np.float32)
+        self.w = {"e": init(0.3, columns + 1, d), "q": init(0.3, d, d), "k": init(0.3, d, d), "v": init(0.3, d, d), "o": init(0.3, d, d), "u": init(0.03, d, k), "r": np.zeros(2 * shape.block, np.float32), "c": np.zeros(k, np.float32)}
         b = shape.block
         back = np.arange(b)[:, None] + b - np.arange(2 * b)[None, :]  # how far back each key of a window is
         self.back, self.seen = np.maximum(back, 0), back >= 0
@@ -78,6 +118,7 @@ class Attention:
         z = s @ values
         h = x + times(z, w["o"])
         logits = times(h, w["u"])
+        logits += self.direct[rows]
         logits += w["c"]
         return logits, (x, q, keys, values, s, z, h)
 
@@ -86,7 +127,7 @@ class Attention:
         w, d, b = self.w, self.shape.dim, self.shape.block
         logits, (x, q, keys, values, a, z, h) = self._forward(rows, opens)
         logits -= logits.max(2, keepdims=True)
-        p = np.exp(logits)
+        p = np.exp(logits, out=logits)
         p /= p.sum(2, keepdims=True)
         n = max(1, int(real.sum()))
         at = np.take_along_axis(p, klass[..., None], 2)[..., 0]
@@ -95,9 +136,9 @@ class Attention:
         p *= (real / np.float32(n))[..., None].astype(np.float32)
         flat = lambda y: y.reshape(-1, y.shape[-1])
         g = {"u": flat(h).T @ flat(p), "c": flat(p).sum(0)}
-        dh = p @ w["u"].T
+        dh = (flat(p) @ w["u"].T).reshape(h.shape)
         g["o"] = flat(z).T @ flat(dh)
-        dz = dh @ w["o"].T
+        dz = (flat(dh) @ w["o"].T).reshape(h.shape)
         da = dz @ values.transpose(0, 2, 1)
         dvalues = a.transpose(0, 2, 1) @ dz
         ds = a * (da - (da * a).sum(2, keepdims=True))
@@ -107,7 +148,7 @@ class Attention:
         dk, dv = dkeys[:, b:].copy(), dvalues[:, b:].copy()
         dk[:-1] += dkeys[1:, :b]
         dv[:-1] += dvalues[1:, :b]
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
+        dx = dh + (np.concatenate([flat(dq), flat(dk), flat(dv)], axis=1) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T).reshape(h.shape)
         g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
         used, inverse = np.unique(rows.reshape(-1), return_inverse=True)
         order = np.argsort(inverse, kind="stable")
@@ -116,33 +157,32 @@ class Attention:
         g["e"][used] = np.add.reduceat(flat(dx)[order], starts, axis=0)
         return loss, g
 
-    def _padded(self, ids: np.ndarray, sizes: np.ndarray):
-        """Input rows, classes and real positions of texts (each with its end) in blocks."""
+    def _padded(self, before: np.ndarray, sizes: np.ndarray):
+        """Places and input rows of ragged texts in blocks, and the blocks that begin a text."""
         at, opens = blocks_of(sizes, self.shape.block)
-        n = len(opens) * self.shape.block
-        before = np.empty(len(ids), np.int64)
-        before[1:] = self.row[ids[:-1]]
-        before[np.cumsum(sizes) - sizes] = self.begin
-        rows = np.full(n, self.begin)
+        rows = np.full(len(opens) * self.shape.block, self.numbering.begin)
         rows[at] = before
         return at, rows.reshape(-1, self.shape.block), opens
 
-    def train(self, ids: np.ndarray, sizes: np.ndarray, steps: int, batch: int = 1024, rate: float = 0.02, seed: int = 5) -> list[float]:
-        """Adam over runs of `batch` blocks."""
-        at, rows, opens = self._padded(ids, sizes)
-        klass, real = np.zeros(rows.size, np.int64), np.zeros(rows.size, bool)
-        klass[at], real[at] = self.klass[ids], True
-        klass, real = klass.reshape(rows.shape), real.reshape(rows.shape)
-        rng, losses = np.random.default_rng(seed), []
+    def train(self, before: np.ndarray, ids: np.ndarray, sizes: np.ndarray, real: np.ndarray, least_steps: int, batch: int = 512, rate: float = 0.01) -> list[float]:
+        """Adam over runs of `batch` blocks, all of them once, or again until there are `least_steps` steps.
+
+        before: input rows of the tokens `ids` of ragged texts; real: tokens that count, the others are context.
+        """
+        at, rows, opens = self._padded(before, sizes)
+        klass, counted = np.zeros(rows.size, np.int64), np.zeros(rows.size, bool)
+        klass[at], counted[at] = self.numbering.klass[ids], real
+        klass, counted = klass.reshape(rows.shape), counted.reshape(rows.shape)
+        cuts = [slice(lo, lo + batch) for lo in range(0, len(rows), batch)]
+        steps, losses = len(cuts) * max(1, -(-least_steps // max(1, len(cuts)))), []
         m, s = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
         for t in range(1, steps + 1):
-            lo = int(rng.integers(0, max(1, len(rows) - batch)))
-            cut = slice(lo, lo + batch)
+            cut = cuts[(t - 1) % len(cuts)]
             first = opens[cut].copy()
             first[:1] = True
-            loss, g = self._step(rows[cut], first, klass[cut], real[cut])
+            loss, g = self._step(rows[cut], first, klass[cut], counted[cut])
             losses.append(loss)
-            lr = rate * min(1, t / 50) * (1 - t / (steps + 1))
+            lr = rate * min(1, t / 20) * (1 - t / (steps + 1))
             for k, v in self.w.items():
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.01 * (g[k] ** 2 - s[k])
@@ -156,9 +196,10 @@ class Attention:
 
     def logs(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Natural log probability of each id, given those before it in its text."""
-        at, rows, opens = self._padded(ids, sizes)
+        before = self.numbering.before(ids, sizes)
+        at, rows, opens = self._padded(before, sizes)
         out, klass = np.zeros(rows.size, np.float32), np.zeros(rows.size, np.int64)
-        klass[at] = self.klass[ids]
+        klass[at] = self.numbering.klass[ids]
         klass = klass.reshape(rows.shape)
         b = self.shape.block
         for lo in range(0, len(rows), 256):
@@ -170,4 +211,16 @@ class Attention:
             top = np.take_along_axis(logits, klass[lo : lo + 256, :, None], 2)[..., 0]
             np.exp(logits, out=logits)
             out[lo * b : (lo + 256) * b] = (top - np.log(logits.sum(2))).reshape(-1)
-        return out[at].astype(np.float64) + self.within[ids]
+        return out[at].astype(np.float64) + self._within(before, ids)
+
+    def _within(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of each id among those of its class."""
+        out, numbering = np.zeros(len(ids)), self.numbering
+        some = np.flatnonzero(numbering.klass[ids] >= numbering.own)
+        row, column, klass = before[some], numbering.row[ids[some]], numbering.klass[ids[some]]
+        key = row * numbering.columns + column
+        found = np.searchsorted(self.pair, key)
+        n = np.where(self.pair[found] == key, self.pair_n[found], 0)
+        smooth = self.shape.id_smooth
+        out[some] = np.log((n + smooth * self.column_share[column]) / (self.after_n[row, klass] + smooth) * self.id_share[ids[some]])
+        return out

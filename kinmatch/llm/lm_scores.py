@@ -1,17 +1,27 @@
 """Language-model scores: word counts over the whole corpus, and a causal attention model.
 
 1. Words of all training texts are counted: each task adds up its own, then the sums meet by
-   hash. The counts stay a table; only the commonest words, at most `common`, are broadcast.
-2. The attention model is trained on a bounded sample of the training texts (`sample` of them,
-   the first by md5(id)).
-3. Every whole text is scored in one pass: the attention model over its subwords, mixed word by
-   word with the counted probability of common words (none for rarer ones, so that all
-   probabilities add up to at most one); the base score of its common words; and a list of the
-   rest, which meets the counts in a join.
+   hash. The counts stay a table; the commonest words, at most `common`, are broadcast, which
+   spares most words the join and changes no result.
+2. Every whole text becomes subword ids, once, stored; the base score of its common words is
+   summed on the way, and a list of the rest meets the counts in a join.
+3. The ids and the pairs of neighbouring ids of all training texts are counted; they set the
+   model's classes and its direct path (attention.py).
+4. The attention layer is trained in one pass over all training texts, in `rounds` rounds. Texts
+   are cut into runs of `run_blocks` blocks, which meet, by hash, in one of the rounds and there
+   one of its learners, of about `learner_tokens` tokens each; a learner goes on from the round's
+   model by itself, and the mean of all learners' models, weighted by tokens, is the next. What a
+   learner gets and its order do not depend on partitions.
+5. Every text is scored whole with the model.
+
+Size: the model's arrays, and the pair counts behind them, are bounded by Shape (at most inputs +
+classes, squared, pairs: 85 MB of counts; about 10 MB on prose), whatever the corpus; a learner's
+task holds `learner_tokens` tokens, a scoring task one text or a chunk.
 
 Words are told apart by 64-bit hashes. Defined results: a null or empty text is its end alone; a
-null id is hashed as an empty text; without training texts all counts are 0 and N is 0; repeated
-rows score alike; an empty table gives an empty one; other columns are not read.
+text of any length is scored whole; a null id is hashed as an empty text; without training texts
+all counts are 0, N is 0 and the model is as it begins; repeated rows score alike; an empty table
+gives an empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +36,9 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.attention import Attention, Shape
+from kinmatch.llm.attention import Attention, Numbering, Shape
 from kinmatch.llm.common import map_texts, saved
-from kinmatch.llm.text import Chunk, chunks, lowered
+from kinmatch.llm.text import Chunk, chunks, lowered, mix
 
 #: The key of the end of a text among the word hashes.
 END = 0
@@ -36,16 +46,22 @@ END = 0
 CACHE_WORDS = 400_000
 
 
+#: Tokens scored or counted at a time; a longer text is held alone.
+CHUNK_TOKENS = 1 << 19
+
+
 @dataclass(frozen=True)
 class Scoring:
     common: int = 1 << 18
-    sample: int = 4000
-    steps: int = 1500
-    dim: int = 16
-    classes: int = 160
-    block: int = 4
-    #: Of the attention model in a word's probability; the rest is that of the counted words.
-    share: float = 0.5
+    dim: int = 32
+    classes: int = 256
+    block: int = 8
+    inputs: int = 2048
+    rounds: int = 4
+    run_blocks: int = 64
+    learner_tokens: int = 2_000_000
+    #: Steps that a learner makes at least, over its runs again if they are few.
+    least_steps: int = 200
     #: Counts merged in a task before they are sent on.
     merge: int = 3_000_000
 
@@ -80,8 +96,8 @@ class Subwords:
         each = [self.encoding.encode_ordinary(" " + t) for t in texts]
         return np.array([x for ids in each for x in ids], np.int64), np.array([len(x) for x in each], np.int64)
 
-    def __call__(self, c: Chunk, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, an end (id `size`) after each, how many each text has, and how many each word.
+    def __call__(self, c: Chunk, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, an end (id `size`) after each, and how many each text has.
 
         common: for each word its number among the commonest words, or -1; those are met by number.
         """
@@ -116,7 +132,7 @@ class Subwords:
         gather = np.arange(int(sizes.sum())) + np.repeat(self.starts[index] - (ends - sizes), sizes)
         out = np.full(len(gather) + c.n, self.size, np.int64)
         out[np.arange(len(gather)) + np.repeat(np.arange(c.n), per_text)] = self.flat[gather]
-        return out, per_text + 1, sizes
+        return out, per_text + 1
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,19 +193,6 @@ class Common:
             open_ = open_[~same]
         return out
 
-    def mixed(self, lm: Attention, subwords: Subwords, c: Chunk, at: np.ndarray, share: float) -> np.ndarray:
-        """log10 probability of each text: of each word `share` by the attention model, the rest by the counts of common words."""
-        ids, per_text, per_word = subwords(c, at)
-        each = lm.logs(ids, per_text)
-        end = ids == subwords.size
-        word = np.add.reduceat(each[~end], np.cumsum(per_word) - per_word) if len(per_word) else np.zeros(0)
-        counted = lambda n: np.log(10) * self.log10(n)
-        word += np.log(share)
-        here = at >= 0
-        word[here] = np.logaddexp(word[here], np.log(1 - share) + counted(self.n[at[here]]))
-        ends = np.logaddexp(each[end] + np.log(share), np.log(1 - share) + counted(self.ends))
-        return (np.bincount(c.doc, word, c.n) + ends) / np.log(10)
-
     def log10(self, n):
         return np.log10((n + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
@@ -210,19 +213,131 @@ def commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int
     return got["word"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64), least
 
 
-def train(texts: DataFrame, path: str, pattern: str, p: Scoring) -> Attention:
-    """From the column `text` of a bounded number of rows."""
-    sample = pa.array(texts.toPandas()["text"].tolist() if texts is not None else [], pa.string())
-    subwords, ids, sizes = Subwords(path, pattern), [], []
-    for c in chunks(sample, lowered):
-        got = subwords(c)
-        ids.append(got[0])
-        sizes.append(got[1])
-    every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    model = Attention(Shape(subwords.size, dim=p.dim, classes=p.classes, block=p.block), np.bincount(every, minlength=subwords.size + 1))
-    if len(every):
-        model.losses = model.train(every, np.concatenate(sizes), p.steps)
-    return model
+class Ids:
+    """Stored ids: a text's, its end included, as bytes."""
+
+    def __init__(self, size: int):
+        self.kind = np.dtype(np.uint16 if size < 1 << 16 else np.uint32)
+
+    def array(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(sizes)]) * self.kind.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(self.kind))]).cast(pa.binary())
+
+    def chunks(self, column: pa.Array):
+        """(rows, ids, sizes) of about CHUNK_TOKENS tokens each, each text whole."""
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        at = 0
+        while at < len(column):
+            upto = min(len(column), max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_TOKENS * self.kind.itemsize, side="right")) - 1))
+            sizes = np.diff(ends[at : upto + 1]) // self.kind.itemsize
+            data = np.frombuffer(column.buffers()[2], self.kind, int(sizes.sum()), int(ends[at])) if sizes.sum() else np.zeros(0, self.kind)
+            yield slice(at, upto), data.astype(np.int64), sizes
+            at = upto
+
+
+def summed(texts: DataFrame, size: int, numbers, ids: Ids) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, below `size`, that numbers(ids, sizes) gives for the texts' ids, and how often; `size` bounds all of it."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for _, flat, sizes in ids.chunks(batch.column("ids")):
+                total += np.bincount(numbers(flat, sizes), minlength=size)
+        key = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], ["key", "n"])
+
+    got = texts.select("ids").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (got.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def runs_of(texts: DataFrame, ids: Ids, p: Scoring, turn: int, learners: int) -> DataFrame:
+    """learner, place, lead, ids: the runs that a round learns from; lead: whether block + 1 tokens before the run come along."""
+    length, lead = p.run_blocks * p.block, p.block + 1
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            for rows, flat, sizes in ids.chunks(batch.column("ids")):
+                n = -(-sizes // length)
+                text = np.repeat(np.arange(len(sizes)), n)
+                k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                place = mix(mix(keys[rows][text]) + k.astype(np.uint64))
+                begin = (np.cumsum(sizes) - sizes)[text] + k * length
+                stop = np.minimum(begin + length, np.cumsum(sizes)[text])
+                mine = np.flatnonzero(place % np.uint64(p.rounds) == np.uint64(turn))
+                if len(mine):
+                    parts = [flat[a - (lead if j else 0) : b] for a, b, j in zip(begin[mine].tolist(), stop[mine].tolist(), k[mine].tolist(), strict=True)]
+                    learner = (place[mine] // np.uint64(p.rounds) % np.uint64(learners)).astype(np.int32)
+                    stored = ids.array(np.concatenate(parts), np.array([len(x) for x in parts]))
+                    yield pa.RecordBatch.from_arrays([pa.array(learner), pa.array(place[mine].view(np.int64)), pa.array(k[mine] > 0), stored], ["learner", "place", "lead", "ids"])
+
+    return texts.select("key", "ids").mapInArrow(run, "learner int, place bigint, lead boolean, ids binary")
+
+
+def _packed(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w[k].reshape(-1) for k in sorted(w)]).astype(np.float32)
+
+
+def _unpacked(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+def learned_round(model: Attention, texts: DataFrame, ids: Ids, p: Scoring, turn: int, learners: int) -> dict[str, np.ndarray]:
+    """The mean of the weights that learners make of the model's on this round's runs."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    lead = p.block + 1
+
+    def one(parts: list[np.ndarray], leads: list[bool]) -> np.ndarray:
+        own = Attention.__new__(Attention)
+        own.__dict__ = {**shared.value.__dict__, "w": {k: v.copy() for k, v in shared.value.w.items()}}
+        row, begin = own.numbering.row, own.numbering.begin
+        # A run with a lead: its first token is only an input, the others of the lead are context.
+        before = np.concatenate([row[a[:-1]] if j else np.concatenate([[begin], row[a[:-1]]]) for a, j in zip(parts, leads, strict=True)])
+        flat = np.concatenate([a[1:] if j else a for a, j in zip(parts, leads, strict=True)])
+        real = np.concatenate([np.arange(len(a) - j) >= (lead - 1) * j for a, j in zip(parts, leads, strict=True)])
+        own.train(before, flat, np.array([len(a) - j for a, j in zip(parts, leads, strict=True)]), real, p.least_steps)
+        return _packed(own.w)
+
+    def learn(batches):
+        total, weight, now, parts, leads = 0.0, 0, None, [], []
+
+        def closed():
+            n = sum(map(len, parts))
+            return (one(parts, leads) * np.float64(n), n) if parts else (0.0, 0)
+
+        for batch in batches:
+            for k, j, data in zip(*(batch.column(c).to_pylist() for c in ("learner", "lead", "ids")), strict=True):
+                if k != now:
+                    got, n = closed()
+                    total, weight, now, parts, leads = total + got, weight + n, k, [], []
+                parts.append(np.frombuffer(data, ids.kind).astype(np.int64))
+                leads.append(j)
+        got, n = closed()
+        if weight + n:
+            yield pa.RecordBatch.from_arrays([pa.array([(total + got).astype(np.float64).tobytes()], pa.binary()), pa.array([weight + n])], ["total", "weight"])
+
+    def added(batches):
+        total, weight = 0.0, 0
+        for batch in batches:
+            for data, n in zip(batch.column("total").to_pylist(), batch.column("weight").to_pylist(), strict=True):
+                total, weight = total + np.frombuffer(data), weight + n
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], ["total", "weight"])
+
+    dealt = runs_of(texts, ids, p, turn, learners).repartition(learners, "learner").sortWithinPartitions("learner", "place")
+    # One row for each task, its learners' weights added up; then all are added up in one task, row by row.
+    kind = "total binary, weight bigint"
+    got = dealt.mapInArrow(learn, kind).repartition(1).mapInArrow(added, kind).collect()
+    shared.unpersist()
+    return _unpacked(np.frombuffer(got[0].total) / got[0].weight, model.w) if got else model.w
 
 
 def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", p: Scoring = Scoring()) -> DataFrame:
@@ -234,18 +349,16 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
     kind = df.schema[id_col].dataType.simpleString()
     learned = F.coalesce(training, F.lit(False)) if training is not None else F.lit(True)
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"), learned.alias("learned"))
-    lessons = rows.where("learned")
-    counts = saved(word_counts(lessons.select("text"), p.merge))
+    counts = saved(word_counts(rows.where("learned").select("text"), p.merge))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    key, n, least = commonest(counts, p.common)
-    chosen = lessons.select("row_id", F.md5(F.coalesce(F.col("row_id").cast("string"), F.lit(""))).alias("at")).orderBy("at").limit(p.sample).select("row_id").distinct()
-    model = train(lessons.join(F.broadcast(chosen), "row_id").orderBy(F.md5(F.coalesce(F.col("row_id").cast("string"), F.lit("")))).select("text").limit(p.sample), path, pattern, p)
     context = df.sparkSession.sparkContext
-    common, shared = context.broadcast(Common(key, n, total, distinct, ends)), context.broadcast(model)
+    common = context.broadcast(Common(*(found := commonest(counts, p.common))[:2], total, distinct, ends))
+    least = found[2]
+    ids = Ids(tokenizer(path, pattern).n_vocab)
 
     def make():
-        table, lm = common.value, shared.value
+        table = common.value
         subwords = Subwords(path, pattern, len(table.key))
 
         def one(batch: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
@@ -255,15 +368,27 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
             base = np.bincount(c.doc[here], table.log10(table.n[at[here]]), c.n)
             known = np.bincount(c.doc[here], minlength=c.n)
             rare = np.concatenate([[0], np.cumsum(np.bincount(c.doc[~here], minlength=c.n))]).astype(np.int32)
-            score = table.mixed(lm, subwords, c, at, p.share)
-            arrays = [batch.column("row_id"), batch.column("learned"), pa.array(c.n_words + 1), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~here].view(np.int64)))]
-            return pa.RecordBatch.from_arrays(arrays, ["row_id", "learned", "n_tokens", "known", "base", "score", "rare"])
+            flat, sizes = subwords(c, at)
+            arrays = [batch.column("row_id"), batch.column("learned"), batch.column("key"), pa.array(c.n_words + 1), pa.array(known), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~here].view(np.int64))), ids.array(flat, sizes)]
+            return pa.RecordBatch.from_arrays(arrays, ["row_id", "learned", "key", "n_tokens", "known", "base", "rare", "ids"])
 
         return one
 
-    scored = saved(map_texts(rows, "text", make, f"row_id {kind}, learned boolean, n_tokens bigint, known bigint, base double, score double, rare array<bigint>", through=lowered))
-    scored = scored.withColumn("at", F.monotonically_increasing_id())
-    words = scored.select("at", F.explode("rare").alias("word")).groupBy("at", "word").agg(F.count("*").alias("times"))
+    facts = f"row_id {kind}, learned boolean, key bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, ids binary"
+    keyed = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("row_id").cast("string"), F.lit(""))))
+    stored = saved(map_texts(keyed, "text", make, facts, through=lowered)).withColumn("at", F.monotonically_increasing_id())
+    model = fit(stored.where("learned"), ids, tokenizer(path, pattern).n_vocab, p)
+    shared = context.broadcast(model)
+
+    def judge(batches):
+        for batch in batches:
+            for part, flat, sizes in ids.chunks(batch.column("ids")):
+                out = batch.slice(part.start, part.stop - part.start)
+                columns = [out.column(c) for c in _KEPT]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(flat, sizes))], [*_KEPT, "score"])
+
+    scored = stored.select(*_KEPT, "ids").mapInArrow(judge, f"at bigint, row_id {kind}, learned boolean, n_tokens bigint, known bigint, base double, score double")
+    words = stored.select("at", F.explode("rare").alias("word")).groupBy("at", "word").agg(F.count("*").alias("times"))
     table = counts.where((F.col("n") < least) & (F.col("word") != END))
     scale = F.lit(float(total) + 0.1 * (distinct + 1))
     log10 = lambda c: F.log10((c + 0.1) / scale)
@@ -272,3 +397,21 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
         F.col("row_id").alias(id_col), "learned", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(int(total)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + log10(F.lit(float(ends)))).alias("base_score"), "score",
     )
+
+
+_KEPT = ["at", "row_id", "learned", "n_tokens", "known", "base"]
+
+
+def fit(texts: DataFrame, ids: Ids, size: int, p: Scoring) -> Attention:
+    """The model of all of the texts' ids."""
+    shape = Shape(size, dim=p.dim, block=p.block, classes=p.classes, inputs=p.inputs)
+    key, n = summed(texts, size + 1, lambda flat, sizes: flat, ids)
+    counts = np.zeros(size + 1, np.int64)
+    counts[key] = n
+    numbering = Numbering(shape, counts)
+    pair, pair_n = summed(texts, (numbering.columns + 1) * numbering.columns, numbering.pairs, ids)
+    model = Attention(numbering, counts, pair, pair_n)
+    learners = max(1, -(-int(counts.sum()) // (p.rounds * p.learner_tokens)))
+    for turn in range(p.rounds if counts.sum() else 0):
+        model.w = learned_round(model, texts, ids, p, turn, learners)
+    return model

@@ -114,8 +114,9 @@ VOCAB = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 def test_scores_equal_counted_base(spark):
     rows = EDGE + [(k, prose(30, k)) for k in range(10, 60)]
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
-    p = lm_scores.Scoring(common=8, steps=3, sample=10)
-    got = lm_scores.score_texts(documents(spark, rows), VOCAB, public_tokenizers.PATTERN, learn, p=p).collect()
+    p = lm_scores.Scoring(common=8, dim=4, classes=16, inputs=32, least_steps=3)
+    df = documents(spark, rows)
+    got = lm_scores.score_texts(df, VOCAB, public_tokenizers.PATTERN, learn, p=p).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [(i, WORD.findall((t or "").translate(low)) + ["\0end"]) for i, t in rows]
     counts = Counter(w for i, ws in tokens if i is not None and i % 3 for w in ws)
@@ -123,29 +124,104 @@ def test_scores_equal_counted_base(spark):
     want = Counter((i, len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(np.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 5)) for i, ws in tokens)
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
     assert all(r.score < 0 for r in got)
-    assert lm_scores.score_texts(documents(spark, rows).limit(0), VOCAB, public_tokenizers.PATTERN, p=p).count() == 0
+    # Neither the broadcast words nor the partitions change a result.
+    scores = sorted((r.doc_id or 0, round(r.score, 3)) for r in got)
+    other = lm_scores.score_texts(df.repartition(3), VOCAB, public_tokenizers.PATTERN, learn, p=lm_scores.Scoring(common=1000, dim=4, classes=16, inputs=32, least_steps=3)).collect()
+    assert sorted((r.doc_id or 0, round(r.score, 3)) for r in other) == scores
+    assert lm_scores.score_texts(df.limit(0), VOCAB, public_tokenizers.PATTERN, p=p).count() == 0
+    unlearned = lm_scores.score_texts(df, VOCAB, public_tokenizers.PATTERN, F.lit(False), p=p).collect()
+    assert len(unlearned) == len(rows) and {r.train_tokens for r in unlearned} == {0} and all(r.score < 0 for r in unlearned)
+
+
+def tiny_model(dim=4, block=2, classes=8, inputs=6, ids=14, seed=1, texts=None):
+    from kinmatch.llm.attention import Attention, Numbering, Shape
+
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 12, 30)
+    flat = rng.integers(0, ids, sizes.sum()) ** 2 // ids
+    flat[np.cumsum(sizes) - 1] = ids
+    if texts is not None:
+        flat, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
+    counts = np.bincount(flat, minlength=ids + 1)
+    numbering = Numbering(Shape(ids, dim=dim, block=block, classes=classes, inputs=inputs), counts)
+    pair, n = np.unique(numbering.pairs(flat, sizes), return_counts=True)
+    return Attention(numbering, counts, pair, n), flat, sizes
+
+
+def plain_log10(model, text, flat, sizes):
+    """The probability of a text, token by token, from the counts of the texts (flat, sizes) and the weights."""
+    w, num, shape = model.w, model.numbering, model.shape
+    follows = Counter()
+    for a, b in zip(np.cumsum(sizes) - sizes, np.cumsum(sizes)):
+        for k in range(a, b):
+            follows[num.begin if k == a else num.row[flat[k - 1]], flat[k]] += 1
+    count = Counter(flat.tolist())
+    every = range(shape.ids + 1)
+    smoothed = {i: count[i] + 0.1 for i in every}
+    total, out = sum(smoothed.values()), 0.0
+    rows = [num.begin, *num.row[text[:-1]]]
+    for at, token in enumerate(text):
+        # Keys: the token's block up to it, and the block before.
+        first = max(0, at // shape.block * shape.block - shape.block)
+        x = w["e"][rows].astype(float)
+        q = x[at] @ w["q"]
+        s = [q @ (x[j] @ w["k"]) / shape.dim**0.5 + w["r"][at - j] for j in range(first, at + 1)]
+        a = np.exp(s) / np.exp(s).sum()
+        z = sum(p * (x[j] @ w["v"]) for p, j in zip(a, range(first, at + 1)))
+        h = x[at] + z @ w["o"]
+        n_row = sum(n for (r, _), n in follows.items() if r == rows[at])
+        logits = []
+        for k in range(shape.classes):
+            share = sum(smoothed[i] for i in every if num.klass[i] == k) / total
+            n = sum(n for (r, i), n in follows.items() if r == rows[at] and num.klass[i] == k)
+            with np.errstate(divide="ignore"):
+                logits.append(h @ w["u"][:, k] + w["c"][k] + np.log((n + shape.class_smooth * share) / (n_row + shape.class_smooth)))
+        p = np.exp(logits) / np.exp(logits).sum()
+        mates = [i for i in every if num.klass[i] == num.klass[token]]
+        column = [i for i in mates if num.row[i] == num.row[token]]
+        n = sum(follows[rows[at], i] for i in column)
+        n_class = sum(follows[rows[at], i] for i in mates)
+        within = (n + shape.id_smooth * sum(smoothed[i] for i in column) / sum(smoothed[i] for i in mates)) / (n_class + shape.id_smooth)
+        if num.klass[token] < num.own:
+            within = 1.0
+        else:
+            within *= smoothed[token] / sum(smoothed[i] for i in column)
+        out += np.log10(p[num.klass[token]] * within)
+    return out
+
+
+def test_attention_scores_equal_a_plain_version():
+    model, flat, sizes = tiny_model()
+    rng = np.random.default_rng(9)
+    model.w = {k: rng.standard_normal(v.shape).astype(np.float32) * 0.5 for k, v in model.w.items()}
+    got = model.score(flat, sizes)
+    cuts = np.split(flat, np.cumsum(sizes)[:-1])
+    for k in range(12):
+        assert abs(got[k] - plain_log10(model, cuts[k], flat, sizes)) < 1e-3
+    # Long texts cross the slices that are scored at a time.
+    long = rng.integers(0, 14, 1500)
+    assert abs(model.score(long, np.array([1500]))[0] - plain_log10(model, long, flat, sizes)) < 0.05
 
 
 def test_attention_learns_is_causal_and_sums_to_one():
-    from kinmatch.llm.attention import Attention, Shape
-
-    ids = np.tile([1, 2, 3, 4, 9], 400)
-    sizes = np.full(400, 5)
-    model = Attention(Shape(9, dim=8, block=2, classes=8, inputs=8), np.bincount(ids, minlength=10))
-    losses = model.train(ids, sizes, 200, batch=64)
-    assert losses[-1] < 0.5 * losses[0]
-    # One-token texts: the probabilities of all ids add up to one.
-    every = model.score(np.arange(10), np.ones(10, np.int64))
-    assert abs(sum(10**every) - 1) < 1e-3
+    # Every other id is that of the text: only what is two back tells it, so the pair counts do not.
+    r = random.Random(7)
+    texts = [[y for _ in range(6) for y in (x, 6 + r.randrange(8))] for x in (r.randrange(6) for _ in range(300))]
+    model, flat, sizes = tiny_model(dim=8, block=4, classes=20, inputs=15, texts=texts)
+    losses = model.train(model.numbering.before(flat, sizes), flat, sizes, np.ones(len(flat), bool), 400, batch=64, rate=0.03)
+    assert np.mean(losses[-20:]) < 0.8 * np.mean(losses[:5])
+    # One-token texts, and second tokens: the probabilities of all ids add up to one.
+    every = np.arange(15)
+    assert abs(sum(10 ** model.score(every, np.ones(15, np.int64))) - 1) < 1e-3
+    pairs = np.column_stack([np.full(15, 3), every]).reshape(-1)
+    assert abs(np.exp(model.logs(pairs, np.full(15, 2))[1::2]).sum() - 1) < 1e-3
     # What follows does not change what is before, and texts do not see each other.
     a = model.score(np.array([1, 2, 3]), np.array([3]))[0]
     assert abs(model.score(np.array([5, 1, 2, 3, 4, 4]), np.array([1, 3, 2]))[1] - a) < 1e-4
 
 
 def test_attention_gradients_are_slopes():
-    from kinmatch.llm.attention import Attention, Shape
-
-    model = Attention(Shape(6, dim=4, block=2, classes=4, inputs=3), np.arange(1, 8))
+    model, _, _ = tiny_model(ids=6, classes=4, inputs=3)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
     rows, opens = np.array([[7, 1], [2, 0], [7, 3]]), np.array([True, False, True])
     klass, real = np.array([[0, 1], [2, 3], [1, 0]]), np.array([[1, 1], [1, 0], [1, 1]], bool)
@@ -162,6 +238,35 @@ def test_attention_gradients_are_slopes():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4, k
 
 
+def test_every_run_is_learned_from_once(spark):
+    ids = lm_scores.Ids(100)
+    sizes = np.array([1, 5, 300, 64, 65])
+    flat = np.arange(sizes.sum()) % 100
+    table = [(k, bytes(np.split(flat, np.cumsum(sizes)[:-1])[k].astype(np.uint16).tobytes())) for k in range(5)]
+    texts = spark.createDataFrame(table, "key bigint, ids binary")
+    p = lm_scores.Scoring(block=4, run_blocks=8, rounds=3)
+    got = []
+    for turn in range(3):
+        for r in lm_scores.runs_of(texts, ids, p, turn, 2).collect():
+            run = np.frombuffer(r.ids, np.uint16)
+            got += [tuple(run[5 if r.lead else 0 :].tolist())]
+    want = [tuple(text[k : k + 32].tolist()) for text in np.split(flat, np.cumsum(sizes)[:-1]) for k in range(0, len(text), 32)]
+    assert Counter(got) == Counter(want)
+
+
+def test_the_model_beats_counted_words_on_held_out_texts(spark):
+    r = random.Random(5)
+    stems, ends = [prose(1, k)[:4] + "o" for k in range(40)], ["ing", "er", "tion", "al"]
+    # Words are made up of parts, and each text keeps to one ending: counting words cannot know.
+    rows = []
+    for k in range(400):
+        e = r.choice(ends)
+        rows.append((k, " ".join(r.choice(stems) + r.choice(stems) + r.choice(stems) + e for _ in range(40))))
+    got = lm_scores.score_texts(documents(spark, rows), VOCAB, public_tokenizers.PATTERN, F.col("doc_id") % 10 != 0, p=lm_scores.Scoring(dim=16, classes=64)).where("not learned")
+    sums = got.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert sums.s > 0.9 * sums.b
+
+
 # -- 3 --
 
 
