@@ -22,9 +22,9 @@ import numpy as np
 @dataclass(frozen=True)
 class Shape:
     ids: int  # size of the tokenizer's vocabulary; the end of the text is one id more
-    dim: int = 32
+    dim: int = 24
     block: int = 8
-    classes: int = 256
+    classes: int = 128
     inputs: int = 2048  # ids with an input vector and pair counts of their own
     #: Smoothing counts of the class after an id, and of an id within a class after an id.
     class_smooth: float = 5.0
@@ -126,17 +126,17 @@ class Attention:
         """Mean loss and gradients over the real positions."""
         w, d, b = self.w, self.shape.dim, self.shape.block
         logits, (x, q, keys, values, a, z, h) = self._forward(rows, opens)
-        logits -= logits.max(2, keepdims=True)
+        # Log probabilities and a few units: no largest one need be taken off.
         p = np.exp(logits, out=logits)
-        p /= p.sum(2, keepdims=True)
+        p *= 1 / p.sum(2, keepdims=True)
         n = max(1, int(real.sum()))
         at = np.take_along_axis(p, klass[..., None], 2)[..., 0]
         loss = float(-np.log(np.maximum(at, 1e-12))[real].mean())
         np.put_along_axis(p, klass[..., None], (at - 1)[..., None], 2)
-        p *= (real / np.float32(n))[..., None].astype(np.float32)
+        p[~real] = 0
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"u": flat(h).T @ flat(p), "c": flat(p).sum(0)}
-        dh = (flat(p) @ w["u"].T).reshape(h.shape)
+        g = {"u": flat(h).T @ flat(p) / n, "c": np.ones(real.size, p.dtype) @ flat(p) / n}
+        dh = (flat(p) @ (w["u"].T / n)).reshape(h.shape)
         g["o"] = flat(z).T @ flat(dh)
         dz = (flat(dh) @ w["o"].T).reshape(h.shape)
         da = dz @ values.transpose(0, 2, 1)

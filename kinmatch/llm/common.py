@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from kinmatch.llm.text import Chunk, chunks
 from kinmatch.operators.graph import saved
 
-__all__ = ["map_texts", "saved", "stored", "table"]
+__all__ = ["map_texts", "one_blas_thread", "saved", "stored", "table"]
+
+
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Products of this process run on one thread: a task has one core, and more threads only wait for each other.
+
+    Where numpy comes without a library of its own, nothing is changed.
+    """
+    for lib in sorted(Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*")):
+        blas = ctypes.CDLL(str(lib))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(blas, name):
+                getattr(blas, name)(ctypes.c_int(1))
+                return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

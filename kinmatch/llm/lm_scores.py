@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinmatch.llm.attention import Attention, Numbering, Shape
-from kinmatch.llm.common import map_texts, saved
+from kinmatch.llm.common import map_texts, one_blas_thread, saved
 from kinmatch.llm.text import Chunk, chunks, lowered, mix
 
 #: The key of the end of a text among the word hashes.
@@ -52,9 +52,9 @@ CHUNK_TOKENS = 1 << 19
 
 @dataclass(frozen=True)
 class Scoring:
-    common: int = 1 << 18
-    dim: int = 32
-    classes: int = 256
+    common: int = 1 << 20
+    dim: int = 24
+    classes: int = 128
     block: int = 8
     inputs: int = 2048
     rounds: int = 4
@@ -307,6 +307,7 @@ def learned_round(model: Attention, texts: DataFrame, ids: Ids, p: Scoring, turn
         return _packed(own.w)
 
     def learn(batches):
+        one_blas_thread()
         total, weight, now, parts, leads = 0.0, 0, None, [], []
 
         def closed():
@@ -381,6 +382,7 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
     shared = context.broadcast(model)
 
     def judge(batches):
+        one_blas_thread()
         for batch in batches:
             for part, flat, sizes in ids.chunks(batch.column("ids")):
                 out = batch.slice(part.start, part.stop - part.start)
