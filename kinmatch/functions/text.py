@@ -58,8 +58,11 @@ def decomposed(c: Column) -> Column:
     """Characters as their compatibility decomposition without combining marks."""
     single, to, several = _compatible()
     once = F.regexp_replace(F.translate(c, single, to), _MARKS, "")
-    each = F.transform(F.split(once, ""), lambda x: F.coalesce(lookup(several, x), x))
-    return F.when(once.rlike("[" + "".join(several) + "]"), F.array_join(each, "")).otherwise(once)
+    # What is not ASCII even so, character by character, and the runs between.
+    parts = F.regexp_extract_all(once, F.lit("([^\\x00-\\x7F]|[\\x00-\\x7F]+)"), F.lit(1))
+    each = F.transform(parts, lambda x: F.when(F.length(x) == 1, F.coalesce(lookup(several, x), x)).otherwise(x))
+    wide = lambda t: t.rlike("[^\\x00-\\x7F]")
+    return F.when(~wide(c), c).when(wide(once), F.array_join(each, "")).otherwise(once)
 
 
 def fold(c: Column) -> Column:
@@ -147,26 +150,31 @@ def uppercase_tokens(raw: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(parts, lambda t: (F.length(t) >= 2) & (t == F.upper(t)) & t.rlike("[A-Z]")), F.lower))
 
 
-def match_qualifiers(home: Column, away: Column) -> Column:
-    """The qualifiers that either team's name states; a last w is women."""
+def name_qualifiers(name: Column) -> Column:
+    """The qualifiers that a team's name states, in order; a last w is women."""
+    parts = tokens(fold(name))
+    last = F.size(parts) - 1
+    found = F.transform(parts, lambda t, i: F.when(one_of(W.TEAM_QUALIFIERS, t), normalize_qualifier(t)).when((t == "w") & (i == last) & (last > 0), F.lit("women")))
+    return F.filter(found, lambda q: q.isNotNull())
 
-    def of(name: Column) -> Column:
-        parts = tokens(fold(name))
-        last = F.size(parts) - 1
-        found = F.transform(parts, lambda t, i: F.when(one_of(W.TEAM_QUALIFIERS, t), normalize_qualifier(t)).when((t == "w") & (i == last) & (last > 0), F.lit("women")))
-        return F.filter(found, lambda q: q.isNotNull())
 
-    return as_set(F.concat(of(home), of(away)))
+def match_qualifiers(home: Column, away: Column) -> Column:
+    """The qualifiers that either team's name states."""
+    return as_set(F.concat(name_qualifiers(home), name_qualifiers(away)))
 
 
 def strong_tokens(folded: Column) -> Column:
     return F.filter(tokens(folded), lambda t: ~one_of(W.WEAK_TOKENS, t))
 
 
+def beginnings(folded: Column, length: int = 3) -> Column:
+    """The beginnings of a name's strong tokens, in order."""
+    return F.transform(strong_tokens(folded), lambda t: F.substring(t, 1, length))
+
+
 def blocking_signature(home_n: Column, away_n: Column, length: int = 3) -> Column:
-    """The distinct beginnings of strong tokens, in order."""
-    strong = F.concat(strong_tokens(home_n), strong_tokens(away_n))
-    return F.array_distinct(F.transform(strong, lambda t: F.substring(t, 1, length)))
+    """The distinct beginnings of both names' strong tokens, in order."""
+    return F.array_distinct(F.concat(beginnings(home_n, length), beginnings(away_n, length)))
 
 
 def league_name(name: Column) -> Column:

@@ -1,6 +1,8 @@
-"""DuckDB SQL that gives what the queries over the driver's tables give.
+"""DuckDB SQL that gives what the queries over the driver's tables give, by plainer ways.
 
-Scores, assignment and clusters are held against a plain Python model in the tests instead.
+Names of the listings have two words, or are one of a few fixed ones, so that the likeness of tokens
+has a closed form here. With three sources a conflict of clusters can only arise at a pair of the
+second and third, so clusters have a closed form too; assignment is a recursion.
 """
 
 from __future__ import annotations
@@ -20,23 +22,120 @@ def _name(seed: str, value: str) -> str:
 
 _LISTINGS = f"""
 base AS (
-  SELECT event_id AS k, ts, event_type, site_idx, {_name("h", "user_id")} AS h, {_name("a", "event_id % 997")} AS a
-  FROM events, (VALUES (0), (1), (2)) s(site_idx) WHERE (event_id + site_idx) % 11 <> 0),
+  SELECT event_id AS k, ts, event_type, site_idx, event_id % 37 = 5 AND site_idx = 2 AS swapped,
+         CASE WHEN event_id % 997 = 0 THEN 'Sporting United' WHEN event_id % 43 = 0 THEN ['Man Utd U21', 'Manchester United U21', 'Man United U21'][site_idx + 1] ELSE {_name("h", "user_id")} END AS h,
+         CASE WHEN event_id % 997 = 0 THEN 'Real City' ELSE {_name("a", "event_id % 997")} END AS a
+  FROM events, (VALUES (0), (1), (2)) s(site_idx) WHERE (event_id + site_idx) % 11 <> 0 AND (site_idx = 0 OR event_id % 29 <> 3)),
 moved AS (
-  SELECT *, ts + to_minutes(CASE WHEN site_idx = 2 AND k % 5 = 0 THEN 30 WHEN site_idx = 1 AND k % 13 = 0 THEN -15 ELSE 0 END) AS t FROM base),
+  SELECT k, event_type, site_idx, swapped,
+         CASE WHEN site_idx = 1 AND k % 3 = 0 THEN h || ' FC' WHEN site_idx = 2 AND k % 4 = 0 THEN upper(h) ELSE h END AS h, CASE WHEN site_idx = 2 AND k % 3 = 1 THEN 'AS ' || a ELSE a END AS a,
+         ts + to_minutes(CASE WHEN site_idx = 2 AND k % 5 = 0 THEN 30 WHEN site_idx = 1 AND k % 41 = 7 THEN 1440 WHEN site_idx = 1 AND k % 13 = 0 THEN -15 ELSE 0 END) AS t FROM base),
 listings AS (
-  SELECT ['alpha', 'beta', 'gamma'][site_idx + 1] AS site, site_idx, k AS row_id, ['FUTBOL', 'BASKETBOL', 'VOLEYBOL', 'TENIS', 'HENTBOL'][k % 5 + 1] AS sport,
-         ['England', 'Spain', 'Italy'][k % 3 + 1] || ' - ' || CASE WHEN site_idx = 1 THEN 'League ' ELSE '' END || event_type AS league_raw,
+  SELECT ['alpha', 'beta', 'gamma'][site_idx + 1] AS site, site_idx, k AS row_id, (site_idx::BIGINT << 48) + k AS rid, ['FUTBOL', 'BASKETBOL', 'VOLEYBOL', 'TENIS', 'HENTBOL'][k % 5 + 1] AS sport,
+         CASE WHEN site_idx = 1 THEN 'League ' ELSE '' END || event_type AS league, event_type AS league_core, ['England', 'Spain', 'Italy'][k % 3 + 1] AS country,
+         ['England', 'Spain', 'Italy'][k % 3 + 1] || ' - ' || CASE WHEN site_idx = 1 THEN 'League ' ELSE '' END || event_type AS league_raw, 'e' || k AS event_id,
          strftime(t, '%Y-%m-%d') AS date, strftime(t, '%H:%M') AS time, epoch_ms(date_trunc('minute', t)) - 180 * 60000 AS epoch_ms,
-         CASE WHEN site_idx = 1 AND k % 3 = 0 THEN h || ' FC' WHEN site_idx = 2 AND k % 4 = 0 THEN upper(h) ELSE h END AS home,
-         CASE WHEN site_idx = 2 AND k % 3 = 1 THEN 'AS ' || a ELSE a END AS away
+         CASE WHEN swapped THEN a ELSE h END AS home, CASE WHEN swapped THEN h ELSE a END AS away
   FROM moved)"""
 _NORM = "trim(regexp_replace(regexp_replace({0}, ' fc$', ''), '^as ', ''))"
 
+_WEAK = "('sporting', 'united', 'utd', 'real', 'city', 'as')"
 _PAIRS = "names AS (SELECT DISTINCT lower(p_name) AS a FROM part), pairs AS (SELECT x.a, y.a AS b FROM names x, names y)"
 _RATIO = "100 * greatest(0, 1 - levenshtein({0}, {1})::DOUBLE / greatest(len({0}), len({1})))"
 _SORT = "array_to_string(list_sort(string_split({0}, ' ')), ' ')"
 
+
+
+def _similarity(a: str, b: str, parts: bool = True) -> str:
+    """Likeness of two names; with parts, of names of two words each."""
+    x, y = (f"string_split({n}, ' ')" for n in (a, b))
+    near = lambda u, v: f"(len({u}) <> len({v}) AND (starts_with({u}, {v}) OR starts_with({v}, {u})))"
+    x1, x2, y1, y2 = f"{x}[1]", f"{x}[2]", f"{y}[1]", f"{y}[2]"
+    weight = lambda t: f"list_sum(list_transform({t}, lambda w: CASE WHEN w IN {_WEAK} THEN 0.5 ELSE 1.0 END))"
+    at = f"CASE WHEN {x1} = {y1} THEN 1 WHEN {x1} = {y2} THEN 2 WHEN {near(x1, y1)} THEN 1 WHEN {near(x1, y2)} THEN 2 ELSE 0 END"
+    second = f"(({at}) <> 1 AND ({x2} = {y1} OR {near(x2, y1)})) OR (({at}) <> 2 AND ({x2} = {y2} OR {near(x2, y2)}))"
+    overlap = f"least(100, 100.0 * (CASE WHEN ({at}) > 0 THEN 1 ELSE 0 END + CASE WHEN {second} THEN 1 ELSE 0 END) / greatest({weight(x)}, {weight(y)}))"
+    if not parts:
+        overlap = f"CASE WHEN {near(a, b)} THEN 100 ELSE 0 END"
+    chars, ordered = _RATIO.format(a, b), _RATIO.format(_SORT.format(a), _SORT.format(b))
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 100 ELSE greatest({chars}, {ordered}, {overlap}) END)"
+
+
+def _team(x: str, y: str) -> str:
+    """struct of score and stage of two names' features."""
+    result = lambda score, stage: f"struct_pack(score := ({score})::DOUBLE, stage := '{stage}')"
+    return f"""CASE WHEN {x}.quals <> {y}.quals THEN {result(0, "rejected")} WHEN {x}.norm = {y}.norm THEN {result(100, "exact")} WHEN {x}.id = {y}.id THEN {result(100, "alias")}
+      WHEN len({x}.strong) = 0 AND len({y}.strong) = 0 THEN {result(0, "rejected")} ELSE {result(_similarity(f"{x}.norm", f"{y}.norm"), "fuzzy")} END"""
+
+
+def _features(name: str) -> str:
+    norm = _NORM.format(f"lower({name})")
+    return f"""struct_pack(norm := {norm}, quals := CASE WHEN contains({norm}, ' u21') THEN 'u21' ELSE '' END,
+      id := CASE WHEN {norm} IN ('man utd u21', 'manchester united u21', 'man united u21') THEN 'manchester_united' END,
+      strong := list_filter(string_split({norm}, ' '), lambda w: w NOT IN {_WEAK}))"""
+
+
+_FEATURES = f"""{_LISTINGS},
+featured AS (SELECT *, {_features("home")} AS h, {_features("away")} AS a FROM listings),
+sig AS (
+  SELECT site_idx, rid, sport, date, list_filter(keys, lambda k, i: list_position(keys, k) = i) AS keys
+  FROM (SELECT *, list_transform(list_concat(h.strong, a.strong), lambda t: t[1:3]) AS keys FROM featured))"""
+_CANDIDATES = f"""{_FEATURES},
+probed AS (SELECT site_idx, rid, sport, date, list_append(keys, '') AS keys FROM sig),
+probe AS (SELECT site_idx, rid, sport, o AS day_offset, strftime(date::DATE + o::INT, '%Y-%m-%d') AS day, unnest(keys) AS key, generate_subscripts(keys, 1) - 1 AS pos FROM probed, (VALUES (-1), (0), (1)) d(o)),
+target AS (SELECT site_idx, rid, sport, date AS day, unnest(CASE WHEN len(keys) = 0 THEN [''] ELSE keys END) AS key FROM sig),
+candidates AS (
+  SELECT p.rid AS a, t.rid AS b, min(struct_pack(o := day_offset, p := pos)) AS f
+  FROM probe p JOIN target t ON p.sport = t.sport AND p.day = t.day AND p.key = t.key AND p.site_idx < t.site_idx GROUP BY ALL)"""
+_SCORED = f"""{_CANDIDATES},
+sides AS (
+  SELECT c.a, c.b, c.f.o AS day_offset, c.f.p AS prefix_pos, x.site_idx AS site_a, y.site_idx AS site_b, x.sport, x.date <> y.date AS cross_date,
+         floor((y.epoch_ms - x.epoch_ms) / 60000 + 0.5)::BIGINT AS diff, x.country = y.country AS same_country, x.league_core AS xl, y.league_core AS yl,
+         (x.h.quals || x.a.quals) <> (y.h.quals || y.a.quals) AND x.sport <> 'TENIS' AS other_class, x.h AS xh, x.a AS xa, y.h AS yh, y.a AS ya
+  FROM candidates c JOIN featured x ON c.a = x.rid JOIN featured y ON c.b = y.rid),
+early AS (
+  SELECT *, CASE WHEN other_class THEN 'league-qualifier-mismatch' WHEN NOT same_country THEN 'different-country' WHEN cross_date AND abs(diff) > 2160 THEN 'implausible-time-gap' END AS early,
+         CASE WHEN other_class OR NOT same_country THEN 0 ELSE {_similarity("xl", "yl", parts=False)} END AS league FROM sides),
+straight AS (SELECT *, {_team("xh", "yh")} AS hh, {_team("xa", "ya")} AS aa, {_team("xh", "ya")} AS ha, {_team("xa", "yh")} AS ah FROM early),
+flips AS (
+  SELECT *, hh.score >= 78 AND aa.score >= 78 AS ok, ha.score >= 78 AND ah.score >= 78 AS cross_ok, (hh.score + aa.score) / 2 AS plain, (ha.score + ah.score) / 2 AS crossed FROM straight),
+turned AS (SELECT *, early IS NULL AND NOT ok AND (cross_ok OR crossed > plain) AS flipped FROM flips),
+teams AS (
+  SELECT *, CASE WHEN early IS NOT NULL THEN 0 WHEN flipped THEN crossed ELSE plain END AS team, CASE WHEN flipped THEN cross_ok ELSE ok END AS fine,
+         CASE WHEN flipped THEN ha.stage <> 'fuzzy' AND ah.stage <> 'fuzzy' ELSE hh.stage <> 'fuzzy' AND aa.stage <> 'fuzzy' END AS sure FROM turned),
+judged AS (SELECT *, coalesce(early, CASE WHEN NOT fine THEN 'team-below-threshold' WHEN league < 35 AND team < 88 THEN 'low-league-weak-team' END) AS reason FROM teams),
+c1 AS (SELECT *, CASE WHEN sure THEN least(1.0::DOUBLE, team / 100 + 0.03::DOUBLE) ELSE team / 100 END AS c FROM judged),
+c2 AS (SELECT * REPLACE (CASE WHEN xl = yl THEN least(1.0::DOUBLE, c + 0.05::DOUBLE) WHEN league < 35 THEN c - 0.08::DOUBLE ELSE c END AS c) FROM c1),
+c3 AS (SELECT * REPLACE (CASE WHEN abs(diff) <= 5 THEN least(1.0::DOUBLE, c + 0.04::DOUBLE) WHEN abs(diff) > 180 THEN c - 0.05::DOUBLE ELSE c END AS c) FROM c2),
+scored AS (
+  SELECT a, b, day_offset, prefix_pos, site_a, site_b, team AS team_score, CASE WHEN early IS NULL THEN league ELSE 0 END AS league_score, flipped, reason, diff, cross_date,
+         CASE WHEN reason IS NULL THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) ELSE 0 END AS confidence,
+         team * 1000 + league - CASE WHEN cross_date THEN 500 ELSE 0 END - least(abs(diff), 999) / 1000.0::DOUBLE AS rank FROM c3),
+decided AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'no_match' WHEN confidence >= 0.92 THEN 'match' WHEN confidence >= 0.75 THEN 'possible_match' ELSE 'no_match' END AS decision FROM scored)"""
+_MATCHED = f"""{_SCORED},
+edges AS MATERIALIZED (SELECT * EXCLUDE (reason) FROM decided WHERE reason IS NULL AND confidence >= 0.75),
+steps AS (
+  SELECT *, false AS won FROM edges
+  UNION ALL
+  SELECT * EXCLUDE (best, a_used, b_used) REPLACE (best AS won)
+  FROM (SELECT *, bool_or(best) OVER (PARTITION BY site_a, site_b, a) AS a_used, bool_or(best) OVER (PARTITION BY site_a, site_b, b) AS b_used
+        FROM (SELECT *, row_number() OVER (PARTITION BY site_a, site_b, a ORDER BY rank DESC, a, day_offset, prefix_pos, b) = 1 AND row_number() OVER (PARTITION BY site_a, site_b, b ORDER BY rank DESC, a, day_offset, prefix_pos, b) = 1 AS best
+              FROM steps WHERE NOT won))
+  WHERE best OR NOT (a_used OR b_used)),
+matched AS MATERIALIZED (SELECT * FROM steps WHERE won)"""
+_CLUSTERED = f"""{_MATCHED},
+p01 AS (SELECT a, b FROM matched WHERE site_a = 0 AND site_b = 1), p02 AS (SELECT a, b FROM matched WHERE site_a = 0 AND site_b = 2), p12 AS (SELECT a, b FROM matched WHERE site_a = 1),
+joined AS (
+  SELECT p.a, p.b, l.a AS first_of_a, r.a AS first_of_b, lr.b AS third_of_a, rl.b AS second_of_b
+  FROM p12 p LEFT JOIN p01 l ON l.b = p.a LEFT JOIN p02 r ON r.b = p.b LEFT JOIN p02 lr ON lr.a = l.a LEFT JOIN p01 rl ON rl.a = r.a),
+links AS (SELECT a, b FROM joined WHERE CASE WHEN first_of_a IS NOT NULL AND first_of_b IS NOT NULL THEN first_of_a = first_of_b WHEN first_of_a IS NOT NULL THEN third_of_a IS NULL WHEN first_of_b IS NOT NULL THEN second_of_b IS NULL ELSE true END),
+seconds AS (SELECT l.rid, coalesce(p.a, q.a, l.rid) AS cluster_id FROM listings l LEFT JOIN p01 p ON p.b = l.rid LEFT JOIN links k ON k.a = l.rid LEFT JOIN p02 q ON q.b = k.b WHERE l.site_idx = 1),
+thirds AS (SELECT l.rid, coalesce(p.a, s.cluster_id, l.rid) AS cluster_id FROM listings l LEFT JOIN p02 p ON p.b = l.rid LEFT JOIN links k ON k.b = l.rid LEFT JOIN seconds s ON s.rid = k.a WHERE l.site_idx = 2),
+clusters AS MATERIALIZED (SELECT rid, rid AS cluster_id FROM listings WHERE site_idx = 0 UNION ALL FROM seconds UNION ALL FROM thirds)"""
+_ANALYSED = f"""{_CLUSTERED},
+members AS (SELECT l.*, cluster_id, count(*) OVER (PARTITION BY cluster_id, epoch_ms) AS agree FROM listings l JOIN clusters USING (rid)),
+analysed AS MATERIALIZED (
+  SELECT cluster_id, count(*) AS n, (max(epoch_ms) - min(epoch_ms)) // 60000 AS gap, first(epoch_ms ORDER BY agree DESC, epoch_ms) AS reference, arg_min(struct_pack(site, sport, league, league_raw, date, time, home, away, event_id), site_idx) AS f FROM members GROUP BY cluster_id)"""
 _COLLECTED = """
 fetched AS (
   SELECT event_id AS arrival, event_type AS sport, CASE WHEN event_id % 17 = 0 THEN '' ELSE (event_id % 700)::VARCHAR END AS event_id, (event_id % 9)::VARCHAR AS league_id,
@@ -111,16 +210,32 @@ SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey
     "replace_sites": """
 WITH fresh AS (SELECT c_mktsegment AS site, c_custkey FROM customer WHERE c_mktsegment IN ('MACHINERY', 'BUILDING') AND c_custkey % 2 = 0)
 SELECT c_mktsegment AS site, c_custkey FROM customer WHERE c_mktsegment NOT IN (SELECT site FROM fresh) UNION ALL SELECT * FROM fresh""",
-    "blocking_pairs": f"""
-WITH {_LISTINGS},
-keyed AS (SELECT *, list_distinct(list_transform(string_split({_NORM.format("lower(home)")} || ' ' || {_NORM.format("lower(away)")}, ' '), lambda t: t[1:3])) AS unordered,
-                 list_transform(string_split({_NORM.format("lower(home)")} || ' ' || {_NORM.format("lower(away)")}, ' '), lambda t: t[1:3]) AS keys FROM listings),
-sig AS (SELECT site_idx, row_id, sport, date, list_filter(keys, lambda k, i: list_position(keys, k) = i) AS keys FROM keyed),
-probe AS (SELECT site_idx, row_id, sport, o AS day_offset, strftime(date::DATE + o::INT, '%Y-%m-%d') AS day, unnest(keys) AS key, generate_subscripts(keys, 1) - 1 AS pos FROM sig, (VALUES (-1), (0), (1)) d(o)),
-target AS (SELECT site_idx, row_id, sport, date AS day, unnest(keys) AS key FROM sig),
-hits AS (SELECT (p.site_idx::BIGINT << 48) + p.row_id AS a, (t.site_idx::BIGINT << 48) + t.row_id AS b, min(struct_pack(o := day_offset, p := pos)) AS f
-         FROM probe p JOIN target t ON p.sport = t.sport AND p.day = t.day AND p.key = t.key AND p.site_idx < t.site_idx GROUP BY ALL)
-SELECT a, b, f.o::INT AS day_offset, f.p::INT AS prefix_pos FROM hits""",
+    "similarity_ratio": f"WITH {_PAIRS} SELECT * FROM (SELECT a, b, round({_similarity('a', 'b')}::DOUBLE, 6) AS score FROM pairs) WHERE score >= 60",
+    "blocking_pairs": f"WITH {_CANDIDATES} SELECT a, b, f.o::INT AS day_offset, f.p::INT AS prefix_pos FROM candidates",
+    "scored_pairs": f"WITH {_SCORED} SELECT a, b, round(team_score::DOUBLE, 6) AS team_score, round(league_score::DOUBLE, 6) AS league_score, flipped, round(confidence::DOUBLE, 6) AS confidence, decision, reason FROM decided",
+    "matched_pairs": f"""
+WITH RECURSIVE {_MATCHED} SELECT a, b, site_a, site_b, floor(team_score * 10 + 0.5) / 10 AS team_score, floor(league_score * 10 + 0.5) / 10 AS league_score, floor(confidence * 1000 + 0.5) / 1000 AS confidence,
+  decision, flipped, diff AS diff_minutes, cross_date, abs(diff) > 0 AS is_different FROM matched""",
+    "unmatched_rows": f"""
+WITH RECURSIVE {_MATCHED}, ends AS (SELECT a AS rid, site_b AS other FROM matched UNION SELECT b, site_a FROM matched)
+SELECT site, ['alpha', 'beta', 'gamma'][o + 1] AS other, row_id, home, away FROM listings l, (VALUES (0), (1), (2)) s(o)
+WHERE o <> site_idx AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.rid = l.rid AND e.other = o)""",
+    "clusters": f"WITH RECURSIVE {_CLUSTERED} SELECT rid, cluster_id FROM clusters",
+    "report_discrepancies": f"""
+WITH RECURSIVE {_ANALYSED},
+text AS (
+  SELECT cluster_id, string_agg(site || '=' || time, ';' ORDER BY site) AS times, string_agg(site || '=' || date, ';' ORDER BY site) AS dates, count(DISTINCT date) > 1 AS date_differs,
+         coalesce(string_agg('{{"site":"' || site || '","minutes":' || ((epoch_ms - reference) // 60000) || '}}', ',' ORDER BY site) FILTER (epoch_ms <> reference), '') AS off,
+         list(site) AS present, string_agg(site || '=' || league_raw, ';' ORDER BY site) AS leagues, string_agg(site || '=' || home || ' - ' || away, ';' ORDER BY site) AS teams
+  FROM members JOIN analysed USING (cluster_id) GROUP BY cluster_id)
+SELECT f.sport, f.league, f.date, f.home, f.away, times, dates, date_differs, gap AS max_diff_minutes, '[' || off || ']' AS deviating,
+       array_to_string(list_filter(['alpha', 'beta', 'gamma'], lambda s: NOT list_contains(present, s)), ',') AS missing, leagues, teams
+FROM analysed JOIN text USING (cluster_id) WHERE n > 1 AND gap > 0""",
+    "report_summary": f"WITH RECURSIVE {_ANALYSED} SELECT count(*) AS groups, count(*) FILTER (n > 1) AS comparable, count(*) FILTER (n > 1 AND gap > 0) AS different, count(*) FILTER (n > 1 AND gap = 0) AS same FROM analysed",
+    "report_coverage": f"WITH RECURSIVE {_ANALYSED} SELECT n::INT AS n_sites, count(*) AS clusters FROM analysed GROUP BY n",
+    "report_sites": f"WITH RECURSIVE {_ANALYSED} SELECT site, count(*) AS total, count(*) FILTER (n = 1) AS only_here FROM members JOIN analysed USING (cluster_id) GROUP BY site",
+    "report_pair_counts": f"WITH RECURSIVE {_MATCHED} SELECT site_a, site_b, count(*) AS matches FROM matched GROUP BY site_a, site_b",
+    "report_single_site": f"WITH RECURSIVE {_ANALYSED} SELECT f.site, f.sport, f.league_raw AS league, f.date, f.time, f.home, f.away, f.event_id FROM analysed WHERE n = 1",
     "cluster_times": f"""
 WITH {_LISTINGS},
 counted AS (SELECT *, count(*) OVER (PARTITION BY row_id, epoch_ms) AS c FROM listings),

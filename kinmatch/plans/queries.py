@@ -39,16 +39,27 @@ def _name(seed: str, value: Column) -> Column:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a fixture on three sites; site beta adds affixes, site gamma shifts times, some rows are missing."""
+    """Every event as a fixture on three sites, with what linking has to deal with.
+
+    Site beta adds affixes and shifts some times by minutes, some by a day; site gamma shifts times,
+    writes capitals and swaps some teams. Some rows are missing, some stand on alpha alone; some
+    have a team that each site spells in another way, some only words that many teams share.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "user_id")
     e = e.withColumn("home", _name("h", F.col("user_id"))).withColumn("away", _name("a", F.col("event_id") % 997))
-    rows = e.withColumn("site_idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((F.col("event_id") + F.col("site_idx")) % 11 != 0)
-    beta, gamma = F.col("site_idx") == 1, F.col("site_idx") == 2
     k = F.col("event_id")
-    shift = F.when(gamma & (k % 5 == 0), 30).when(beta & (k % 13 == 0), -15).otherwise(0)
+    rows = e.withColumn("site_idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where((k + F.col("site_idx")) % 11 != 0)
+    rows = rows.where((F.col("site_idx") == 0) | (k % 29 != 3))
+    alpha, beta, gamma = (F.col("site_idx") == i for i in range(3))
+    shift = F.when(gamma & (k % 5 == 0), 30).when(beta & (k % 41 == 7), 1440).when(beta & (k % 13 == 0), -15).otherwise(0)
     ts = F.col("ts") + F.make_dt_interval(mins=shift)
-    home = F.when(beta & (k % 3 == 0), F.concat("home", F.lit(" FC"))).when(gamma & (k % 4 == 0), F.upper("home")).otherwise(F.col("home"))
-    away = F.when(gamma & (k % 3 == 1), F.concat(F.lit("AS "), "away")).otherwise(F.col("away"))
+    spelled = F.when(alpha, "Man Utd U21").when(beta, "Manchester United U21").otherwise("Man United U21")
+    home = F.when(k % 997 == 0, "Sporting United").when(k % 43 == 0, spelled).otherwise(F.col("home"))
+    away = F.when(k % 997 == 0, "Real City").otherwise(F.col("away"))
+    home = F.when(beta & (k % 3 == 0), F.concat(home, F.lit(" FC"))).when(gamma & (k % 4 == 0), F.upper(home)).otherwise(home)
+    away = F.when(gamma & (k % 3 == 1), F.concat(F.lit("AS "), away)).otherwise(away)
+    swapped = gamma & (k % 37 == 5)
+    home, away = F.when(swapped, away).otherwise(home), F.when(swapped, home).otherwise(away)
     sport = F.element_at(F.array(*(F.lit(s) for s in ("FUTBOL", "BASKETBOL", "VOLEYBOL", "TENIS", "HENTBOL"))), (k % 5 + 1).cast("int"))
     league = F.concat(F.element_at(F.array(*(F.lit(s) for s in ("England", "Spain", "Italy"))), (k % 3 + 1).cast("int")), F.lit(" - "), F.when(beta, F.lit("League ")).otherwise(F.lit("")), F.col("event_type"))
     return rows.select(
@@ -253,9 +264,15 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmatched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every two sites, the rows of each that have no pair on the other."""
     c = comparison(spark, sf_dir)
-    only_a, only_b = matching.unmatched(c.rows, c.pairs, 0, 1)
-    return only_a.unionByName(only_b).select("site", "row_id", "home", "away")
+    out = None
+    for a in range(len(SITES)):
+        for b in range(a + 1, len(SITES)):
+            for side, other in zip(matching.unmatched(c.rows, c.pairs, a, b), (b, a), strict=True):
+                rows = side.select("site", F.lit(SITES[other]).alias("other"), "row_id", "home", "away")
+                out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
