@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFrame:
-    """df, computed once, in spark.checkpoint.dir, which all executors share; where unset, as in tests, in a local folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; where unset, as in tests, a local folder, but never on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/kinmatch-checkpoints"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, computed once, in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", fallback))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
