@@ -9,9 +9,10 @@ and stand side by side, so that a group is split only by a cut that falls into i
 Ranks come from a range partitioning by a unique order, with the sizes of the partitions before
 added; no task holds more than its partition, and the driver gets one number for each.
 
-Defined results: a null text has no bytes and size 1; null dimensions are the value 0; ties are
-broken by CRC, hash and id, and repeated rows follow one another; with fewer rows than shards some
-shards are empty; an empty table gives an empty one.
+Defined results: a null text has no bytes and size 1; a text of any length counts whole; null
+dimensions are the value 0; ties are broken by CRC, hash and id (null first), and repeated rows
+follow one another; with fewer rows than shards some shards are empty; an empty table gives an
+empty one; other columns come along in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import saved
+from kinmatch.llm.common import free_name, quoted, saved, whole
+
+
+#: Groups of copies up to which they are broadcast (about 100 bytes each); beyond, they are joined on a salted key.
+BROADCAST_GROUPS = 100_000
+SALT = 32
 
 
 @dataclass(frozen=True)
@@ -69,20 +75,27 @@ def on_curve(dims: list[Column], bits: int) -> Column:
     return index(*dims)
 
 
-def shard(df: DataFrame, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, size, text_crc32, shard, slot (gapless from 0 in each shard); carry: columns of df that come along."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def shard(df: DataFrame, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """id, size, text_crc32, shard, slot (gapless from 0 in each shard); carry: and `row`, a struct of all columns of df."""
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
     top = (1 << curve.bits) - 1
-    dims = [F.coalesce(F.pmod(F.xxhash64(F.col(c)), F.lit(top + 1)) * F.col(c).isNotNull().cast("long"), F.lit(0)) for c in curve.dims]
+    dims = [F.coalesce(F.pmod(F.xxhash64(F.col(quoted(c))), F.lit(top + 1)) * F.col(quoted(c)).isNotNull().cast("long"), F.lit(0)) for c in curve.dims]
     size = F.octet_length(text).cast("long") + 1
     rows = df.select(
-        F.col(id_col).alias("row_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("hash"),
-        F.array(*dims, F.least(F.lit(top), F.floor(F.log2(size) * (top + 1) / 32))).alias("dims"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
+        F.col(quoted(id_col)).alias("row_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("hash"),
+        F.array(*dims, F.least(F.lit(top), F.floor(F.log2(size) * (top + 1) / 32))).alias("dims"), (whole(df) if carry else F.lit(None).cast("int")).alias("row"),
     )
     group = ["size", "crc", "hash"]
     # Rows whose text stands alone keep their own dimensions; copies take those of the first.
     first = rows.groupBy(*group).agg(F.min(F.struct("row_id", "dims")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(first.select(*group, F.col("first.dims").alias("theirs")), group, "left").withColumn("dims", F.coalesce("theirs", "dims")).drop("theirs")
+    first = saved(first.select(*group, F.col("first.dims").alias("theirs")))
+    if first.count() <= BROADCAST_GROUPS:
+        rows = rows.join(F.broadcast(first), group, "left")
+    else:
+        # A group of copies may be a large part of all rows, so its key is salted.
+        salt = F.pmod(F.xxhash64("row_id"), F.lit(SALT)).cast("int")
+        rows = rows.withColumn("salt", salt).join(first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), [*group, "salt"], "left").drop("salt")
+    rows = rows.withColumn("dims", F.coalesce("theirs", "dims")).drop("theirs")
     rows = rows.withColumn("curve", on_curve([F.col("dims")[k] for k in range(len(curve.dims) + 1)], curve.bits)).drop("dims")
     order = ["curve", "crc", "hash", "row_id"]
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -99,10 +112,11 @@ def shard(df: DataFrame, curve: Curve = Curve(), id_col: str = "doc_id", text_co
     out = out.withColumn("shard", F.floor(F.col("rank") * curve.shards / max(1, total)).cast("int"))
     # The first rank of shard s is the least r with floor(r * shards / total) = s.
     slot = F.col("rank") - F.ceil(F.col("shard").cast("long") * total / F.lit(float(curve.shards))).cast("long")
-    return out.select(F.col("row_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", slot.alias("slot"), *(f"carried.{c}" for c in carry))
+    return out.select(F.col("row_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", slot.alias("slot"), *["row"] * carry)
 
 
 def write_shards(df: DataFrame, path: str, curve: Curve = Curve(), id_col: str = "doc_id", text_col: str = "text") -> None:
-    """df's rows with shard and slot as Parquet, a folder for each shard, its files in slot order."""
-    out = shard(df, curve, id_col, text_col, carry=tuple(c for c in df.columns if c != id_col and c not in ("size", "text_crc32", "shard", "slot")))
-    out.repartitionByRange(curve.shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """df's rows with shard and slot as Parquet, a folder for each shard, its files in slot order; df's own columns of such names keep theirs."""
+    shard_name, slot_name = (free_name(n, df.columns) for n in ("shard", "slot"))
+    out = shard(df, curve, id_col, text_col, carry=True).select("row.*", F.col("shard").alias(shard_name), F.col("slot").alias(slot_name))
+    out.repartitionByRange(curve.shards, shard_name, slot_name).sortWithinPartitions(shard_name, slot_name).write.partitionBy(shard_name).parquet(path)
