@@ -3,7 +3,7 @@
 A text's set is its distinct runs of `words` words (all its words, if fewer). Equal sets are one
 node. A node's signature has `coords` coordinates, each the least hash of its set; it is posted
 under each coordinate with its value. A pair is a candidate if it collides in at least `matches`
-coordinates (at similarity 0.8 exactly, 26 of 48 miss a pair with a chance of 5e-5, above it with less), and
+coordinates (at similarity 0.8 exactly, 26 of 48 miss a pair with a chance of 1.3e-5, above it with less), and
 linked if the intersection of its full sets is at least `similarity` of their union.
 
 Skip and prefix: postings of one node cannot collide and are skipped; a node with fewer than
@@ -14,12 +14,13 @@ that many texts share, are hardly ever merged.
 Linking: a list's nodes need not be paired with each other if links already join them. In each
 of `rounds` rounds every list with nodes of two components pairs its nodes with one of them, the
 hub; links found join components. Then all pairs across components are tested that sizes and
-bitmaps of the sets leave possible. So components are those of all links between
-candidates, without a list's square.
+bitmaps of the sets leave possible; a list is cut into blocks for that, so that no task holds its
+square. So components are those of all links between candidates.
 
 Defined results: a null, empty or blank text has an empty set, links with nothing and is its own
-component; repeated rows and ids share a node, a null id counts as no id; an empty table gives an
-empty one; other columns are not read.
+component; a text of any length is read whole, its set in one task; repeated rows and ids share a
+node, a null id counts as no id; among equal ids of a component the rows are alike; an empty table
+gives an empty one; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, saved
+from kinmatch.llm.common import map_texts, saved, whole
 from kinmatch.llm.text import Chunk, lowered, mix
 from kinmatch.operators.graph import components, tasks_for
 
 _rng = np.random.default_rng(7)
 _XOR, _ODD = _rng.integers(0, 1 << 63, 256, dtype=np.uint64), _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
+#: Nodes of a list in a block, about, where all of a list's pairs are looked at.
+BLOCK_NODES = 512
+#: Parts of each key where a component may hold many of the rows.
+SALT = 16
 #: Words of 64 bits in a set's bitmap.
 _WORDS = 32
 
@@ -94,28 +99,23 @@ def signatures(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFra
 
 
 def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small: bool) -> DataFrame:
-    """node, set array<int>, bits array<bigint> (a bitmap of the set) for the texts of wanted (node, text_key), one for each node.
-
-    The halves of the shingle hashes: two of the hundreds in a pair's sets are alike by chance
-    in one pair of 100,000, and then count one too many.
-    """
+    """node, set array<bigint> (all 64 bits of the shingle hashes), bits array<bigint> (a bitmap of the set) for the texts of wanted (node, text_key), one for each node."""
 
     def make():
         def one(rows: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
             sets, n = sets_of(c, p.words)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            short = (sets >> np.uint64(32)).astype(np.uint32).view(np.int32)
             bits = np.zeros((c.n, _WORDS), np.uint64)
             np.bitwise_or.at(bits, (np.repeat(np.arange(c.n), n), ((sets >> np.uint64(26)) % np.uint64(_WORDS)).astype(np.int64)), np.uint64(1) << (sets >> np.uint64(20) & np.uint64(63)))
             words = pa.ListArray.from_arrays(pa.array(np.arange(c.n + 1, dtype=np.int32) * _WORDS), pa.array(_signed(bits.reshape(-1))))
-            return pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(short)), words], ["node", "set", "bits"])
+            return pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(sets))), words], ["node", "set", "bits"])
 
         return one
 
     texts = df.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "text_key").select("node", "text")
     # Copies of one text: each gives the same set, one of them is kept.
-    return map_texts(texts, "text", make, "node bigint, set array<int>, bits array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
+    return map_texts(texts, "text", make, "node bigint, set array<bigint>, bits array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
 
 
 def postings(nodes: DataFrame, p: NearDup) -> DataFrame:
@@ -139,9 +139,15 @@ def across(rooted: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     total = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
     own = total(F.col("bits"))
     rows = rooted.join(open_keys, "key").join(sets.select("node", "bits"), "node").select("key", "node", "root", "n", "bits", (F.col("n") - own).alias("hidden"))
-    one, two = rows.alias("one"), rows.alias("two")
+    # A long list is cut into blocks, and each two blocks, or a block with itself, meet in a task of their own.
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    sizes = rooted.groupBy("key").agg(F.count("*").alias("size")).select("key", blocks.alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    one = rows.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("one")
+    two = rows.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("two")
     common = total(F.zip_with("one.bits", "two.bits", lambda x, y: x.bitwiseAND(y))) + F.least("one.hidden", "two.hidden")
-    fits = (F.col("one.key") == F.col("two.key")) & (F.col("one.root") < F.col("two.root"))
+    fits = (F.col("one.key") == F.col("two.key")) & (F.col("one.low") == F.col("two.low")) & (F.col("one.high") == F.col("two.high"))
+    fits = fits & (F.col("one.root") != F.col("two.root")) & ((F.col("one.low") < F.col("one.high")) | (F.col("one.root") < F.col("two.root")))
     fits = fits & (100 * F.least("one.n", "two.n") >= p.similarity * F.greatest("one.n", "two.n"))
     fits = fits & ((100 + p.similarity) * common >= p.similarity * (F.col("one.n") + F.col("two.n")))
     return one.join(two, fits).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
@@ -205,9 +211,12 @@ def _judged(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
         if last:
             break
 
-    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = named.join(least, "root").select("node", "root", "component_id")
+    # Only nodes with candidates can have another root; a component may hold many of them, so its key is salted.
+    named = nodes.select("node", "least").join(roots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joint = named.join(least, ["root", "salt"]).select("node", "root", "component_id")
+    alone = nodes.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
+    of_node = joint.unionByName(alone)
     out = docs.select("row_id", "text_key", "n", "node").join(of_node, "node", "left").withColumn("component_id", F.when(F.col("n") == 0, F.col("row_id")).otherwise(F.col("component_id")))
     return out.select("row_id", "text_key", "n", "root", "component_id", F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -231,13 +240,15 @@ def one_of_each(df: DataFrame, p: NearDup = NearDup(), id_col: str = "doc_id", t
     one = counted.where(~loose).groupBy("root", "row_id").agg(best).select("row_id", "best.*", F.lit(False).alias("loose"))
     ids = saved(one.unionByName(counted.where(loose).select("row_id", "text_key", "kept_rows", F.lit(True).alias("loose"))))
     ids = ids.withColumnsRenamed({"row_id": "kept_id", "text_key": "kept_key"})
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("kept_key"))
+    few = ids.count() <= p.broadcast_nodes
+    text = F.col("row").getField(text_col).cast("string")
+    rows = df.select(whole(df).alias("row")).withColumn("own_id", F.col("row").getField(id_col)).withColumn("own_key", F.xxhash64(text))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
     wanted = ids.select("kept_id", "kept_key")
-    rows = df.join(F.broadcast(wanted) if ids.count() <= p.broadcast_nodes else wanted, same, "left_semi")
+    rows = rows.join(F.broadcast(wanted) if few else wanted, same, "left_semi")
     again = ids.where("kept_rows > 1 and not loose").select("kept_id", "kept_key")
     # Usually no id and text has two rows, and then no text is moved.
-    if again.isEmpty():
-        return rows
-    single, shared = rows.join(again, same, "left_anti"), rows.join(again, same, "left_semi")
-    key = "kept key of " + text_col
-    return single.unionByName(shared.withColumn(key, F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates([id_col, key]).drop(key))
+    if not again.isEmpty():
+        shared = rows.join(again, same, "left_semi").dropDuplicates(["own_id", "own_key"])
+        rows = rows.join(again, same, "left_anti").unionByName(shared)
+    return rows.select("row.*")
