@@ -17,7 +17,9 @@ gets the smallest quota, one slot; an empty table gives an empty one. in_mix is
 first slot on whose source has run out: up to there the shares hold, later they cannot. From there
 on the slots of that source stay empty and the others keep theirs, so all rows have a place and
 the shares of the rest, among each other, go on.
-Sources are at most M: M doubles until each can have a slot.
+M doubles until each source can have two slots. The schedule's work is sources times M in one row,
+so it is for up to thousands of sources; rows, however many a source has, are in no one task. A
+text's length plays no part; other columns come along in the struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmatch.llm.common import quoted, saved, whole
+
+#: Slots of a period up to which the sources' slots are broadcast (8 bytes each); beyond, they are joined on a salted key.
+BROADCAST_SLOTS = 1 << 20
+SALT = 32
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -79,26 +87,34 @@ def schedule(quota: DataFrame) -> DataFrame:
 
 def mix_sources(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """df's columns in a struct `row`, with mix_source, mix_block, mix_slot (long) and in_mix (boolean)."""
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
+    named = F.coalesce(F.col(quoted(source_col)).cast("string"), F.lit(""))
+    rows = df.select(whole(df).alias("row"), named.alias("source"), F.md5(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))).alias("key"))
     keys = rows.select("source", "key")
     digits, n = 1, keys.count()
     while 16**digits * mix.piece_rows < n and digits < 6:
         digits += 1
     piece = F.substring("key", 1, digits)
-    pieces = keys.groupBy("source", piece.alias("piece")).agg(F.count("*").alias("rows"))
+    pieces = saved(keys.groupBy("source", piece.alias("piece")).agg(F.count("*").alias("rows")))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = pieces.withColumn("before", before).select("source", "piece", "before")
-    plan = schedule(quotas(keys.groupBy("source").agg(F.count("*").alias("n")), mix)).persist()
     counts = pieces.groupBy("source").agg(F.sum("rows").alias("n"))
+    plan = saved(schedule(quotas(counts, mix)))
     # The first slot whose source has no block left.
     blocks = F.ceil(F.col("n") / mix.block_rows)
     ends = counts.join(plan, "source").where(F.col("j") == blocks % F.col("quota")).select((F.floor(blocks / F.col("quota")) * F.col("period") + F.col("slot")).alias("end"))
-    horizon = ends.agg(F.min("end").alias("horizon"))
+    horizon = ends.agg(F.min("end")).scalar()
 
     rank = F.col("before") + F.row_number().over(Window.partitionBy("source", "piece").orderBy("key")) - 1
     ranked = rows.withColumn("piece", piece).join(offsets, ["source", "piece"]).withColumn("block", F.floor(rank / mix.block_rows))
-    quota = plan.groupBy("source").agg(F.max("quota").alias("quota"))
-    placed = ranked.join(F.broadcast(quota), "source").withColumn("j", (F.col("block") % F.col("quota")).cast("int"))
-    placed = placed.join(F.broadcast(plan.drop("quota")), ["source", "j"]).join(F.broadcast(horizon))
-    slot = F.floor(F.col("block") / F.col("quota")) * F.col("period") + F.col("slot")
-    return placed.select("row", F.col("source").alias("mix_source"), F.col("block").alias("mix_block"), slot.alias("mix_slot"), (slot < F.col("horizon")).alias("in_mix"))
+    # One row for each source, its slots in a period in order: a period in all, many sources or few.
+    slots = plan.groupBy("source").agg(F.max("quota").alias("quota"), F.max("period").alias("period"), F.transform(F.array_sort(F.collect_list(F.struct("j", "slot"))), lambda x: x["slot"]).alias("slots"))
+    if plan.count() <= BROADCAST_SLOTS:
+        placed = ranked.join(F.broadcast(slots), "source")
+    else:
+        # A source may have many of the rows, so its key is salted.
+        salt = F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")
+        placed = ranked.withColumn("salt", salt).join(slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["source", "salt"])
+    nth = (F.col("block") % F.col("quota")).cast("int")
+    slot = F.floor(F.col("block") / F.col("quota")) * F.col("period") + F.get("slots", nth)
+    out = placed.select("row", F.col("source").alias("mix_source"), F.col("block").alias("mix_block"), slot.alias("mix_slot"))
+    return out.withColumn("in_mix", F.col("mix_slot") < horizon)
