@@ -2,9 +2,10 @@
 
 1. Every document is counted once for each of its hashed words (2**18 counters): the IDF.
 2. Benchmark items are cut into passages of at most 48 words, and these into slabs of at most
-   `rank`. A randomised SVD of each slab's TF-IDF matrix gives its latent space: the driver
-   multiplies the bounded (features x rank) sketch by A'A and orthonormalises it, for a few power
-   iterations. Slabs share the scans of the documents, as many in each as memory allows.
+   `rank`, by hash. A randomised SVD of each slab's TF-IDF matrix, in a task for each slab, gives
+   its latent space: a (features x rank) sketch is multiplied by A'A and orthonormalised, for a few
+   power iterations. Slabs share the scans of the documents, as many in each as memory allows: the
+   driver holds the indexes of about `scan` passages at a time, about 10 MB for a slab.
 3. Windows of 64 words, 16 apart, of every whole document are folded in. Vectors are linear in
    tf, so each block of 16 words is projected once and a window is the sum of four. Its norm is
    taken word by word (repeats add up less), a difference of running sums, and so is what it has
@@ -24,12 +25,15 @@ A slab's space has a dimension for each of its passages, so it holds all of them
 lost, however many passages there are.
 
 Defined results: null, empty and short texts have no leak unless they hold a passage; null items
-and those without words hold nothing and are in no text; the cosine of an exact run is 1; repeated
-rows are judged alike; an empty benchmark or table gives no leaks; other columns are not read.
+and those without words hold nothing and are in no text; the cosine of an exact run is 1; a text of
+any length is read whole; repeated items are one, items of equal text are all found; of equally good
+windows any gives the same result; repeated rows are judged alike; an empty benchmark or table gives
+no leaks; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts
+from kinmatch.llm.common import map_texts, one_blas_thread, saved
 from kinmatch.llm.text import Chunk, chunks, folded, run_hash
 
 BUCKETS = 1 << 18
@@ -306,20 +310,35 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def scans(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Iterator[list[Index | Runs]]:
     """The indexes of one scan after another; each index has at most `rank` passages, so that its space holds them all."""
-    parts = passages(benchmark, item_col, item_text, p)
-    n = -(-parts.count() // p.scan)
+    parts = saved(passages(benchmark, item_col, item_text, p).distinct())
+    count = parts.count()
+    n, slabs = -(-count // p.scan), max(1, -(-count // p.rank))
     idf = idf_of(document_frequency(df, text_col)) if n else None
-    for k in range(n):
-        rows = (parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k) if n > 1 else parts).collect()
-        items, words = [r.item_id for r in rows], [np.array(r.words, np.int64).view(np.uint64) for r in rows]
-        short, long = ([i for i, r in enumerate(rows) if r.short == kind] for kind in (True, False))
-        out = []
-        for at in np.array_split(np.array(long), -(-len(long) // p.rank)) if long else []:
+    shared = df.sparkSession.sparkContext.broadcast(idf)
+    parts = parts.withColumn("slab", F.pmod(F.xxhash64("item_id", "words"), F.lit(slabs)).cast("int"))
+
+    def index(table: pa.Table) -> pa.Table:
+        """The indexes of a slab: one, or more where it got more passages than `rank`."""
+        one_blas_thread()
+        rows = sorted(zip(table.column("words").to_pylist(), table.column("item_id").to_pylist(), strict=True), key=lambda r: (r[0], str(r[1])))
+        words, out = [np.array(w, np.int64).view(np.uint64) for w, _ in rows], []
+        for at in np.array_split(np.arange(len(rows)), -(-len(rows) // p.rank)):
             own = [words[i] for i in at]
             used = np.unique((np.concatenate(own) % np.uint64(FEATURES)).astype(np.int64))
-            out.append(Index([items[i] for i in at], own, idf, used, latent_space(own, used, idf, p), p))
+            out.append(Index([rows[i][1] for i in at], own, shared.value, used, latent_space(own, used, shared.value, p), p))
+            out[-1].idf = None  # all have the same one
+        return pa.table({"slab": pa.array([table.column("slab")[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(out)], pa.binary())})
+
+    for k in range(n):
+        rows = parts.where(F.col("slab") % n == k)
+        out = []
+        for r in rows.where("not short").groupBy("slab").applyInArrow(index, "slab int, index binary").orderBy("slab").collect():
+            for one in pickle.loads(r.index):
+                one.idf = idf
+                out.append(one)
+        short = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in rows.where("short").collect()]
         if short:
-            out.append(Runs([items[i] for i in short], [words[i] for i in short]))
+            out.append(Runs(*map(list, zip(*short, strict=True))))
         if out:
             yield out
 
@@ -343,6 +362,7 @@ def _each(df: DataFrame, text_col: str, scan: list[Index | Runs], schema, out: C
     shared = df.sparkSession.sparkContext.broadcast(scan)
 
     def make():
+        one_blas_thread()
         return lambda rows, c: out(rows, c, _all_leaks(shared.value, c))
 
     return map_texts(df, text_col, make, schema, through=folded)
