@@ -64,23 +64,25 @@ twice AS (SELECT r, g FROM grams GROUP BY r, g HAVING count(*) > 1),
 covered AS (SELECT r, count(DISTINCT i + d) AS n FROM grams JOIN twice USING (r, g), range(5) o(d) GROUP BY r),
 split AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM docs),
 lines AS (
-  SELECT r, line, regexp_extract_all(line, '[^{_SPACE}]+') AS w,
+  SELECT r, line_no, line, regexp_extract_all(line, '[^{_SPACE}]+') AS w,
          row_number() OVER (PARTITION BY r, line ORDER BY line_no) > 1 AS later,
          len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, len(regexp_replace(line, '[^A-Z]', '', 'g')) AS upper,
          len(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, contains(line, '!!') AS bangs
   FROM split WHERE regexp_matches(line, '[^{_SPACE}]')),
 judged AS (
-  SELECT r, len(w) AS n, later,
+  SELECT r, line_no, len(w) AS n, later,
          later OR symbols > 0.3 * len(w) OR (bangs AND upper > 0.7 * greatest(1, letters))
          OR (len(w) <= 2 AND regexp_matches(w[-1][-1], '[\x00-\x7F]') AND NOT contains('.!?:;,)]"''', w[-1][-1]))
          OR (len(w) <= 40 AND regexp_matches(line, '^[{_SPACE}]*(?i:licensed under|copyright|all rights reserved|spdx-license-identifier|cookie|click here|sign in|log in|subscribe|privacy policy|terms of|share this|read more|back to top|lorem ipsum|javascript)')) AS fails
   FROM lines),
+cleaned AS (SELECT split.r, string_agg(split.line, chr(10) ORDER BY split.line_no) FILTER (fails IS NULL OR NOT fails) AS left_text FROM split LEFT JOIN judged USING (r, line_no) GROUP BY split.r),
 per AS (SELECT r, count(*) FILTER (later) AS dup, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY r),
 facts AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-         coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words
-  FROM words LEFT JOIN covered USING (r) LEFT JOIN per USING (r))
+         coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS lost_words,
+         md5(coalesce(left_text, '')) AS cleaned_md5
+  FROM words LEFT JOIN covered USING (r) LEFT JOIN per USING (r) LEFT JOIN cleaned USING (r))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words <= 0.5 * n_words AS kept
 FROM facts

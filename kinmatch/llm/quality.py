@@ -4,14 +4,17 @@ Each text is split at line feeds. A line with words fails if it is
   navigation   separators or symbols make up too much of it, or it is a fragment of one or
                two words that no punctuation ends;
   punctuation  it is shouted: mostly capitals, with runs of exclamation marks;
-  boilerplate  it repeats an earlier line of the text, or opens with a known notice.
+  boilerplate  it repeats an earlier line of the text, or opens with a known notice and has at
+               most `notice_words` words.
 A document is rejected if the failing lines hold more than `max_lost` of its words, or if it
 fails the base rules (fewer than `min_words` words, or more than `max_repeat` of the words in
 5-word windows that the text has twice or more).
 
-Defined results: a null, empty or blank text has no words and fails the base rule; repeated
-rows and equal texts are judged alike, each by itself; an empty table gives an empty one; other
-columns are not read, whatever their names. Work is one pass over the rows without a shuffle.
+Defined results: a null, empty or blank text has no words and fails the base rule; a text or line of
+any length is read whole, a text in one task; of equal lines the first stays, whatever stands
+between; repeated rows and equal texts are judged alike, each by itself; an empty table gives an
+empty one; other columns are not read, whatever their names. Work is one pass over the rows without
+a shuffle.
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ _FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 class LineRules:
     max_symbols: float = 0.3  # symbols for each word of a line
     max_upper: float = 0.7  # of a line's ASCII letters, when it has exclamation runs
+    notice_words: int = 40  # a longer line is prose, however it opens
     max_lost: float = 0.5
     min_words: int = 10
     max_repeat: int = 20  # per cent
@@ -82,10 +86,13 @@ def line_facts(c: Chunk, rules: LineRules) -> dict[str, np.ndarray]:
     shouted = (span(bangs, starts[full], stops[full]) > 0) & (span(upper, starts[full], stops[full]) > rules.max_upper * np.maximum(1, span(letters, starts[full], stops[full])))
     fragment = (n <= 2) & ~_ENDS[last] & (last < 0x80)
     fails = later | (sym > rules.max_symbols * n) | shouted | fragment
-    text = c.data.tobytes()
-    for k in np.flatnonzero(~fails & (n <= 40)):
-        begin = c.starts[a[full[k]]]
-        fails[k] = text[begin : begin + 24].lower().startswith(_NOTICE_BYTES)
+    text, begin = c.data.tobytes(), c.starts[a[full]]
+    # Lines that begin like a notice, by their first three letters.
+    head = np.zeros(len(full), np.int64)
+    for j in range(3):
+        head = head << 8 | _LOWER[c.data[np.minimum(begin + j, len(c.data) - 1)]]
+    for k in np.flatnonzero(~fails & (n <= rules.notice_words) & np.isin(head, _NOTICE_HEADS)):
+        fails[k] = text[begin[k] : begin[k] + _NOTICE_LENGTH].lower().startswith(_NOTICE_BYTES)
     bad = np.zeros(len(starts), bool)
     bad[full] = fails
 
@@ -107,6 +114,10 @@ def line_facts(c: Chunk, rules: LineRules) -> dict[str, np.ndarray]:
 
 
 _NOTICE_BYTES = tuple(x.encode() for x in NOTICES)
+_NOTICE_HEADS = np.unique([int.from_bytes(x[:3]) for x in _NOTICE_BYTES])
+_NOTICE_LENGTH = max(map(len, _NOTICE_BYTES))
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
 
 
 def clean_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LineRules = LineRules(), with_text: bool = True) -> DataFrame:

@@ -44,7 +44,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
+    out = quality.clean_lines(table(spark, sf_dir, "documents"))
+    return out.withColumn("cleaned_md5", F.md5("cleaned")).drop("cleaned")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
