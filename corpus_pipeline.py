@@ -1,15 +1,21 @@
 """The corpus pipeline: each stage takes what the one before kept, as Parquet.
 
 Toxic documents go, then all but one of each group of near duplicates, then documents that hold
-benchmark items; what is left, all of it, is placed in the target mix and laid out in shards. Each stage handles nulls, empty tables and repeated rows as its operator does.
+benchmark items; what is left, all of it, is placed in the target mix and laid out in shards.
+
+Each stage handles nulls in any column, empty and very long texts, ties, repeated rows and empty
+tables as its operator does. Columns of the documents come through under their names, whatever
+they are; a column that a stage adds (mix_slot, shard, slot) gets underscores after its name where
+the documents have it already. Each stage's output is removed when the one after it is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinmatch.llm import decontam, mixing, near_dup, sharding, toxicity
-from kinmatch.llm.common import stored, table
+from kinmatch.llm.common import free_name, removed, stored, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +35,12 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, and mix_slot: in its order a source that has run out leaves its slots to the others."""
-    return mixing.mix_sources(docs).select("row.*", "mix_slot")
+    return mixing.mix_sources(docs).select("row.*", F.col("mix_slot").alias(free_name("mix_slot", docs.columns)))
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, mix_slot, shard and slot."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "shard", "slot"))
-    return sharding.shard(docs, carry=carry).select(*docs.columns, "shard", "slot")
+    return sharding.shard(docs, carry=True).select("row.*", *(F.col(c).alias(free_name(c, docs.columns)) for c in ("shard", "slot")))
 
 
 STAGES = [
@@ -51,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,12 +10,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinmatch.llm.text import Chunk, chunks
-from kinmatch.operators.graph import saved
+from kinmatch.operators.graph import saved, shared_folder
 
-__all__ = ["map_texts", "one_blas_thread", "saved", "stored", "table"]
+__all__ = ["free_name", "map_texts", "one_blas_thread", "quoted", "removed", "saved", "stored", "table", "whole"]
 
 
 @lru_cache(maxsize=1)
@@ -36,11 +37,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, fallback: str = "/tmp/kinmatch-checkpoints") -> DataFrame:
-    """df as Parquet in a new folder under spark.checkpoint.dir, read again."""
-    path = f"{df.sparkSession.conf.get('spark.checkpoint.dir', fallback)}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as Parquet in a new folder of the shared one, read again, and that folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """The folder goes."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no name of theirs meets one of an operator's."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)) if df.columns else F.struct(F.lit(None).alias("none"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with as many underscores after it as make it none of taken, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def map_texts(

@@ -290,7 +290,7 @@ def test_hilbert_neighbours_and_bijection():
 
 def test_shards_are_even_gapless_and_complete(spark):
     rows = EDGE + [(k, prose(k % 9, k % 4)) for k in range(100, 140)]
-    got = sharding.shard(documents(spark, rows), carry=("kept", "lang")).collect()
+    got = sharding.shard(documents(spark, rows), carry=True).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     sizes = Counter(r.shard for r in got)
     assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
@@ -304,6 +304,50 @@ def test_shards_are_even_gapless_and_complete(spark):
 # -- 5 --
 
 
+def test_copies_join_alike_by_either_way(spark, monkeypatch):
+    rows = [(k, prose(5, k % 3)) for k in range(50)]
+    wanted = sorted(map(str, sharding.shard(documents(spark, rows)).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_GROUPS", 0)
+    assert sorted(map(str, sharding.shard(documents(spark, rows)).collect())) == wanted
+
+
+def plain_curve(point, bits):
+    """The place of a point on the curve, by walking it: cells in the order of the Gray code, each turned to begin and end at its neighbours'."""
+    n, index, entry, way = len(point), 0, 0, 0
+    left = lambda x, k: ((x << k) | (x >> (n - k))) & ((1 << n) - 1)
+    right = lambda x, k: left(x, n - k) if k else x
+    gray = lambda i: i ^ (i >> 1)
+    ones = lambda i: len(bin(i)) - len(bin(i).rstrip("1")) if i else 0
+    for bit in range(bits - 1, -1, -1):
+        cell = sum((point[k] >> bit & 1) << k for k in range(n))
+        turned = right(cell ^ entry, (way + 1) % n)
+        w = next(i for i in range(1 << n) if gray(i) == turned)
+        start = 0 if w == 0 else gray(2 * ((w - 1) // 2))
+        step = 0 if w == 0 else ones(w - 1) % n if w % 2 == 0 else ones(w) % n
+        entry ^= left(start, (way + 1) % n)
+        way = (way + step + 1) % n
+        index = index << n | w
+    return index
+
+
+@pytest.mark.parametrize(("dims", "bits"), [(2, 3), (3, 2), (3, 3)])
+def test_order_is_that_of_a_curve_walked_plainly(dims, bits):
+    grid = list(itertools.product(range(1 << bits), repeat=dims))
+    ours = sharding.hilbert_index(np.array(grid), bits)
+    theirs = [plain_curve(p, bits) for p in grid]
+    # Both are orders of all cells in unit steps; in two dimensions they are the same but for which axis comes first and where the curve begins.
+    for index in (ours, theirs):
+        path = np.array(grid)[np.argsort(index)]
+        assert sorted(index) == list(range(len(grid))) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+        # Every aligned cube of half, a quarter, ... the side is passed in one go.
+        for shift in range(1, bits):
+            cubes = [tuple(x) for x in path >> shift]
+            assert len([1 for _ in itertools.groupby(cubes)]) == len(set(cubes))
+    if dims == 2:
+        axes = [np.argsort([plain_curve((p[i], p[1 - i]), bits) for p in grid]).tolist() for i in range(2)]
+        assert np.argsort(ours).tolist() in axes
+
+
 def test_quality_counts_and_cleaning(spark):
     rows = EDGE + [(k, prose(40, k) + ".\n" + prose(3, k) + " | menu | x | y\nHOME NOW!!\n" + prose(40, k)) for k in range(10, 14)]
     got = {(r.doc_id, r.cleaned): r for r in quality.clean_lines(documents(spark, rows)).collect()}
@@ -344,6 +388,18 @@ def test_mix_never_strays_a_block(spark):
     assert mixing.mix_sources(df.limit(0), mix).count() == 0
 
 
+def test_mix_of_nulls_repeats_clashing_names_and_many_sources(spark, monkeypatch):
+    rows = [(None, "a"), (None, "a"), (1, "b"), (1, "b"), (2, None)] + [(k, "x") for k in range(10, 700)]
+    df = documents(spark, rows).withColumn("source", F.when(F.col("doc_id") >= 10, F.concat(F.lit("s"), F.col("doc_id") % 60)))
+    df = df.select("*", F.lit(7).alias("row"), F.lit(8).alias("mix_slot"), F.lit(9).alias("a.b"), F.lit("p").alias("piece"))
+    got = mixing.mix_sources(df, mixing.Mix(slots=32, block_rows=2)).collect()
+    assert Counter((r.row.doc_id, r.row.text, r.row.mix_slot, r.row["a.b"]) for r in got) == Counter((i, t, 8, 9) for i, t in rows)
+    assert max(Counter(r.mix_slot for r in got).values()) <= 2
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    again = mixing.mix_sources(df, mixing.Mix(slots=32, block_rows=2)).collect()
+    assert Counter(map(str, again)) == Counter(map(str, got))
+
+
 def test_a_tiny_source_does_not_end_the_pipelines_mix(spark):
     source = F.when(F.col("doc_id") < 3, "tiny").when(F.col("doc_id") < 60_000, "a").otherwise("b")
     df = spark.range(100_003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).withColumn("source", source)
@@ -405,6 +461,13 @@ def test_near_duplicates_equal_all_pairs(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
 
 
+def test_lists_in_blocks_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 5)
+    rows = copies()
+    got = near_dup.near_duplicates(documents(spark, rows), near_dup.NearDup(rounds=0)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5)
+
+
 def test_one_of_each_keeps_one_row(spark):
     rows = copies()
     got = near_dup.one_of_each(documents(spark, rows + rows[:3])).collect()
