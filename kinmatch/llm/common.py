@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.text import Chunk, chunks
 from kinmatch.operators.graph import saved, shared_folder
 
-__all__ = ["free_name", "map_texts", "one_blas_thread", "quoted", "removed", "saved", "stored", "table", "whole"]
+__all__ = ["free_name", "map_texts", "one_blas_thread", "quoted", "removed", "saved", "stored", "table", "whole", "with_text"]
 
 
 @lru_cache(maxsize=1)
@@ -56,6 +56,11 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in df.columns)) if df.columns else F.struct(F.lit(None).alias("none"))
 
 
+def with_text(df: DataFrame, text_col: str) -> DataFrame:
+    """df's rows as a struct `row`, and the text: what passes through Python whatever the names of the columns."""
+    return df.select(whole(df).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, one_blas_thread, saved
+from kinmatch.llm.common import map_texts, one_blas_thread, quoted, saved, with_text
 from kinmatch.llm.text import Chunk, chunks, folded, run_hash
 
 BUCKETS = 1 << 18
@@ -327,13 +327,13 @@ def scans(df: DataFrame, benchmark: DataFrame, p: Decontam, text_col: str = "tex
             used = np.unique((np.concatenate(own) % np.uint64(FEATURES)).astype(np.int64))
             out.append(Index([rows[i][1] for i in at], own, shared.value, used, latent_space(own, used, shared.value, p), p))
             out[-1].idf = None  # all have the same one
-        return pa.table({"slab": pa.array([table.column("slab")[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(out)], pa.binary())})
+        return pa.table({"slab": pa.array([table.column("slab")[0].as_py()], pa.int32()), "built": pa.array([pickle.dumps(out)], pa.binary())})
 
     for k in range(n):
         rows = parts.where(F.col("slab") % n == k)
         out = []
-        for r in rows.where("not short").groupBy("slab").applyInArrow(index, "slab int, index binary").orderBy("slab").collect():
-            for one in pickle.loads(r.index):
+        for r in rows.where("not short").groupBy("slab").applyInArrow(index, "slab int, built binary").orderBy("slab").collect():
+            for one in pickle.loads(r.built):
                 one.idf = idf
                 out.append(one)
         short = [(r.item_id, np.array(r.words, np.int64).view(np.uint64)) for r in rows.where("short").collect()]
@@ -380,7 +380,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id
             return None
         return pa.RecordBatch.from_arrays([rows.column("row_id").take(pa.array(doc)), items.take(pa.array(q)), pa.array(share), pa.array(cosine)], ["row_id", "item", "lcs_share", "cosine"])
 
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(quoted(id_col)).alias("row_id"), F.col(quoted(text_col)).cast("string").alias("text"))
     found = df.sparkSession.createDataFrame([], schema)
     for scan in scans(df, benchmark, p, text_col, item_col, item_text):
         items = pa.array([item for index in scan for item in index.items])
@@ -390,12 +390,14 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """df's rows, all columns, whose text holds no benchmark item."""
+
     def out(rows, c, leaks):
         keep = np.ones(c.n, bool)
         keep[leaks[0]] = False
         return rows.filter(pa.array(keep))
 
-    clean = df
+    clean = with_text(df, text_col)
+    schema = clean.schema
     for scan in scans(df, benchmark, p, text_col, item_col, item_text):
-        clean = _each(clean, text_col, scan, df.schema, out)
-    return clean
+        clean = _each(clean, "text", scan, schema, out)
+    return clean.select("row.*")

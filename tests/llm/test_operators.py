@@ -1,6 +1,5 @@
 """Each operator against a brute-force version, and on nulls, empty and repeated rows and empty tables."""
 
-import hashlib
 import itertools
 import random
 import re
@@ -620,8 +619,7 @@ def test_short_items_among_rare_words_are_found(spark):
     assert left == {k for k, _ in rows} - {k for k, t in items if t and k != 201}
 
 
-def test_queries_are_registered_and_hashes_agree():
+def test_queries_are_registered():
     from kinmatch.llm.queries import QUERIES
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
