@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kinmatch.llm.text import Chunk, chunks
 from kinmatch.operators.graph import saved, shared_folder
 
-__all__ = ["free_name", "map_texts", "one_blas_thread", "quoted", "removed", "saved", "stored", "table", "whole", "with_text"]
+__all__ = ["free_name", "map_texts", "one_blas_thread", "quoted", "removed", "saved", "stored", "table", "whole"]
 
 
 @lru_cache(maxsize=1)
@@ -56,11 +56,6 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in df.columns)) if df.columns else F.struct(F.lit(None).alias("none"))
 
 
-def with_text(df: DataFrame, text_col: str) -> DataFrame:
-    """df's rows as a struct `row`, and the text: what passes through Python whatever the names of the columns."""
-    return df.select(whole(df).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -79,13 +74,15 @@ def map_texts(
     make: Callable[[], Callable[[pa.RecordBatch, Chunk], pa.RecordBatch | None]],
     schema: str,
     through: Callable[[np.ndarray], np.ndarray] | None = None,
+    inside: str | None = None,
 ) -> DataFrame:
-    """df through make()(rows, chunk) for every chunk of texts; make runs once for each task."""
+    """df through make()(rows, chunk) for every chunk of texts; make runs once for each task. inside: the struct that has the text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for chunk in chunks(batch.column(text), through):
+            texts = batch.column(inside).field(text) if inside else batch.column(text)
+            for chunk in chunks(texts, through):
                 out = fn(batch.slice(chunk.rows.start, chunk.rows.stop - chunk.rows.start), chunk)
                 if out is not None and out.num_rows:
                     yield out

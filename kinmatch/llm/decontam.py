@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, one_blas_thread, quoted, saved, with_text
+from kinmatch.llm.common import map_texts, one_blas_thread, quoted, saved, whole
 from kinmatch.llm.text import Chunk, chunks, folded, run_hash
 
 BUCKETS = 1 << 18
@@ -358,14 +358,14 @@ def _all_leaks(scan: list[Index | Runs], c: Chunk) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _each(df: DataFrame, text_col: str, scan: list[Index | Runs], schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None]) -> DataFrame:
+def _each(df: DataFrame, text_col: str, scan: list[Index | Runs], schema, out: Callable[[pa.RecordBatch, Chunk, tuple], pa.RecordBatch | None], inside: str | None = None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(scan)
 
     def make():
         one_blas_thread()
         return lambda rows, c: out(rows, c, _all_leaks(shared.value, c))
 
-    return map_texts(df, text_col, make, schema, through=folded)
+    return map_texts(df, text_col, make, schema, folded, inside)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -396,8 +396,8 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(),
         keep[leaks[0]] = False
         return rows.filter(pa.array(keep))
 
-    clean = with_text(df, text_col)
+    clean = df.select(whole(df).alias("row"))
     schema = clean.schema
     for scan in scans(df, benchmark, p, text_col, item_col, item_text):
-        clean = _each(clean, "text", scan, schema, out)
+        clean = _each(clean, text_col, scan, schema, out, "row")
     return clean.select("row.*")

@@ -94,11 +94,11 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", source_
     while 16**digits * mix.piece_rows < n and digits < 6:
         digits += 1
     piece = F.substring("key", 1, digits)
-    pieces = saved(keys.groupBy("source", piece.alias("piece")).agg(F.count("*").alias("rows")))
+    pieces = keys.groupBy("source", piece.alias("piece")).agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("rows").over(Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = pieces.withColumn("before", before).select("source", "piece", "before")
     counts = pieces.groupBy("source").agg(F.sum("rows").alias("n"))
-    plan = saved(schedule(quotas(counts, mix)))
+    plan = saved(schedule(quotas(counts, mix)).coalesce(1))
     # The first slot whose source has no block left.
     blocks = F.ceil(F.col("n") / mix.block_rows)
     ends = counts.join(plan, "source").where(F.col("j") == blocks % F.col("quota")).select((F.floor(blocks / F.col("quota")) * F.col("period") + F.col("slot")).alias("end"))
