@@ -21,7 +21,7 @@ def decode_entities(c: Column) -> Column:
     named = lambda e: F.try_element_at(F.create_map(*(F.lit(x) for kv in _NAMED.items() for x in kv)), e)
     found = F.transform(F.regexp_extract_all(c, F.lit(f"({_ENTITY})"), F.lit(1)), lambda e: F.coalesce(named(e), _char(number(e)), e))
     parts = F.split(c, _ENTITY, -1)
-    mixed = F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit(""))))
+    mixed = F.zip_with(parts, found, lambda p, f: F.concat(p, F.coalesce(f, F.lit(""))))
     return F.when(F.contains(c, F.lit("&")), F.array_join(mixed, "")).otherwise(c)
 
 

@@ -55,6 +55,16 @@ def acronym(a: Column, b: Column) -> Column:
     return F.when(way(a, b) | way(b, a), F.lit(100.0)).otherwise(F.lit(0.0))
 
 
+def team_similarity(a: Column, b: Column) -> Column:
+    """Likeness of two teams' folded names, the score alone."""
+    return similarity(a, b)
+
+
+def league_similarity(a: Column, b: Column) -> Column:
+    """Likeness of two leagues' folded names, the score alone."""
+    return similarity(a, b)
+
+
 def similarity(a: Column, b: Column) -> Column:
     none = F.coalesce(a, F.lit("")) == ""
     none = none | (F.coalesce(b, F.lit("")) == "")

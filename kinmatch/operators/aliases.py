@@ -38,6 +38,16 @@ def label_value(s: str | None) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("[̀-ͯ]", "", plain)).strip()
 
 
+def sport_by_key(key: str) -> tuple[str, str, tuple[str, ...]] | None:
+    """The catalog's row of a key."""
+    return next((row for row in catalog.SPORTS if row[0] == key), None)
+
+
+def sport_by_id(id_: str | int) -> tuple[str, str, tuple[str, ...]] | None:
+    """The catalog's row of an id."""
+    return next((row for row in catalog.SPORTS if str(row[1]) == str(id_)), None)
+
+
 @lru_cache(maxsize=1)
 def sport_labels() -> dict[str, str]:
     return {label_value(x): key for key, id_, names in catalog.SPORTS for x in (*names, key, id_)}
@@ -110,7 +120,18 @@ class Aliases:
         return out
 
     def stats(self) -> dict[str, int]:
-        return {"teams": len(self.team_names), "team_aliases": len(self.team_ids), "countries": len(self.countries), "regions": len(self.regions)}
+        return {
+            "teams": len(self.team_names), "team_aliases": len(self.team_ids), "countries": len(self.countries), "regions": len(self.regions),
+            "leagues": len(self.league_names), "league_aliases": len(self.leagues), "leagues_by_name_alone": len(self.league_alone), "known_aliases": len(self.known_aliases),
+        }
+
+    def team_by_id(self, id_: str) -> str | None:
+        """A team's canonical name."""
+        return self.team_names.get(id_)
+
+    def known_alias(self, folded: Column) -> Column:
+        """The folded canonical name of a folded alias."""
+        return T.lookup(self.known_aliases, folded)
 
     # -- teams --
 

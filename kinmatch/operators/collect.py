@@ -74,8 +74,16 @@ def summary(added: DataFrame) -> DataFrame:
     return added.groupBy("sport").agg(F.countDistinct("league_key").alias("leagues"), F.count("*").alias("matches"))
 
 
-def upsert(stored: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """stored with the rows of changes in place of those with their key, and new ones added."""
+def upsert(stored: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """stored with the rows of changes in place of those with their key, and new ones added.
+
+    Of several changes of a key the last counts, by `order`, a column of changes that is not kept;
+    without it the one with the greatest values.
+    """
+    names = [c for c in changes.columns if c != order]
+    last = F.desc(order) if order else F.struct(*(F.col(c) for c in names)).desc()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(last))
+    changes = changes.withColumn("_nth", nth).where("_nth = 1").select(*names)
     return stored.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 

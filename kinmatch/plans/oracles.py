@@ -261,4 +261,16 @@ FROM pages, LATERAL (SELECT replace(replace(replace(replace(replace(trim(regexp_
     "html_links": """
 SELECT page_id, (i - 1)::INT AS at, replace(regexp_extract(tags[i], 'href="([^"]*)"', 1), '&amp;', '&') AS href
 FROM (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*>') AS tags FROM pages), LATERAL (SELECT unnest(range(1, len(tags) + 1)) AS i)""",
+    "source_html": """
+SELECT 'FUTBOL' AS sport, event_id::VARCHAR AS event_id, 'A & B - L"' || event_id % 4 AS league_key, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time, 'h' || user_id AS home, 'a - ' || event_id AS away, 'added' AS state
+FROM events WHERE event_id % 2 = 0""",
+    "source_tree": """
+SELECT 'FUTBOL' AS sport, event_id::VARCHAR AS event_id, event_type || ' - C' || event_id % 9 AS league_key, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS date, strftime(ts + INTERVAL 3 HOUR, '%H:%M') AS time, 'h' || user_id AS home, 'a' || event_id AS away, 'added' AS state
+FROM events WHERE event_id % 7 <> 0 AND (event_id % 5 = 0 OR event_id % 3 IN (0, 2))""",
+    "source_records": """
+SELECT CASE event_id % 3 WHEN 0 THEN 'FUTBOL' ELSE 'BASKETBOL' END AS sport, event_id::VARCHAR AS event_id, CASE WHEN event_id % 5 > 0 THEN 'Venue' ELSE 'Land' END || ' - ' || CASE WHEN event_id % 4 = 0 THEN 'P' ELSE 'S' END || event_id % 7 AS league_key,
+       strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS date, strftime(ts + INTERVAL 3 HOUR, '%H:%M') AS time, 'h' || user_id AS home, 'a' || event_id AS away, 'added' AS state
+FROM events WHERE event_id % 10 <> 0 AND event_id % 3 <> 1""",
+    "helpers": """
+SELECT page_id, regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '[a-zA-Z0-9]{2,}\\.[a-zA-Z0-9]{2,}\\.[a-zA-Z0-9]{2,}') AS is_address, round(page_id::DOUBLE / 3, 2) AS third, (page_id % 5 + 1)::INT AS last FROM pages""",
 }

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from kinmatch.functions import html as H
 from kinmatch.functions import similarity as S
 from kinmatch.functions import text as T
-from kinmatch.functions import timeutil
+from kinmatch.functions import misc, timeutil
 from kinmatch.operators import collect, matching, report, suggest
 from kinmatch.operators.aliases import Aliases, canonical_sport, sport_of, sport_rank
 from kinmatch.plans.compare import Comparison, compare_listings
-from kinmatch.sources import nested
+from kinmatch.sources import connectors, nested
 
 SITES = ["alpha", "beta", "gamma"]
 
@@ -343,6 +343,56 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("page_id", "at", H.attributes(F.col("tag"))["href"].alias("href"))
 
 
+# -- sources: payloads of the three kinds of sites, made of events ----------------------------------
+
+_MENU = '<div><I class="b-check sport" id="check__1" layout="LC"></I><span class="sport-name">Football</span><i class="b-check stage" id="check__11"></i></div>'
+_ROW = ("sport", "event_id", "league_key", "date", "time", "home", "away", "state")
+
+
+def _text(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def source_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu and pages of one site, every event twice in its page, half of them of another sport."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    event = F.struct(_text(k).alias("mid"), _text(k % 9).alias("lid"), _text(k % 2 + 1).alias("sport_id"), F.concat(F.lit("h"), _text("user_id"), F.lit(" - a - "), _text(k)).alias("event"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_start_time"), F.concat(F.lit('L"'), _text(k % 4)).alias("league_name"), F.lit("A & B").alias("country_name"))
+    mark = F.concat(F.lit('<a rev="'), F.replace(F.replace(F.to_json(event), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"></a>'))
+    pages = e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(mark, mark))), "\n").alias("payload"))
+    captured = pages.select(F.lit("events").alias("kind"), F.lit("1").alias("sport_no"), "payload").unionByName(spark.createDataFrame([("menu", None, _MENU)], "kind string, sport_no string, payload string"))
+    return connectors.site_events("html", captured).select(*_ROW)
+
+
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a tree source: an answer for each type of event, its competitions and their games."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    game = F.struct(_text(k).alias("id"), F.concat(F.lit("h"), _text("user_id")).alias("team1_name"), F.concat(F.lit("a"), _text(k)).alias("team2_name"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("start_ts"), F.when(k % 7 == 0, "OUTRIGHT").alias("show_type"), (k % 3).cast("int").alias("type"), F.when(k % 5 == 0, 1).alias("visible_in_prematch"))
+    named = lambda key, value: F.map_from_entries(F.collect_list(F.struct(_text(key), value)))
+    games = e.withColumn("c", k % 9).groupBy("event_type", "c").agg(named(k, game).alias("game"))
+    competitions = games.groupBy("event_type").agg(named("c", F.struct(_text("c").alias("id"), F.concat(F.lit("C"), _text("c")).alias("name"), "game")).alias("competition"))
+    region = F.create_map(F.lit("1"), F.struct(F.lit("1").alias("id"), F.col("event_type").alias("name"), "competition"))
+    tree = F.struct(F.create_map(F.lit("1"), F.struct(F.lit("1").alias("id"), F.lit("Football").alias("name"), region.alias("region"))).alias("sport"))
+    return connectors.site_events("tree", competitions.select(F.lit("games").alias("kind"), F.lit("FUTBOL").alias("sport"), F.to_json(tree).alias("payload"))).select(*_ROW)
+
+
+def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk answers of typed records; one of three sports is virtual and not asked for."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    record = F.struct(
+        F.when(k % 10 == 0, "ODDS").otherwise("MATCH").alias("_type"), _text(k).alias("id"), _text(k % 3 + 1).alias("sportId"), _text(k % 7).alias("parentId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("startTime"),
+        F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("S"), _text(k % 7))).alias("shortParentName"), F.concat(F.lit("P"), _text(k % 7)).alias("parentName"), F.when(k % 5 > 0, "Venue").alias("venueName"), F.lit("Land").alias("categoryName"),
+        F.concat(F.lit("h"), _text("user_id")).alias("homeParticipantName"), F.concat(F.lit("a"), _text(k)).alias("awayParticipantName"),
+    )
+    bulk = e.groupBy("event_type").agg(F.to_json(F.collect_list(record)).alias("payload")).select(F.lit("matches").alias("kind"), "payload")
+    sports = '[{"_type":"SPORT","id":"1","name":"Football","numberOfUpcomingMatches":5},{"_type":"SPORT","id":"2","name":"Tennis","isVirtual":true,"numberOfUpcomingMatches":9},{"_type":"SPORT","id":"3","name":"Basketball","numberOfUpcomingMatches":1}]'
+    return connectors.site_events("records", bulk.unionByName(spark.createDataFrame([("sports", sports)], "kind string, payload string"))).select(*_ROW)
+
+
+def helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", misc.is_address(F.regexp_extract("url", "://([^/?#]*)", 1)).alias("is_address"))
+    return rows.withColumn("third", misc.fixed(F.col("page_id") / 3)).withColumn("last", F.element_at(misc.span(F.lit(1), (F.col("page_id") % 5 + 1).cast("int")), -1))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -351,5 +401,6 @@ QUERIES = {
         collect_states, collect_counters, collect_summary, nested_round_trip, json_scan, upsert_rows, replace_sites,
         blocking_pairs, scored_pairs, matched_pairs, unmatched_rows, clusters, report_discrepancies, report_summary, report_coverage,
         report_sites, report_pair_counts, report_single_site, cluster_times, suggestions, unresolved_teams, report_order, html_text, html_links,
+        source_html, source_tree, source_records, helpers,
     )
 }

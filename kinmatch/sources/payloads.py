@@ -25,20 +25,25 @@ def split_participants(name: Column) -> Column:
 
 
 def parse_menu(pages: DataFrame, html: str = "html") -> DataFrame:
-    """sport_no, name, layout, league_ids of a menu: markers of leagues belong to the sport's marker before them."""
-    tag = "(<i\\b[^>]*>(?:(?!<i\\b)[\\s\\S])*)"
-    parts = pages.select(*(c for c in pages.columns if c != html), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(1))).alias("at", "part"))
-    attrs = H.attributes(F.regexp_extract("part", "^(<i\\b[^>]*>)", 1))
+    """sport_no, name, layout, league_ids of menus: markers of leagues belong to the sport's marker before them.
+
+    Each capture is a menu of its own, known by the hash of its text; equal captures are one.
+    """
+    keys = ["capture", *(c for c in pages.columns if c not in (html, "capture"))]
+    if "capture" not in pages.columns:
+        pages = pages.withColumn("capture", F.xxhash64(F.col(html))).dropDuplicates(keys)
+    tag = "(?i)(<i\\b[^>]*>(?:(?!<i\\b)[\\s\\S])*)"
+    parts = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(1))).alias("at", "part"))
+    attrs = H.attributes(F.regexp_extract("part", "(?i)^(<i\\b[^>]*>)", 1))
     number = F.regexp_extract(F.coalesce(attrs["id"], F.lit("")), "^check__(\\d+)$", 1)
     classes = F.split(F.coalesce(attrs["class"], F.lit("")), "\\s+")
     kind = F.when(F.array_contains(classes, "b-check") & F.array_contains(classes, "sport"), "sport").when(F.array_contains(classes, "b-check") & F.array_contains(classes, "stage"), "stage")
     name = H.strip_tags(F.regexp_extract("part", "(?i)<span\\b[^>]*class=[\"'][^\"']*\\bsport-name\\b[^\"']*[\"'][^>]*>([\\s\\S]*?)</span>", 1))
     marks = parts.select("*", number.alias("number"), kind.alias("kind"), F.when(name != "", name).otherwise(F.concat(F.lit("SPORT_"), number)).alias("name"), F.coalesce(attrs["layout"], F.lit("")).alias("layout")).where("number <> '' and kind is not null").drop("part")
-    keys = [c for c in pages.columns if c != html]
     w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     scoped = marks.withColumn("scope", F.last(F.when(F.col("kind") == "sport", F.struct("at", "number", "name", "layout")), ignorenulls=True).over(w)).where("scope is not null")
     leagues = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "stage", F.struct("at", "number")))), lambda x: x["number"]))
-    return scoped.groupBy(*keys, "scope").agg(leagues.alias("league_ids")).select(*keys, F.col("scope.at").alias("at"), F.col("scope.number").alias("sport_no"), F.col("scope.name").alias("name"), F.col("scope.layout").alias("layout"), "league_ids")
+    return scoped.groupBy(*keys, "scope").agg(leagues.alias("league_ids")).select(*(k for k in keys if k != "capture"), F.col("scope.at").alias("at"), F.col("scope.number").alias("sport_no"), F.col("scope.name").alias("name"), F.col("scope.layout").alias("layout"), "league_ids")
 
 
 def select_sports(menu: DataFrame, enabled: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -52,15 +57,21 @@ EVENT = "struct<mid:string,lid:string,sport_id:string,event:string,event_start_t
 
 
 def parse_events(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Event records in rev="{json}" attributes, the first of each mid."""
-    keys = [c for c in pages.columns if c != html]
-    revs = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col(html), F.lit('\\brev="([^"]+)"'), F.lit(1))).alias("at", "rev"))
+    """Event records in rev="{json}" attributes, the first of each mid over all captures of the same keys.
+
+    at: the place in all of them, by capture (its name, or else the hash of its text) and position.
+    """
+    keys = [c for c in pages.columns if c not in (html, "capture")]
+    capture = F.xxhash64(F.col("capture")) if "capture" in pages.columns else F.xxhash64(F.col(html))
+    pages = pages.select(*keys, capture.alias("capture"), html)
+    revs = pages.select(*keys, "capture", F.posexplode(F.regexp_extract_all(F.col(html), F.lit('\\brev="([^"]+)"'), F.lit(1))).alias("at", "rev"))
     text = H.decode_entities(F.col("rev"))
-    rows = revs.where(text.startswith("{") & text.endswith("}")).select(*keys, "at", F.from_json(text, EVENT).alias("e"))
+    rows = revs.where(text.startswith("{") & text.endswith("}")).select(*keys, "capture", F.col("at").alias("place"), F.from_json(text, EVENT).alias("e"))
     full = lambda c: blank(F.col(f"e.{c}")) != ""
     rows = rows.where(full("mid") & full("event_start_time") & full("lid"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "e.mid").orderBy("at"))
-    return rows.withColumn("nth", nth).where("nth = 1").select(*keys, "at", "e.*")
+    nth = F.row_number().over(Window.partitionBy(*keys, "e.mid").orderBy("capture", "place"))
+    at = F.struct("capture", "place").alias("at")
+    return rows.withColumn("nth", nth).where("nth = 1").select(*keys, at, "e.*")
 
 
 def html_events(events: DataFrame, sport_no: Column, sport: Column) -> DataFrame:
@@ -96,9 +107,9 @@ def tree_events(trees: DataFrame, sport: Column, payload: str = "payload") -> Da
     rows = trees.select("*", F.explode(F.map_values(F.from_json(payload, schema)["sport"])).alias("s"))
     rows = rows.select("*", F.explode(F.map_values("s.region")).alias("r"))
     rows = rows.select("*", F.explode(F.map_values("r.competition")).alias("c"))
-    rows = rows.select("*", F.posexplode(F.map_values("c.game")).alias("at", "g")).where((F.coalesce("g.show_type", F.lit("")) != "OUTRIGHT") & prematch(F.col("g")))
+    rows = rows.select("*", F.posexplode(F.map_values("c.game")).alias("place", "g")).where((F.coalesce("g.show_type", F.lit("")) != "OUTRIGHT") & prematch(F.col("g")))
     when = timeutil.local_from_seconds(F.col("g.start_ts"))
-    return rows.select(sport.alias("sport"), F.col("g.id").alias("event_id"), F.col("c.id").alias("league_id"), F.col("c.name").alias("league_name"), F.col("r.name").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("g.team1_name").alias("home"), F.col("g.team2_name").alias("away"), F.col("at").cast("bigint").alias("arrival"))
+    return rows.select(sport.alias("sport"), F.col("g.id").alias("event_id"), F.col("c.id").alias("league_id"), F.col("c.name").alias("league_name"), F.col("r.name").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("g.team1_name").alias("home"), F.col("g.team2_name").alias("away"), F.struct(F.xxhash64(payload).alias("capture"), F.col("place")).alias("arrival"))
 
 
 # -- typed records --------------------------------------------------------------------------------
@@ -110,7 +121,8 @@ RECORD = (
 
 
 def records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    return payloads.select(F.posexplode(F.from_json(payload, RECORD)).alias("at", "r")).select("at", "r.*")
+    rows = payloads.select(F.xxhash64(payload).alias("capture"), F.posexplode(F.from_json(payload, RECORD)).alias("place", "r"))
+    return rows.select(F.struct("capture", "place").alias("at"), "r.*")
 
 
 def discover_sports(rows: DataFrame, enabled: list[str] | None = None) -> DataFrame:
@@ -126,4 +138,4 @@ def record_events(rows: DataFrame, sport_id: Column, sport: Column) -> DataFrame
     first = lambda *names: F.coalesce(*(F.when(blank(F.col(n)) != "", F.col(n)) for n in names))
     when = timeutil.local_from_ms(F.col("startTime"))
     own = rows.where((F.col("_type") == "MATCH") & (F.col("sportId") == sport_id))
-    return own.select(sport.alias("sport"), F.col("id").alias("event_id"), F.col("parentId").alias("league_id"), first("shortParentName", "parentName").alias("league_name"), first("venueName", "categoryName").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("homeParticipantName").alias("home"), F.col("awayParticipantName").alias("away"), F.col("at").cast("bigint").alias("arrival"))
+    return own.select(sport.alias("sport"), F.col("id").alias("event_id"), F.col("parentId").alias("league_id"), first("shortParentName", "parentName").alias("league_name"), first("venueName", "categoryName").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("homeParticipantName").alias("home"), F.col("awayParticipantName").alias("away"), F.col("at").alias("arrival"))
