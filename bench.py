@@ -3,6 +3,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -12,6 +13,20 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
+def recall(spark, sf_dir: str) -> tuple[float, str]:
+    """The share of matches among all pairs of a sport and neighbouring days that blocking keeps, at a scale where these can be scored."""
+    from kinmatch.operators import matching
+    from kinmatch.plans import queries as q
+
+    rows = matching.saved(matching.with_features(q.listings(spark, sf_dir), q.aliases()))
+    a, b = (rows.select(F.col("rid").alias(s), F.col("site_idx").alias(f"site_{s}"), F.col("sport").alias(f"sport_{s}"), F.to_date("date").alias(f"day_{s}")) for s in "ab")
+    every = a.join(b, (F.col("sport_a") == F.col("sport_b")) & (F.col("site_a") < F.col("site_b")) & (F.abs(F.datediff("day_a", "day_b")) <= 1))
+    every = every.select("a", "b", F.lit(0).alias("day_offset"), F.lit(0).alias("prefix_pos"))
+    good = matching.saved(matching.score_pairs(every, rows)).where("reason is null and confidence >= 0.75").select("a", "b")
+    kept = good.join(matching.candidate_pairs(rows).select("a", "b"), ["a", "b"], "left_semi")
+    return round(kept.count() / max(1, good.count()), 6), sf_dir.rpartition("/")[2]
+
+
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
@@ -19,7 +34,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.checkpoint.dir", "/tmp/kinmatch-bench")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="kinmatch-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,7 +61,9 @@ def main() -> None:
     facts["pairs_share"] = round(facts["pairs_blocked"] / every, 6)
     edges = timed("scoring", lambda: matching.saved(matching.score_pairs(pairs, rows)))
     good = edges.where("reason is null and confidence >= 0.75").drop("reason")
-    matched = timed("assignment", lambda: matching.saved(matching.assign(good)))
+    won: list[int] = []
+    matched = timed("assignment", lambda: matching.saved(matching.assign(good, won_in=won)))
+    facts["assignment_rounds"] = len(won)
     clusters = timed("clustering", lambda: matching.saved(matching.cluster(rows, matched)))
     from kinmatch.operators import report
 
@@ -60,6 +77,7 @@ def main() -> None:
         llm = {}
     for name, run in ((k, v) for k, v in llm.items() if k.startswith(("op3_", "op5_", "op7_", "op9_"))):
         timed(name, lambda run=run: run(spark, SF_DIR).write.format("noop").mode("overwrite").save())
+    facts["blocking_recall"], facts["recall_at"] = recall(spark, SF_DIR.replace(SF_DIR.rpartition("sf")[2], "0.001"))
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": SF_DIR.rpartition("sf")[2], "facts": facts}))
 
 

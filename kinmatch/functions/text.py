@@ -94,16 +94,16 @@ def fold_exonym(token: Column) -> Column:
     return F.coalesce(lookup(W.EXONYMS, token), token)
 
 
-_SPELLINGS = {s: q for q, spellings in W.QUALIFIER_SPELLINGS.items() for s in spellings}
-_CLASSES = {s: q for q, spellings in W.LEAGUE_QUALIFIER_CLASSES.items() for s in spellings}
+def _unplural(token: Column) -> Column:
+    return F.regexp_replace(token, "s$", "")
 
 
 def normalize_qualifier(token: Column) -> Column:
-    return F.coalesce(lookup(_SPELLINGS, token), token)
+    return F.coalesce(lookup(W.QUALIFIER_SPELLINGS, token), token)
 
 
 def qualifier_class(token: Column) -> Column:
-    return F.coalesce(lookup(_CLASSES, token), token)
+    return F.coalesce(lookup(W.LEAGUE_QUALIFIER_CLASSES, token), token)
 
 
 def as_set(items: Column) -> Column:
@@ -184,6 +184,6 @@ def league_name(name: Column) -> Column:
 def split_league_qualifiers(folded: Column) -> Column:
     """struct<core, quals> of a folded league name; words of its stage are dropped."""
     parts = tokens(folded)
-    quals = F.transform(F.filter(parts, lambda t: one_of(W.LEAGUE_QUALIFIERS, t)), lambda t: F.regexp_replace(F.regexp_replace(t, "s$", ""), "^kadinlar?$", "women"))
+    quals = F.transform(F.filter(parts, lambda t: one_of(W.LEAGUE_QUALIFIERS, t)), lambda t: F.coalesce(lookup(W.LEAGUE_QUALIFIER_SPELLINGS, _unplural(t)), _unplural(t)))
     core = joined(F.filter(parts, lambda t: ~one_of([*W.LEAGUE_QUALIFIERS, *W.STAGE_NOISE], t)))
     return F.struct(F.when(core != "", core).otherwise(folded).alias("core"), as_set(quals).alias("quals"))
