@@ -127,6 +127,12 @@ def postings(nodes: DataFrame, p: NearDup) -> DataFrame:
     return alive.select(F.explode(F.slice("keys", 1, F.size("keys") - p.matches + 1)).alias("k"), "node", "n", "pull").select("k.key", "node", "n", "pull")
 
 
+def _with_key_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined with facts, one row for each key, on a salted key: a list may be long."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def across(rooted: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """a, b: the pairs of different components on a list whose bitmaps leave a link possible.
 
@@ -134,15 +140,14 @@ def across(rooted: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     fewer shared bits has shingles on a bit that another took. Texts of a group of copies that
     changed too much fail this, so they are not paired with the whole group.
     """
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    # A long list is cut into blocks, and each two blocks, or a block with itself, meet in a task of their own.
+    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
+    open_keys = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", blocks.alias("blocks"))
     # Higher-order functions, not a term for each word: the code of the join stays small enough to be compiled.
     total = lambda words: F.aggregate(words, F.lit(0), lambda n, w: n + F.bit_count(w))
     own = total(F.col("bits"))
-    rows = rooted.join(open_keys, "key").join(sets.select("node", "bits"), "node").select("key", "node", "root", "n", "bits", (F.col("n") - own).alias("hidden"))
-    # A long list is cut into blocks, and each two blocks, or a block with itself, meet in a task of their own.
-    blocks = F.ceil(F.col("size") / BLOCK_NODES).cast("int")
-    sizes = rooted.groupBy("key").agg(F.count("*").alias("size")).select("key", blocks.alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = _with_key_facts(rooted, open_keys).join(sets.select("node", "bits"), "node").select("key", "blocks", "node", "root", "n", "bits", (F.col("n") - own).alias("hidden"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     one = rows.withColumn("low", F.col("block")).withColumn("high", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("one")
     two = rows.withColumn("high", F.col("block")).withColumn("low", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("two")
     common = total(F.zip_with("one.bits", "two.bits", lambda x, y: x.bitwiseAND(y))) + F.least("one.hidden", "two.hidden")
@@ -200,7 +205,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFrame:
             pairs = across(rooted, sets, p)
         else:
             hubs = open_lists.select("key", "hub").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
-            pairs = rooted.join(hubs, "key").where("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            pairs = _with_key_facts(rooted, hubs).where("root <> hub_root").select(F.col("node").alias("a"), F.col("hub").alias("b"))
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         joined = linked(pairs).join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
         moved = components(joined.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b"))
