@@ -101,62 +101,75 @@ class Attention:
         back = np.arange(b)[:, None] + b - np.arange(2 * b)[None, :]  # how far back each key of a window is
         self.back, self.seen = np.maximum(back, 0), back >= 0
 
-    def _forward(self, rows: np.ndarray, opens: np.ndarray):
-        """rows: (blocks, block) of input rows; opens: blocks without one before. Logits and what backward needs."""
-        w, d = self.w, self.shape.dim
-        x = w["e"][rows]
-        # Flat products: one large one instead of one for each block.
-        times = lambda y, m: (y.reshape(-1, y.shape[-1]) @ m).reshape(*y.shape[:-1], m.shape[1])
-        q, k, v = np.split(times(x, np.concatenate([w["q"], w["k"], w["v"]], axis=1)), 3, axis=2)
-        keys, values = (np.concatenate([np.concatenate([np.zeros_like(y[:1]), y[:-1]]), y], axis=1) for y in (k, v))
-        s = q @ keys.transpose(0, 2, 1)
-        s *= np.float32(d**-0.5)
-        s += np.where(self.seen, w["r"][self.back], np.float32(-30))
+    def _attend(self, q: np.ndarray, keys: np.ndarray, opens: np.ndarray) -> np.ndarray:
+        """Weights of each window's keys for its own block's queries; opens: blocks without one before."""
+        # Small products of transposed views take thrice as long as those of copies.
+        s = q @ np.ascontiguousarray(keys.transpose(0, 2, 1))
+        s += np.where(self.seen, self.w["r"][self.back], np.float32(-30))
         s[opens, :, : self.shape.block] = -30
         np.exp(s, out=s)
         s /= s.sum(2, keepdims=True)
-        z = s @ values
-        h = x + times(z, w["o"])
-        logits = times(h, w["u"])
-        logits += self.direct[rows]
-        logits += w["c"]
-        return logits, (x, q, keys, values, s, z, h)
+        return s
+
+    def _windows(self, y: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Columns lo..hi of the rows of y, (blocks + 1) * block of them, as windows of two blocks; a view."""
+        b, (down, right) = self.shape.block, y.strides
+        return np.lib.stride_tricks.as_strided(y[:, lo:hi], (len(y) // b - 1, 2 * b, hi - lo), (b * down, down, right), writeable=False)
 
     def _step(self, rows: np.ndarray, opens: np.ndarray, klass: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss and gradients over the real positions."""
-        w, d, b = self.w, self.shape.dim, self.shape.block
-        logits, (x, q, keys, values, a, z, h) = self._forward(rows, opens)
-        # Log probabilities and a few units: no largest one need be taken off.
-        p = np.exp(logits, out=logits)
-        p *= 1 / p.sum(2, keepdims=True)
-        n = max(1, int(real.sum()))
-        at = np.take_along_axis(p, klass[..., None], 2)[..., 0]
-        loss = float(-np.log(np.maximum(at, 1e-12))[real].mean())
-        np.put_along_axis(p, klass[..., None], (at - 1)[..., None], 2)
-        p[~real] = 0
+        w, d, b, scale = self.w, self.shape.dim, self.shape.block, np.float32(self.shape.dim**-0.5)
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"u": flat(h).T @ flat(p) / n, "c": np.ones(real.size, p.dtype) @ flat(p) / n}
-        dh = (flat(p) @ (w["u"].T / n)).reshape(h.shape)
-        g["o"] = flat(z).T @ flat(dh)
-        dz = (flat(dh) @ w["o"].T).reshape(h.shape)
-        da = dz @ values.transpose(0, 2, 1)
-        dvalues = a.transpose(0, 2, 1) @ dz
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        # A block before the first, which no window sees, makes all windows views of one array.
+        x = w["e"][np.concatenate([np.full(b, self.numbering.begin), rows.reshape(-1)])]
+        qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)
+        y = x @ qkv
+        x, q = x[b:], y[b:, :d].reshape(-1, b, d)
+        keys, values = self._windows(y, d, 2 * d), self._windows(y, 2 * d, 3 * d)
+        a = self._attend(q, keys, opens)
+        z = a @ values
+        h = x + flat(z) @ w["o"]
+        loss, g, dh = self._output(h, rows.reshape(-1), klass.reshape(-1), real.reshape(-1))
+        g["o"] = flat(z).T @ dh
+        dz = (dh @ w["o"].T).reshape(z.shape)
+        ds = dz @ np.ascontiguousarray(values.transpose(0, 2, 1))
+        ds -= (ds * a).sum(2, keepdims=True)
+        ds *= a
         g["r"] = np.bincount(self.back[self.seen], ds.sum(0)[self.seen], 2 * b).astype(np.float32)
-        ds *= np.float32(d**-0.5)
-        dq, dkeys = ds @ keys, ds.transpose(0, 2, 1) @ q
-        dk, dv = dkeys[:, b:].copy(), dvalues[:, b:].copy()
-        dk[:-1] += dkeys[1:, :b]
-        dv[:-1] += dvalues[1:, :b]
-        dx = dh + (np.concatenate([flat(dq), flat(dk), flat(dv)], axis=1) @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T).reshape(h.shape)
-        g["q"], g["k"], g["v"] = flat(x).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        used, inverse = np.unique(rows.reshape(-1), return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        starts = np.searchsorted(inverse[order], np.arange(len(used)))
-        g["e"] = np.zeros_like(w["e"])
-        g["e"][used] = np.add.reduceat(flat(dx)[order], starts, axis=0)
+        dkeys, dvalues = ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
+        dy = np.concatenate([ds @ keys, dkeys[:, b:], dvalues[:, b:]], axis=2)
+        dy[:-1, :, d : 2 * d] += dkeys[1:, :b]
+        dy[:-1, :, 2 * d :] += dvalues[1:, :b]
+        dq, g["k"], g["v"] = np.split(x.T @ flat(dy), 3, axis=1)
+        g["q"] = dq * scale
+        dx = dh + flat(dy) @ qkv.T
+        place = rows.reshape(-1, 1) * d + np.arange(d)
+        g["e"] = np.bincount(place.reshape(-1), dx.reshape(-1), w["e"].size).reshape(w["e"].shape).astype(x.dtype)
         return loss, g
 
+    def _output(self, h: np.ndarray, rows: np.ndarray, klass: np.ndarray, real: np.ndarray, part: int = 1024) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean loss, gradients of the output weights and of h, `part` positions at a time."""
+        n, loss = max(1, int(real.sum())), 0.0
+        # The bias is one more row of weights.
+        h = np.concatenate([h, np.ones_like(h[:, :1])], axis=1)
+        u = np.concatenate([self.w["u"], self.w["c"][None]])
+        du, dh, ones = np.zeros_like(u), np.empty_like(h[:, :-1]), np.ones(u.shape[1], u.dtype)
+        for lo in range(0, len(h), part):
+            cut = slice(lo, lo + part)
+            # Log probabilities and a few units: no largest one need be taken off.
+            p = h[cut] @ u
+            p += self.direct[rows[cut]]
+            np.exp(p, out=p)
+            total, own = p @ ones, (np.arange(len(p)), klass[cut])
+            at = p[own]
+            loss -= float(np.log(np.maximum(at / total, 1e-12))[real[cut]].sum())
+            # Gradients before they are divided by the totals, which narrower arrays are instead.
+            p[own] = at - total
+            weight = (real[cut] / (total * n)).astype(h.dtype)[:, None]
+            du += (h[cut] * weight).T @ p
+            np.multiply(p @ self.w["u"].T, weight, out=dh[cut])
+        return loss / n, {"u": du[:-1], "c": du[-1]}, dh
+
     def _padded(self, before: np.ndarray, sizes: np.ndarray):
         """Places and input rows of ragged texts in blocks, and the blocks that begin a text."""
         at, opens = blocks_of(sizes, self.shape.block)
@@ -175,7 +188,12 @@ class Attention:
         klass, counted = klass.reshape(rows.shape), counted.reshape(rows.shape)
         cuts = [slice(lo, lo + batch) for lo in range(0, len(rows), batch)]
         steps, losses = len(cuts) * max(1, -(-least_steps // max(1, len(cuts)))), []
-        m, s = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        # All weights as one array, of which self.w has views.
+        names = sorted(self.w)
+        flat = np.concatenate([self.w[k].reshape(-1) for k in names])
+        ends = np.cumsum([self.w[k].size for k in names])
+        self.w = {k: y.reshape(self.w[k].shape) for k, y in zip(names, np.split(flat, ends[:-1]), strict=True)}
+        m, s = np.zeros_like(flat), np.zeros_like(flat)
         for t in range(1, steps + 1):
             cut = cuts[(t - 1) % len(cuts)]
             first = opens[cut].copy()
@@ -183,10 +201,15 @@ class Attention:
             loss, g = self._step(rows[cut], first, klass[cut], counted[cut])
             losses.append(loss)
             lr = rate * min(1, t / 20) * (1 - t / (steps + 1))
-            for k, v in self.w.items():
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                v -= (lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            now = np.concatenate([g[k].reshape(-1) for k in names]).astype(flat.dtype, copy=False)
+            m += 0.1 * (now - m)
+            now *= now
+            s += 0.01 * (now - s)
+            np.sqrt(s, out=now)
+            now += 1e-8 * (1 - 0.99**t) ** 0.5
+            np.divide(m, now, out=now)
+            now *= lr * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t)
+            flat -= now
         return losses
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -200,17 +223,25 @@ class Attention:
         at, rows, opens = self._padded(before, sizes)
         out, klass = np.zeros(rows.size, np.float32), np.zeros(rows.size, np.int64)
         klass[at] = self.numbering.klass[ids]
-        klass = klass.reshape(rows.shape)
-        b = self.shape.block
-        for lo in range(0, len(rows), 256):
+        b, d, w = self.shape.block, self.shape.dim, self.w
+        # The weights do not change here, so what depends on an input row alone is looked up.
+        y = w["e"] @ np.concatenate([w["q"] * np.float32(d**-0.5), w["k"], w["v"] @ w["o"]], axis=1)
+        alone = w["e"] @ w["u"]
+        alone += self.direct
+        alone += w["c"]
+        ones = np.ones(self.shape.classes, alone.dtype)
+        led = np.concatenate([np.full((1, b), self.numbering.begin), rows])
+        part = max(1, 1024 // b)
+        for lo in range(0, len(rows), part):
             # The block before comes along as context.
-            lead = 1 if lo else 0
-            cut = slice(lo - lead, lo + 256)
-            logits, _ = self._forward(rows[cut], opens[cut] | (np.arange(len(rows[cut])) == 0))
-            logits = logits[lead:]
-            top = np.take_along_axis(logits, klass[lo : lo + 256, :, None], 2)[..., 0]
+            here = led[lo : lo + part + 1].reshape(-1)
+            of = y[here]
+            a = self._attend(of[b:, :d].reshape(-1, b, d), self._windows(of, d, 2 * d), opens[lo : lo + part])
+            logits = (a @ self._windows(of, 2 * d, 3 * d)).reshape(-1, d) @ w["u"]
+            logits += alone[here[b:]]
+            top = logits[np.arange(len(logits)), klass[lo * b : (lo + part) * b]]
             np.exp(logits, out=logits)
-            out[lo * b : (lo + 256) * b] = (top - np.log(logits.sum(2))).reshape(-1)
+            out[lo * b : (lo + part) * b] = top - np.log(logits @ ones)
         return out[at].astype(np.float64) + self._within(before, ids)
 
     def _within(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
