@@ -347,12 +347,18 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MENU = '<div><I class="b-check sport" id="check__1" layout="LC"></I><span class="sport-name">Football</span><i class="b-check stage" id="check__11"></i></div>'
 _ROW = ("sport", "event_id", "league_key", "date", "time", "home", "away", "state")
+#: Events of one type to an answer at most, about: sites bound their answers (`connectors.LONGEST`), and a task holds whole ones.
+_ANSWER_IDS = 20_000
 
 
 def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def _answer(event_id: Column) -> Column:
+    return F.floor(event_id / _ANSWER_IDS).alias("answer")
+
+
 def source_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Menu and pages of one site, every event twice in its page, half of them of another sport."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
@@ -364,12 +370,12 @@ def source_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of a tree source: an answer for each type of event, its competitions and their games."""
+    """Answers of a tree source: answers for each type of event and range of ids, their competitions and games."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     game = F.struct(_text(k).alias("id"), F.concat(F.lit("h"), _text("user_id")).alias("team1_name"), F.concat(F.lit("a"), _text(k)).alias("team2_name"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("start_ts"), F.when(k % 7 == 0, "OUTRIGHT").alias("show_type"), (k % 3).cast("int").alias("type"), F.when(k % 5 == 0, 1).alias("visible_in_prematch"))
     named = lambda key, value: F.map_from_entries(F.collect_list(F.struct(_text(key), value)))
-    games = e.withColumn("c", k % 9).groupBy("event_type", "c").agg(named(k, game).alias("game"))
-    competitions = games.groupBy("event_type").agg(named("c", F.struct(_text("c").alias("id"), F.concat(F.lit("C"), _text("c")).alias("name"), "game")).alias("competition"))
+    games = e.withColumn("c", k % 9).groupBy("event_type", _answer(k), "c").agg(named(k, game).alias("game"))
+    competitions = games.groupBy("event_type", "answer").agg(named("c", F.struct(_text("c").alias("id"), F.concat(F.lit("C"), _text("c")).alias("name"), "game")).alias("competition"))
     region = F.create_map(F.lit("1"), F.struct(F.lit("1").alias("id"), F.col("event_type").alias("name"), "competition"))
     tree = F.struct(F.create_map(F.lit("1"), F.struct(F.lit("1").alias("id"), F.lit("Football").alias("name"), region.alias("region"))).alias("sport"))
     return connectors.site_events("tree", competitions.select(F.lit("games").alias("kind"), F.lit("FUTBOL").alias("sport"), F.to_json(tree).alias("payload"))).select(*_ROW)

@@ -104,12 +104,15 @@ def prematch(game: Column) -> Column:
 def tree_events(trees: DataFrame, sport: Column, payload: str = "payload") -> DataFrame:
     """Rows to collect from a games answer: sport -> region -> competition -> game; outrights are left out."""
     schema = _TREE.replace("game:string", f"game:map<string,{_GAME}>")
-    rows = trees.select("*", F.explode(F.map_values(F.from_json(payload, schema)["sport"])).alias("s"))
-    rows = rows.select("*", F.explode(F.map_values("s.region")).alias("r"))
-    rows = rows.select("*", F.explode(F.map_values("r.competition")).alias("c"))
-    rows = rows.select("*", F.posexplode(F.map_values("c.game")).alias("place", "g")).where((F.coalesce("g.show_type", F.lit("")) != "OUTRIGHT") & prematch(F.col("g")))
+    # An answer is hashed once, not for each of its games, and no row carries more of it than its own level.
+    rows = trees.select(sport.alias("sport"), F.xxhash64(payload).alias("capture"), F.col(payload).alias("payload"))
+    rows = rows.select("sport", "capture", F.explode(F.map_values(F.from_json("payload", schema)["sport"])).alias("s"))
+    rows = rows.select("sport", "capture", F.explode(F.map_values("s.region")).alias("r"))
+    rows = rows.select("sport", "capture", F.col("r.name").alias("region"), F.explode(F.map_values("r.competition")).alias("c"))
+    rows = rows.select("sport", "capture", "region", F.col("c.id").alias("league_id"), F.col("c.name").alias("league_name"), F.posexplode(F.map_values("c.game")).alias("place", "g"))
+    rows = rows.where((F.coalesce("g.show_type", F.lit("")) != "OUTRIGHT") & prematch(F.col("g")))
     when = timeutil.local_from_seconds(F.col("g.start_ts"))
-    return rows.select(sport.alias("sport"), F.col("g.id").alias("event_id"), F.col("c.id").alias("league_id"), F.col("c.name").alias("league_name"), F.col("r.name").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("g.team1_name").alias("home"), F.col("g.team2_name").alias("away"), F.struct(F.xxhash64(payload).alias("capture"), F.col("place")).alias("arrival"))
+    return rows.select("sport", F.col("g.id").alias("event_id"), "league_id", "league_name", F.col("region").alias("country_name"), when["date"].alias("date"), when["time"].alias("time"), F.col("g.team1_name").alias("home"), F.col("g.team2_name").alias("away"), F.struct("capture", "place").alias("arrival"))
 
 
 # -- typed records --------------------------------------------------------------------------------

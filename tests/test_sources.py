@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import misc
 from kinmatch.operators.collect import upsert
+from kinmatch.plans import queries
 from kinmatch.sources import connectors, payloads, sessions, stored
 
 MENU = '<I class="b-check sport" id="check__1" layout="LC"></I><span class="sport-name">Football</span><i class="b-check stage" id="check__11"></i><i class="b-check stage" id="check__12"></i><i class="b-check stage" id="check__13"></i>'
@@ -147,3 +148,24 @@ def test_the_last_change_of_a_key_counts(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1)], "k int, v string, at int")
     assert sorted(map(tuple, upsert(old, changes, "k", "at").collect())) == [(1, "x"), (2, "b"), (3, "z")]
+
+
+def answers_of(spark, folder, query, monkeypatch):
+    """The captured answers that a query over 3,000 events of two types parses, and its rows."""
+    spark.sql("SELECT id AS event_id, timestamp'2024-01-01' + make_dt_interval(0, 0, int(id % 999)) AS ts, id % 7 AS user_id, if(id % 2 = 0, 'view', 'click') AS event_type FROM range(3000)").write.parquet(f"{folder}/events.parquet")
+    captured, whole = [], connectors.site_events
+    monkeypatch.setattr(queries, "_ANSWER_IDS", 500)
+    monkeypatch.setattr(connectors, "site_events", lambda site, df: captured.append(df) or whole(site, df))
+    rows = query(spark, folder)
+    return captured[0], rows
+
+
+def hashed_below_explode(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Generate" in plan and "xxhash64" in plan and "xxhash64" not in plan[: plan.rindex("Generate")]
+
+
+def test_tree_answers_are_bounded_and_hashed_once(spark, tmp_path, monkeypatch):
+    captured, rows = answers_of(spark, str(tmp_path), queries.source_tree, monkeypatch)
+    assert captured.count() == 12 and rows.count() == sum(k % 7 > 0 and (k % 5 == 0 or k % 3 != 1) for k in range(3000))
+    assert hashed_below_explode(payloads.tree_events(spark.createDataFrame([("{}", "FUTBOL")], "payload string, sport string"), F.col("sport")))
