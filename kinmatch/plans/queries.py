@@ -382,14 +382,14 @@ def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bulk answers of typed records; one of three sports is virtual and not asked for."""
+    """Bulk answers of typed records, for each type of event and range of ids; one of three sports is virtual and not asked for."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
     record = F.struct(
         F.when(k % 10 == 0, "ODDS").otherwise("MATCH").alias("_type"), _text(k).alias("id"), _text(k % 3 + 1).alias("sportId"), _text(k % 7).alias("parentId"), F.unix_millis(F.col("ts").cast("timestamp")).alias("startTime"),
         F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("S"), _text(k % 7))).alias("shortParentName"), F.concat(F.lit("P"), _text(k % 7)).alias("parentName"), F.when(k % 5 > 0, "Venue").alias("venueName"), F.lit("Land").alias("categoryName"),
         F.concat(F.lit("h"), _text("user_id")).alias("homeParticipantName"), F.concat(F.lit("a"), _text(k)).alias("awayParticipantName"),
     )
-    bulk = e.groupBy("event_type").agg(F.to_json(F.collect_list(record)).alias("payload")).select(F.lit("matches").alias("kind"), "payload")
+    bulk = e.groupBy("event_type", _answer(k)).agg(F.to_json(F.collect_list(record)).alias("payload")).select(F.lit("matches").alias("kind"), "payload")
     sports = '[{"_type":"SPORT","id":"1","name":"Football","numberOfUpcomingMatches":5},{"_type":"SPORT","id":"2","name":"Tennis","isVirtual":true,"numberOfUpcomingMatches":9},{"_type":"SPORT","id":"3","name":"Basketball","numberOfUpcomingMatches":1}]'
     return connectors.site_events("records", bulk.unionByName(spark.createDataFrame([("sports", sports)], "kind string, payload string"))).select(*_ROW)
 

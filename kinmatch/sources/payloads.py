@@ -124,7 +124,9 @@ RECORD = (
 
 
 def records(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    rows = payloads.select(F.xxhash64(payload).alias("capture"), F.posexplode(F.from_json(payload, RECORD)).alias("place", "r"))
+    # Hashed below the explode: beside it, it would be worked out for each record.
+    rows = payloads.select(F.xxhash64(payload).alias("capture"), F.col(payload).alias("payload"))
+    rows = rows.select("capture", F.posexplode(F.from_json("payload", RECORD)).alias("place", "r"))
     return rows.select(F.struct("capture", "place").alias("at"), "r.*")
 
 

@@ -169,3 +169,9 @@ def test_tree_answers_are_bounded_and_hashed_once(spark, tmp_path, monkeypatch):
     captured, rows = answers_of(spark, str(tmp_path), queries.source_tree, monkeypatch)
     assert captured.count() == 12 and rows.count() == sum(k % 7 > 0 and (k % 5 == 0 or k % 3 != 1) for k in range(3000))
     assert hashed_below_explode(payloads.tree_events(spark.createDataFrame([("{}", "FUTBOL")], "payload string, sport string"), F.col("sport")))
+
+
+def test_bulk_answers_are_bounded_and_hashed_once(spark, tmp_path, monkeypatch):
+    captured, rows = answers_of(spark, str(tmp_path), queries.source_records, monkeypatch)
+    assert captured.where("kind = 'matches'").count() == 12 and rows.count() == sum(k % 10 > 0 and k % 3 != 1 for k in range(3000))
+    assert hashed_below_explode(payloads.records(spark.createDataFrame([("[]",)], "payload string")))
