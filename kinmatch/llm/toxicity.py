@@ -1,7 +1,6 @@
 """Toxicity by noisy-channel deobfuscation: restore disguised words, then score the text.
 
-Learning, from a bounded sample of labelled rows (`Toxicity.sample` of them, the first by
-md5(id)): a lexicon of words and word beginnings that toxic texts have far more often (log odds,
+Learning, from all labelled rows that may be learned from: a lexicon of words and word beginnings that toxic texts have far more often (log odds,
 pruned by z score and number of texts), a character language model of order 4, and a logistic
 regression of the label on what the lexicon finds in the restored text.
 
@@ -12,8 +11,10 @@ Between single letters and at separators a word may end, so that the reading of
 words; every one is looked up. No run or word is too long: a search takes time in proportion to
 its length. What was written stays in the text too: a reading can add hits, not remove them.
 
-Size: the model is that of the sample, at most `sample` texts: its character runs of up to four and
-its lexicon are what the driver holds and tasks get.
+Size: the driver holds and tasks get the character runs of up to four of the labelled rows' words,
+which grow far slower than the texts, and the lexicon, at most the features of a text over
+`least_share`. Facts of texts stay in tasks: each step of the regression sums them there, in whole
+numbers, so that the model does not depend on partitions.
 
 Defined results: a null or empty text has no hits and gets the base score of such a text; a text of
 any length is scored whole; of readings as likely the first found is taken, always the same;
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, whole
+from kinmatch.llm.common import map_texts, saved, whole
 from kinmatch.llm.text import Chunk, lowered
 
 #: Letters that look-alikes can stand for.
@@ -57,8 +58,6 @@ _DIGIT, _LEET, _JOIN = _mask("0123456789"), _mask("".join(LEET)), _mask(_JOINS)
 
 @dataclass(frozen=True)
 class Toxicity:
-    #: Labelled rows to learn from, at most.
-    sample: int = 8000
     #: Times that a word counts for the character model, at most: common words would drown the others.
     most_times: int = 20
     least_texts: int = 4
@@ -301,26 +300,47 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(facts @ self.weights + self.base, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Newton's method."""
-    a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
+#: Sums are of whole parts of this size, so that their order does not matter.
+_PARTS = 1 << 36
+
+
+def logistic(seen: DataFrame, names: list[str], label: str, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Newton's method; each step is one pass over seen."""
+    k = len(names) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    w = np.zeros(k)
+
+    def step_sums(at: np.ndarray):
+        def run(batches):
+            for batch in batches:
+                a = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [np.ones(batch.num_rows)]
+                z = sum(x * v for x, v in zip(a, at, strict=True))
+                q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                off, bend = batch.column(label).to_numpy(zero_copy_only=False) - q, q * (1 - q)
+                terms = [a[i] * a[j] * bend for i, j in pairs] + [x * off for x in a]
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.rint(t * _PARTS).astype(np.int64).sum())], pa.int64()) for t in terms], [f"s{n}" for n in range(len(terms))])
+
+        return run
+
     for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        pull = ridge * np.append(w[:-1], 0)
-        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + np.diag(np.append(np.full(len(w) - 1, ridge), 1e-6)), a.T @ (y - q) - pull)
-        w += step
+        fields = [f"s{n}" for n in range(len(pairs) + k)]
+        sums = seen.mapInArrow(step_sums(w), ", ".join(f"{f} bigint" for f in fields)).agg(*(F.sum(F.col(f).cast("decimal(38,0)")).alias(f) for f in fields)).first()
+        values = [float(sums[f]) / _PARTS for f in fields]
+        bend = np.zeros((k, k))
+        for (i, j), v in zip(pairs, values, strict=False):
+            bend[i, j] = bend[j, i] = v
+        step = np.linalg.solve(bend + np.diag(np.append(np.full(k - 1, ridge), 1e-6)), np.array(values[len(pairs) :]) - ridge * np.append(w[:-1], 0))
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w[:-1], float(w[-1])
 
 
 def fit(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None) -> Model:
-    """Learns from rows of df with a label; learn: which of the labels' rows (default: all)."""
+    """Learns from all rows of df with a label; learn: which of the labels' rows (default: all)."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = chosen.where(learn) if learn is not None else chosen
     chosen = chosen.select(F.col(id_col).alias("row_id"), (F.col(label_col) > 0).cast("int").alias("label")).groupBy("row_id").agg(F.max("label").alias("label"))
-    chosen = F.broadcast(chosen.orderBy(F.md5(F.col("row_id").cast("string")), "row_id").limit(p.sample))
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "row_id").select("text", "label").persist()
 
     def count():
@@ -368,7 +388,7 @@ def fit(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str
             grams = grams_of(Counter(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
-    # Each word's count is that of the whole sample before it is cut, so the model does not depend on batches.
+    # Each word's count is that of all rows before it is cut, so the model does not depend on batches.
     words = counted.where("word is not null").select("word", F.least("toxic", F.lit(p.most_times)).alias("n"))
     grams = {r.gram: r.n for r in words.mapInArrow(spelled, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
     empty = Model(CharModel(grams), np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), -30.0, p)
@@ -396,8 +416,8 @@ def fit(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str
 
         return one
 
-    seen = map_texts(rows, "text", measure, "label int, a double, b double, c double, d double", through=lowered).toPandas().sort_values(["label", "a", "b", "c", "d"])
-    model.weights, model.base = logistic(seen[["a", "b", "c", "d"]].to_numpy(float), seen["label"].to_numpy(float))
+    seen = map_texts(rows, "text", measure, "label int, a double, b double, c double, d double", through=lowered)
+    model.weights, model.base = logistic(saved(seen), ["a", "b", "c", "d"], "label")
     rows.unpersist()
     counted.unpersist()
     return Model(model.lm, model.features, model.odds, model.weights, model.base, p)

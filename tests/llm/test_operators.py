@@ -507,6 +507,19 @@ def test_toxic_words_are_restored_and_found(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_all_labelled_rows_are_learned_from(spark):
+    rows = [(k, "you gromp" if k % 2 else "you there") for k in range(8100)]
+    late = [(k, "you zarnik" if k % 2 else "you there") for k in range(8100, 16200)]
+    labels = spark.range(16200).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    df = documents(spark, rows + late)
+    model = toxicity.fit(df, labels)
+    assert model.lm.counts["^^^z"] == model.lm.counts["^^^g"] == toxicity.Toxicity().most_times and model.lm.counts["|^^^"] >= 60
+    other = toxicity.fit(df.repartition(7), labels)
+    assert (model.weights == other.weights).all() and model.base == other.base
+    # Word counts before the cut are those of all 16,200 rows: each of the two words has the odds of 4,050 texts.
+    assert np.allclose(sorted(set(model.odds.round(6)))[-1], np.log(4050.5 / 8101) - np.log(0.5 / 8101))
+
+
 def test_toxic_words_are_found_among_other_letters_and_in_long_runs(spark):
     bad = ["stupid", "idiot", "moron", "clown", "dünn"]
     plain = ["you", "are", "such", "that", "this", "what", "people"]
