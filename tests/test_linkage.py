@@ -327,3 +327,35 @@ def test_report_order(spark):
     rows = [("item10",), ("item2",), ("İtem1",), ("Çan",), ("cam",)]
     got = [r.n for r in spark.createDataFrame(rows, "n string").orderBy(report.turkish(F.col("n"))).collect()]
     assert got.index("item2") < got.index("item10") and got.index("cam") < got.index("item2")
+
+
+def named_rows(spark, names):
+    """Features of the same names on three sites, on days around a month's end, some of other countries or without one."""
+    rows = []
+    for k, (home, away) in enumerate(names):
+        for site in range(3):
+            day = ("2024-02-28", "2024-02-29", "2024-03-01", "bad")[(k + site) % 4]
+            h, a = (away, home) if (k + site) % 5 == 4 else (home, away)
+            rows.append((f"s{site}", site, k, "FUTBOL", "L", ("England - L", "Spain - L", "L", "Europe - L")[(k * (site + 1)) % 4], day, "10:00", 1709200000000, h, a, f"e{k}"))
+    columns = "site string, site_idx int, row_id bigint, sport string, league string, league_raw string, date string, time string, epoch_ms bigint, home string, away string, event_id string"
+    return matching.saved(matching.with_features(spark.createDataFrame(rows, columns), Aliases.load()))
+
+
+NAMES = [("Real City", "Sporting United"), ("Man Utd", "Kolma Verdi"), ("Manchester United", "Kolma Verdy"), ("K V", "Kolma Verdi"), ("KV", "Olma Verdi"), ("Kol Ver", "PSG"), ("Paris Saint-Germain", "Xolma Verdi"), ("", "Tarn"), ("Tarn W", "A. B. Tarnov"), ("Tarn", "AB Tarnow"), ("United", "City"), ("Verdi Kolma", "Man United U21")]
+
+
+def test_each_candidate_comes_once_by_its_first_key_without_a_shuffle_of_pairs(spark):
+    rows = named_rows(spark, NAMES)
+    pairs = matching.candidate_pairs(rows)
+    assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    local = rows.select("rid", "site_idx", "date", "signature").collect()
+    days = {"2024-02-28": 0, "2024-02-29": 1, "2024-03-01": 2}
+    want = set()
+    for x in local:
+        for y in local:
+            off = 0 if x.date == y.date else days[y.date] - days[x.date] if x.date in days and y.date in days else 9
+            at = [k for k, key in enumerate([*x.signature, ""]) if key in (y.signature or [""])]
+            if x.site_idx < y.site_idx and abs(off) <= 1 and at:
+                want.add((x.rid, y.rid, off, at[0]))
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 50
