@@ -359,3 +359,12 @@ def test_each_candidate_comes_once_by_its_first_key_without_a_shuffle_of_pairs(s
                 want.add((x.rid, y.rid, off, at[0]))
     got = [tuple(r) for r in pairs.collect()]
     assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_pruned_candidates_lose_no_pair_that_scoring_keeps(spark):
+    rows = named_rows(spark, NAMES)
+    every, likely = matching.saved(matching.candidate_pairs(rows)), matching.saved(matching.likely_pairs(rows))
+    keys = ["a", "b", "day_offset", "prefix_pos"]
+    assert likely.select(keys).exceptAll(every.select(keys)).isEmpty() and 0 < likely.count() < every.count()
+    kept = [{tuple(r) for r in matching.score_pairs(p, rows).where("reason is null").collect()} for p in (every, likely)]
+    assert kept[0] == kept[1] and kept[0]
