@@ -84,6 +84,16 @@ def test_mined_rules_equal_counted_subsets(spark):
     assert url_rules.mine(spark.createDataFrame([], "groups array<int>, label string"), url_rules.Mining()).count() == 0
 
 
+def test_grown_rules_are_those_of_all_sets_beyond_the_width(spark):
+    r = random.Random(3)
+    rows = [(sorted(r.sample(range(7), r.randint(1, 6))), r.choice(["block", "block", "allow"])) for _ in range(80)]
+    # Group 20 tells allowed URLs, but stands behind more groups than the width; so do groups that always come together.
+    rows += [([*range(7), 9, 10, 11, 12, 13, 14, 20], "allow")] * 9 + [([*range(7), 9, 10, 11, 12, 13, 14], "block")] * 9
+    df = spark.createDataFrame(rows, "groups array<int>, label string")
+    rules = [{(tuple(x.antecedent), x.verdict, round(x.confidence, 9), x.support) for x in url_rules.mine(df, url_rules.Mining(0.05, 0.6, width)).collect()} for width in (12, 99)]
+    assert rules[0] == rules[1] and ((20,), "allow", 1.0, 9) in rules[0] and any(len(x[0]) > 1 for x in rules[0])
+
+
 def test_mined_rules_decide_urls_without_a_curated_rule(spark):
     urls = [f"http://s{k}.example.com/en/{k % 10}/{'good' if k % 10 == 7 else 'bad'}" for k in range(200)]
     urls += ["http://a.fr/x/good", "http://a.fr/x/bad", "http://a.fr/x/other"]
