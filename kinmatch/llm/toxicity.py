@@ -21,7 +21,7 @@ any length is scored whole; of readings as likely the first found is taken, alwa
 without labelled rows of both kinds every score is the share of toxic rows (0 without any); a null
 label or id is not learned from, and of several labels of an id the highest counts; repeated rows
 score alike; an empty table gives an empty one; other columns are not read, whatever their names.
-One pass over the rows, no shuffle.
+Scoring is one pass over the rows, no shuffle; learning moves the texts once, to their labels.
 """
 
 from __future__ import annotations
@@ -32,17 +32,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, saved, whole
+from kinmatch.llm.common import given_back, map_texts, saved, whole
 from kinmatch.llm.text import Chunk, lowered
+from kinmatch.operators.graph import tasks_for
 
 #: Letters that look-alikes can stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 _JOINS = ".-_*"
 #: Words decoded are kept up to this number, and this length.
 CACHE_WORDS, CACHE_CHARS = 200_000, 40
+#: Distinct words whose character runs are counted at a time.
+SPELLED_WORDS = 20_000
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -86,6 +90,34 @@ def grams_of(words: Counter, order: int = 4) -> Counter:
     return out
 
 
+def packed_grams(words: list[str], times: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The character runs of grams_of without the contexts, which are what is before their last characters, and their counts."""
+    codes = np.frombuffer("".join(f"^^^{w}\x00" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    alphabet = np.flatnonzero(seen)
+    if len(alphabet) >= 1 << 16:  # more than a number of 64 bits holds four of
+        grams = {g: n for g, n in grams_of(Counter(dict(zip(words, times.tolist(), strict=True)))).items() if g[0] != "|"}
+        return list(grams), np.array(list(grams.values()), np.int64)
+    number = np.zeros(0x110000, np.uint64)
+    number[alphabet] = np.arange(1, len(alphabet) + 1)
+    ids, size = number[codes], np.array([len(w) + 1 for w in words], np.int64)
+    # Every character of a word and its end; three marks stand before each word.
+    last = np.arange(int(size.sum())) + np.repeat(3 * np.arange(1, len(words) + 1), size)
+    key, n = sum(ids[last - m] << np.uint64(16 * m) for m in range(4)), np.repeat(times, size)
+    grams, counts = [], []
+    chars = ["", *map(chr, alphabet.tolist())]
+    for m in (3, 2, 1, 0):
+        key &= np.uint64((1 << 16 * (m + 1)) - 1)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        key, n = key[first], np.add.reduceat(n[order], first) if len(first) else n
+        grams += ["".join(chars[k >> 16 * j & 0xFFFF] for j in range(m, -1, -1)) for k in key.tolist()]
+        counts.append(n)
+    return grams, np.concatenate(counts)
+
+
 class CharModel:
     """log P(c | up to 3 characters before), longer contexts where they were seen."""
 
@@ -257,6 +289,23 @@ class Restorer:
         return words, np.array(docs, np.int64)
 
 
+class Places:
+    """Where hashes stand among sorted ones; few that are not there are searched for."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.flags = keys, np.zeros(1 << 20, bool)
+        self.flags[(keys >> np.uint64(44)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h are there, and where."""
+        maybe = np.flatnonzero(self.flags[(h >> np.uint64(44)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+        ok = self.keys[at] == h[maybe]
+        return maybe[ok], at[ok]
+
+
 @dataclass
 class Model:
     lm: CharModel
@@ -267,8 +316,7 @@ class Model:
     p: Toxicity
 
     def __post_init__(self):
-        self.flags = np.zeros(1 << 20, bool)
-        self.flags[(self.features >> np.uint64(44)).astype(np.int64)] = True
+        self.places = Places(self.features)
 
     def hits(self, c: Chunk, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The highest log odds of each word's features, 0 if none is in the lexicon."""
@@ -276,10 +324,8 @@ class Model:
         if not len(self.features):
             return out
         for h in feature_hashes(c, start, stop, self.p):
-            maybe = np.flatnonzero(self.flags[(h >> np.uint64(44)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.features, h[maybe]), len(self.features) - 1)
-            ok = self.features[at] == h[maybe]
-            np.maximum.at(out, maybe[ok], self.odds[at[ok]])
+            word, at = self.places(h)
+            out[word] = np.maximum(out[word], self.odds[at])
         return out
 
     def facts(self, c: Chunk, restore: Restorer) -> np.ndarray:
@@ -336,91 +382,165 @@ def logistic(seen: DataFrame, names: list[str], label: str, ridge: float = 1.0)
     return w[:-1], float(w[-1])
 
 
-def fit(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None) -> Model:
-    """Learns from all rows of df with a label; learn: which of the labels' rows (default: all)."""
+def _chosen(labels: DataFrame, id_col: str, label_col: str, learn: Column | None) -> DataFrame:
+    """row_id, label (0 or 1): of each id that may be learned from."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     chosen = chosen.where(learn) if learn is not None else chosen
-    chosen = chosen.select(F.col(id_col).alias("row_id"), (F.col(label_col) > 0).cast("int").alias("label")).groupBy("row_id").agg(F.max("label").alias("label"))
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "row_id").select("text", "label").persist()
+    return chosen.select(F.col(id_col).alias("row_id"), (F.col(label_col) > 0).cast("int").alias("label")).groupBy("row_id").agg(F.max("label").alias("label"))
+
+
+def _counted(rows: DataFrame, p: Toxicity, wanted: Broadcast | None = None) -> DataFrame:
+    """word, feature, n: how often the texts have each plain word, and in how many of them each feature (of those wanted) is."""
 
-    def count():
+    def make():
         def one(batch: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
             w = words_of(c)
-            label = np.asarray(batch.column("label"), np.int64)
+            hashes, data = feature_hashes(c, w.start, w.stop, p), c.data.tobytes()
+            _, at, times = np.unique(hashes[0], return_index=True, return_counts=True)
             words: Counter = Counter()
-            data = c.data.tobytes()
-            for a, b in zip(w.start, w.stop, strict=True):
-                if a < b:
-                    words[data[a:b]] += 1
-            plain = {x: n for b, n in words.items() if len(x := b.decode("utf-8", "ignore")) > 1 and x.isalpha()}
-            keys, n_clean, n_toxic = [], [], []
-            for h in feature_hashes(c, w.start, w.stop, p):
-                order = np.lexsort((c.doc, h))
-                hh, dd = h[order], c.doc[order]
-                new = np.append(True, (hh[1:] != hh[:-1]) | (dd[1:] != dd[:-1])) if len(hh) else np.zeros(0, bool)
-                hh, ll = hh[new], label[dd[new]]
-                first = np.flatnonzero(np.append(True, hh[1:] != hh[:-1])) if len(hh) else np.zeros(0, np.int64)
-                if len(first):
-                    toxic = np.add.reduceat(ll, first)
-                    keys.append(hh[first])
-                    n_toxic.append(toxic)
-                    n_clean.append(np.diff(np.append(first, len(hh))) - toxic)
-            keys.append(np.zeros(1, np.uint64))
-            n_toxic.append(np.array([label.sum()]))
-            n_clean.append(np.array([len(label) - label.sum()]))
-            key, toxic, clean = np.concatenate(keys), np.concatenate(n_toxic), np.concatenate(n_clean)
-            keep = (key != 0) | (np.arange(len(key)) == len(key) - 1)
-            k = int(keep.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None] * k + list(plain), pa.string()), pa.array(np.concatenate([key[keep].view(np.int64), np.zeros(len(plain), np.int64)])), pa.array(np.concatenate([toxic[keep], np.array(list(plain.values()), np.int64)])), pa.array(np.concatenate([clean[keep], np.zeros(len(plain), np.int64)]))],
-                ["word", "feature", "toxic", "clean"],
-            )
+            for a, b, n in zip(w.start[at].tolist(), w.stop[at].tolist(), times.tolist(), strict=True):
+                if len(x := data[a:b].decode("utf-8", "ignore")) > 1 and x.isalpha():
+                    words[x] += n
+            keys, counts = [], []
+            for h in hashes:
+                doc = c.doc
+                if wanted is not None:
+                    at = wanted.value(h)[0]
+                    h, doc = h[at], doc[at]
+                # Texts stay in order among equal hashes.
+                order = np.argsort(h, kind="stable")
+                h, doc = h[order], doc[order]
+                h = h[(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)) & (h != 0)]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+                keys.append(h[first])
+                counts.append(np.diff(np.append(first, len(h))))
+            key, n = np.concatenate(keys), np.concatenate([*counts, np.array(list(words.values()), np.int64)])
+            feature = np.concatenate([key.view(np.int64), np.zeros(len(words), np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array([None] * len(key) + list(words), pa.string()), pa.array(feature), pa.array(n)], ["word", "feature", "n"])
 
         return one
 
-    counted = map_texts(rows, "text", count, "word string, feature bigint, toxic bigint, clean bigint", through=lowered)
-    counted = counted.groupBy("word", "feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-    totals = counted.where("word is null and feature = 0").first()
-    n_toxic, n_clean = (totals.toxic, totals.clean) if totals else (0, 0)
+    counted = map_texts(rows, "text", make, "word string, feature bigint, n bigint", through=lowered)
+    return counted.groupBy("word", "feature").agg(F.sum("n").alias("n"))
 
-    def spelled(batches):
-        for batch in batches:
-            grams = grams_of(Counter(dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"])
 
-    # Each word's count is that of all rows before it is cut, so the model does not depend on batches.
-    words = counted.where("word is not null").select("word", F.least("toxic", F.lit(p.most_times)).alias("n"))
-    grams = {r.gram: r.n for r in words.mapInArrow(spelled, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator()}
-    empty = Model(CharModel(grams), np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), -30.0, p)
-    if not n_toxic or not n_clean:
-        share = n_toxic / max(1, n_toxic + n_clean)
-        empty.base = math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0)
-        rows.unpersist()
-        counted.unpersist()
-        return empty
+def _spelled(words: DataFrame) -> CharModel:
+    """The character model of words (word, n)."""
+
+    def run(batches):
+        held, some = 0, []
+
+        def out():
+            grams, n = packed_grams([w for b in some for w in b.column("word").to_pylist()], np.concatenate([b.column("n").to_numpy(zero_copy_only=False) for b in some]))
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["gram", "n"])
+
+        for batch in batches:
+            some.append(batch)
+            held += batch.num_rows
+            if held >= SPELLED_WORDS:
+                yield out()
+                held, some = 0, []
+        if held:
+            yield out()
+        some = batch = None
+        given_back()
+
+    counts: Counter = Counter()
+    for r in words.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.gram] += r.n
+        counts["|" + r.gram[:-1]] += r.n
+    return CharModel(dict(counts))
+
+
+def _lexicon(df: DataFrame, chosen: DataFrame, p: Toxicity, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
+    """A model, with weights only where labels of both kinds are missing, and the persisted rows (text, label) that it is of.
+
+    Clean texts are only asked for features that enough toxic ones have.
+    """
+    texts = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
+    # By shuffle whatever the size: few labels today are many tomorrow.
+    rows = texts.join(chosen.hint("shuffle_hash"), "row_id").select("text", "label").persist()
+    share = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = share.get(1, 0), share.get(0, 0)
     least = max(p.least_texts, math.ceil(p.least_share * n_toxic))
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    z = odds / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    lexicon = counted.where("word is null and feature <> 0").where(F.col("toxic") >= least).select("feature", odds.alias("odds"), z.alias("z")).where(F.col("z") >= p.least_z).toPandas()
-    features = lexicon["feature"].to_numpy(np.int64).view(np.uint64)
+    toxic = _counted(rows.where("label = 1"), p).persist()
+    got = toxic.where(F.col("feature") != 0).where(F.col("n") >= least).select("feature", "n").toPandas()
+    features = got["feature"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(features)
-    model = Model(empty.lm, features[order], lexicon["odds"].to_numpy(float)[order], np.zeros(4), 0.0, p)
+    features, in_toxic = features[order], got["n"].to_numpy(np.int64)[order]
+    places = Places(features)
+    clean = _counted(rows.where("label = 0"), p, df.sparkSession.sparkContext.broadcast(places)).persist()
+    got = clean.where(F.col("feature") != 0).select("feature", "n").toPandas()
+    in_clean = np.zeros(len(features), np.int64)
+    word, at = places(got["feature"].to_numpy(np.int64).view(np.uint64))
+    in_clean[at] = got["n"].to_numpy(np.int64)[word]
+    # Each word's count is that of all rows before it is cut, so the model does not depend on batches.
+    words = toxic.unionByName(clean).where(F.col("word").isNotNull()).groupBy("word").agg(F.least(F.sum("n"), F.lit(p.most_times)).alias("n"))
+    model = Model(_spelled(words), np.zeros(0, np.uint64), np.zeros(0), np.zeros(4), -30.0, p)
+    toxic.unpersist()
+    clean.unpersist()
+    if not n_toxic or not n_clean:
+        of_toxic = n_toxic / max(1, n_toxic + n_clean)
+        model.base = math.log(of_toxic / (1 - of_toxic)) if 0 < of_toxic < 1 else (30.0 if of_toxic else -30.0)
+        return model, rows
+    odds = np.log((in_toxic + 0.5) / (n_toxic + 1)) - np.log((in_clean + 0.5) / (n_clean + 1))
+    keep = odds / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5)) >= p.least_z
+    return Model(model.lm, features[keep], odds[keep], model.weights, 0.0, p), rows
+
+
+_FACTS = ["a", "b", "c", "d"]
+
+
+def _facts(df: DataFrame, model: Model, keep: str, kind: str) -> DataFrame:
+    """The column keep of df (text and others), with the facts of its texts."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def measure():
-        restore = Restorer(shared.value.lm, p)
+    def make():
+        restore = Restorer(shared.value.lm, shared.value.p)
 
         def one(batch: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
             x = shared.value.facts(c, restore)
-            return pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(x[:, k]) for k in range(4))], ["label", "a", "b", "c", "d"])
+            return pa.RecordBatch.from_arrays([batch.column(keep), *(pa.array(x[:, k]) for k in range(4))], [keep, *_FACTS])
 
         return one
 
-    seen = map_texts(rows, "text", measure, "label int, a double, b double, c double, d double", through=lowered)
-    model.weights, model.base = logistic(saved(seen), ["a", "b", "c", "d"], "label")
+    return map_texts(df, "text", make, f"{keep} {kind}, " + ", ".join(f"{c} double" for c in _FACTS), through=lowered)
+
+
+def _weighed(model: Model, seen: DataFrame) -> Model:
+    """model with the weights that the rows of seen (label, facts) teach; as it is if they have one label."""
+    seen = saved(seen)
+    if seen.select("label").distinct().count() < 2:
+        return model
+    # Few rows in many tasks cost a Python task each in every step.
+    weights, base = logistic(seen.coalesce(tasks_for(seen.count(), 200_000)), _FACTS, "label")
+    return Model(model.lm, model.features, model.odds, weights, base, model.p)
+
+
+def fit(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None) -> Model:
+    """Learns from all rows of df with a label; learn: which of the labels' rows (default: all)."""
+    model, rows = _lexicon(df, _chosen(labels, id_col, label_col, learn), p, id_col, text_col)
+    model = _weighed(model, _facts(rows, model, "label", "int"))
+    rows.unpersist()
+    return model
+
+
+def fit_and_score(df: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None) -> DataFrame:
+    """What score() gives with the model of fit(), but each text is restored and looked up once, for both."""
+    chosen = _chosen(labels, id_col, label_col, learn)
+    model, rows = _lexicon(df, chosen, p, id_col, text_col)
     rows.unpersist()
-    counted.unpersist()
-    return Model(model.lm, model.features, model.odds, model.weights, model.base, p)
+    kind = df.schema[id_col].dataType.simpleString()
+    found = saved(_facts(df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text")), model, "row_id", kind))
+    model = _weighed(model, found.join(chosen.hint("shuffle_hash"), "row_id").select("label", *_FACTS))
+
+    def judge(batches):
+        for batch in batches:
+            facts = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _FACTS])
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(model.score(facts))], ["row_id", "score"])
+
+    model = Model(CharModel({}), np.zeros(0, np.uint64), np.zeros(0), model.weights, model.base, p)
+    return _named(found.mapInArrow(judge, f"row_id {kind}, score double"), id_col)
 
 
 def _apply(df: DataFrame, text_col: str, model: Model, schema, out, inside: str | None = None) -> DataFrame:
@@ -439,7 +559,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"row_id {df.schema[id_col].dataType.simpleString()}, score double"
     out = _apply(rows, "text", model, schema, lambda rows, s: pa.RecordBatch.from_arrays([rows.column("row_id"), pa.array(s)], ["row_id", "score"]))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("row_id", id_col)
+    return _named(out, id_col)
+
+
+def _named(scored: DataFrame, id_col: str) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("row_id", id_col)
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
