@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, one_blas_thread, quoted, saved, whole
+from kinmatch.llm.common import SMALL_CHUNK, given_back, map_texts, one_blas_thread, quoted, saved, small_batches, whole
 from kinmatch.llm.text import Chunk, chunks, folded, run_hash
 
 BUCKETS = 1 << 18
@@ -80,14 +80,17 @@ def document_frequency(df: DataFrame, text_col: str) -> np.ndarray:
     def make(batches):
         total, last = np.zeros(BUCKETS + 1, np.int64), 0
         for batch in batches:
-            for c in chunks(batch.column(0), folded):
+            for c in chunks(batch.column(0), folded, SMALL_CHUNK):
                 once = np.unique(c.doc.astype(np.int64) * BUCKETS + bucket(c.word_hash))
                 total[:BUCKETS] += np.bincount(once % BUCKETS, minlength=BUCKETS)
                 last += c.n
         total[BUCKETS] = last
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        batch = c = once = None
+        given_back()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(make, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS + 1, np.int64)
     got = rows.toPandas()
@@ -365,7 +368,7 @@ def _each(df: DataFrame, text_col: str, scan: list[Index | Runs], schema, out: C
         one_blas_thread()
         return lambda rows, c: out(rows, c, _all_leaks(shared.value, c))
 
-    return map_texts(df, text_col, make, schema, folded, inside)
+    return map_texts(df, text_col, make, schema, folded, inside, SMALL_CHUNK)
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, p: Decontam = Decontam(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

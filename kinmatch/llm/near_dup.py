@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import map_texts, saved, whole
+from kinmatch.llm.common import SMALL_CHUNK, map_texts, saved, whole
 from kinmatch.llm.text import Chunk, lowered, mix
 from kinmatch.operators.graph import components, tasks_for
 
@@ -95,7 +95,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, p: NearDup) -> DataFra
 
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("string").alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return map_texts(rows.withColumn("text_key", F.xxhash64("text")), "text", make, f"row_id {kind}, n bigint, node bigint, text_key bigint, sig array<bigint>", through=lowered)
+    return map_texts(rows.withColumn("text_key", F.xxhash64("text")), "text", make, f"row_id {kind}, n bigint, node bigint, text_key bigint, sig array<bigint>", through=lowered, limit=SMALL_CHUNK)
 
 
 def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small: bool) -> DataFrame:
@@ -115,7 +115,7 @@ def full_sets(df: DataFrame, text_col: str, wanted: DataFrame, p: NearDup, small
     texts = df.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "text_key").select("node", "text")
     # Copies of one text: each gives the same set, one of them is kept.
-    return map_texts(texts, "text", make, "node bigint, set array<bigint>, bits array<bigint>", through=lowered).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
+    return map_texts(texts, "text", make, "node bigint, set array<bigint>, bits array<bigint>", through=lowered, limit=SMALL_CHUNK).groupBy("node").agg(F.first("set").alias("set"), F.first("bits").alias("bits"))
 
 
 def postings(nodes: DataFrame, p: NearDup) -> DataFrame:

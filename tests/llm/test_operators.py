@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinmatch.llm import chat, decontam, lm_scores, mixing, near_dup, quality, queries, sharding, token_counts, toxicity, url_rules
+from kinmatch.llm import chat, common, decontam, lm_scores, mixing, near_dup, quality, queries, sharding, token_counts, toxicity, url_rules
 from kinmatch.llm.queries import URL_RULES
 from kinmatch.llm.text import chunks, lowered
 
@@ -646,3 +646,10 @@ def test_queries_are_registered():
     from kinmatch.llm.queries import QUERIES
 
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    df = spark.range(3000).coalesce(1).selectExpr("id", "repeat('abcdefgh ', 600) AS text")
+    held = lambda rows, c: pa.RecordBatch.from_arrays([pa.array([rows.column("text").buffers()[2].size])], ["held"])
+    got = common.map_texts(df, "text", lambda: held, "held bigint").collect()
+    assert max(r.held for r in got) < 3 * common.BATCH_BYTES
