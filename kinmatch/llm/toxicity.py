@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinmatch.llm.common import given_back, map_texts, saved, whole
+from kinmatch.llm.common import SMALL_CHUNK, given_back, map_texts, saved, whole
 from kinmatch.llm.text import Chunk, lowered
 from kinmatch.operators.graph import tasks_for
 
@@ -44,7 +44,9 @@ from kinmatch.operators.graph import tasks_for
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 _JOINS = ".-_*"
 #: Words decoded are kept up to this number, and this length.
-CACHE_WORDS, CACHE_CHARS = 200_000, 40
+CACHE_WORDS, CACHE_CHARS = 100_000, 40
+#: Probabilities of characters kept: a Python worker holds them as long as the model.
+CACHE_RUNS = 300_000
 #: Distinct words whose character runs are counted at a time.
 SPELLED_WORDS = 20_000
 
@@ -58,6 +60,8 @@ def _mask(chars: str) -> np.ndarray:
 _LETTER = _mask("abcdefghijklmnopqrstuvwxyz")
 _LETTER[0x80:] = True
 _DIGIT, _LEET, _JOIN = _mask("0123456789"), _mask("".join(LEET)), _mask(_JOINS)
+_SOLID, _EDGE, _ASCII_LETTER = _LETTER | _DIGIT, _mask("$@"), _LETTER & (np.arange(256) < 0x80)
+_FIRST_BYTE = (np.arange(256) & 0xC0) != 0x80
 
 
 @dataclass(frozen=True)
@@ -135,6 +139,8 @@ class CharModel:
                 total = self.counts.get("|" + before, 0)
                 if total:
                     p = (self.counts.get(before + c, 0) + 2.0 * p) / (total + 2.0)
+            if len(self.cache) >= CACHE_RUNS:
+                self.cache.clear()
             got = self.cache[key] = math.log(p)
         return got
 
@@ -152,6 +158,7 @@ def decode(word: str, lm: CharModel, p: Toxicity, spaced: bool = False) -> str:
             runs.append((c, 1))
     # Of each context the best score and its reading, as a chain of characters from the last one.
     states: dict[str, tuple[float, tuple | None]] = {"^^^": (0.0, None)}
+    known = lm.cache
 
     def end(s: str) -> float:
         cost = lm.logp(s, "\x00")
@@ -165,12 +172,17 @@ def decode(word: str, lm: CharModel, p: Toxicity, spaced: bool = False) -> str:
                     continue
                 to, now = "^^^", score + end(s)
             else:
-                to, now = (s + c)[-3:], score + lm.logp(s, c)
+                run = s + c
+                p_run = known.get(run)
+                to, now = run[-3:], score + (lm.logp(s, c) if p_run is None else p_run)
             if to not in out or out[to][0] < now:
                 out[to] = (now, (chain, c))
         return out
 
     for i, (c, n) in enumerate(runs):
+        if n == 1 and not spaced and c not in LEET and c not in _JOINS:  # stands for itself alone
+            states = take(states, c)
+            continue
         options: list[tuple[str, float]] = []
         if c in LEET:
             options += [(x * k, p.swap_cost * k) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
@@ -215,28 +227,32 @@ class Words:
 
 def words_of(c: Chunk) -> Words:
     d, n = c.data, len(c.data)
-    solid = _LETTER[d] | _DIGIT[d]
-    at = np.arange(n)
-    last = np.maximum.accumulate(np.where(solid, at, -1)) if n else at
-    nxt = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1] if n else at
-    start, stop = nxt[c.starts] if n else c.starts, last[c.stops - 1] + 1 if n else c.stops
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        """How many bytes of mask are before each byte; 32 bits are enough for an Arrow column's text in a chunk."""
+        out = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(mask, out=out[1:])
+        return out
+
+    solid = _SOLID[d]
+    before, at = count(solid), np.append(np.flatnonzero(solid), n)
+    start, upto = at[before[c.starts]], before[c.stops]
+    stop = np.where(upto > 0, at[upto - 1] + 1, 0)
     empty = start >= stop
     start, stop = np.where(empty, c.starts, start), np.where(empty, c.starts, stop)
     # $ and @ stand for letters at the edges of a word, unless they are many.
-    edge = _mask("$@")
-    lead = ~empty & (start - c.starts == 1) & edge[d[np.minimum(c.starts, max(0, n - 1))]] if n else empty
+    lead = ~empty & (start - c.starts == 1) & _EDGE[d[np.minimum(c.starts, max(0, n - 1))]] if n else empty
     start = start - lead
-    tail = ~empty & (c.stops - stop <= 2) & (c.stops > stop) & edge[d[np.minimum(stop, max(0, n - 1))]] if n else empty
+    tail = ~empty & (c.stops - stop <= 2) & (c.stops > stop) & _EDGE[d[np.minimum(stop, max(0, n - 1))]] if n else empty
     stop = np.where(tail, c.stops, stop)
-    count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
     same = np.zeros(n, bool)
     if n > 1:
-        same[1:] = (d[1:] == d[:-1]) & _LETTER[d[1:]] & (d[1:] < 0x80)
+        same[1:] = (d[1:] == d[:-1]) & _ASCII_LETTER[d[1:]]
     per = lambda mask, x=start, y=stop: (lambda s: s[y] - s[x])(count(mask))
     letters, leet, joins = per(_LETTER[d]), per(_LEET[d]), per(_JOIN[d])
     disguised = ((leet > 0) & (letters > 0)) | ((joins >= 1) & (letters > 0) & (letters + leet >= 3)) | ((joins >= 2) & (leet >= 3)) | (per(same, np.minimum(start + 1, stop)) > 0)
     # A letter may have several bytes, all but the first of the form 10xxxxxx.
-    single = (per((d & 0xC0) != 0x80) == 1) & (letters + leet == stop - start)
+    single = (per(_FIRST_BYTE[d]) == 1) & (letters + leet == stop - start)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
     spaced = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b - a >= 2]
     return Words(start, stop, np.flatnonzero(disguised & ~single), spaced)
@@ -273,20 +289,30 @@ class Restorer:
                 self.known[word, spaced] = got
         return got
 
-    def readings(self, c: Chunk, w: Words) -> tuple[list[str], np.ndarray]:
-        """The words of readings that differ from what stands there, and their texts."""
+    def readings(self, c: Chunk, w: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words of readings that differ from what stands there; then, in the order of the text, which of them are read, and in which texts."""
         data, doc = c.data.tobytes(), c.doc
-        written = [(data[a:b], d, False) for a, b, d in zip(w.start[w.disguised].tolist(), w.stop[w.disguised].tolist(), doc[w.disguised].tolist(), strict=True)]
+        start, stop = w.start[w.disguised], w.stop[w.disguised]
+        _, at, back = np.unique(c.span_hash(start, stop), return_index=True, return_inverse=True)
+        words, size = [], []
+        for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True):
+            x = data[a:b].decode("utf-8", "ignore")
+            plain = [y for y in self(x) if y != x]
+            words += plain
+            size.append(len(plain))
+        size = np.array(size, np.int64)
+        times = size[back]
+        which = np.repeat((np.cumsum(size) - size)[back], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        docs, more = np.repeat(doc[w.disguised], times), []
         for a, b in w.spaced:
             cuts = [a, *(k for k in range(a + 1, b) if doc[k] != doc[k - 1]), b]
-            written += [(b"".join(data[w.start[k] : w.stop[k]] for k in range(x, y)), doc[x], True) for x, y in zip(cuts, cuts[1:]) if y - x >= 2]
-        words, docs = [], []
-        for x, d, spaced in written:
-            x = x.decode("utf-8", "ignore")
-            plain = [y for y in self(x, spaced) if spaced or y != x]
-            words += plain
-            docs += [d] * len(plain)
-        return words, np.array(docs, np.int64)
+            for x, y in zip(cuts, cuts[1:]):
+                if y - x >= 2:
+                    plain = self(b"".join(data[w.start[k] : w.stop[k]] for k in range(x, y)).decode("utf-8", "ignore"), True)
+                    words += plain
+                    more += [doc[x]] * len(plain)
+        which = np.append(which, np.arange(len(words) - len(more), len(words)))
+        return words, which, np.append(docs, np.array(more, np.int64))
 
 
 class Places:
@@ -332,10 +358,10 @@ class Model:
         """For each text: highest and summed log odds, hits, and hits for each 100 words."""
         w = words_of(c)
         odds, doc = self.hits(c, w.start, w.stop), c.doc
-        plain, plain_doc = restore.readings(c, w)
+        plain, which, plain_doc = restore.readings(c, w)
         if plain:
             more = _plain(plain)
-            odds, doc = np.concatenate([odds, self.hits(more, more.begin, more.end)]), np.concatenate([doc, plain_doc])
+            odds, doc = np.concatenate([odds, self.hits(more, more.begin, more.end)[which]]), np.concatenate([doc, plain_doc])
         hit = odds > 0
         top = np.zeros(c.n)
         np.maximum.at(top, doc[hit], odds[hit])
@@ -504,7 +530,7 @@ def _facts(df: DataFrame, model: Model, keep: str, kind: str) -> DataFrame:
 
         return one
 
-    return map_texts(df, "text", make, f"{keep} {kind}, " + ", ".join(f"{c} double" for c in _FACTS), through=lowered)
+    return map_texts(df, "text", make, f"{keep} {kind}, " + ", ".join(f"{c} double" for c in _FACTS), through=lowered, limit=SMALL_CHUNK)
 
 
 def _weighed(model: Model, seen: DataFrame) -> Model:
@@ -551,7 +577,7 @@ def _apply(df: DataFrame, text_col: str, model: Model, schema, out, inside: str
         restore = Restorer(m.lm, m.p)
         return lambda rows, c: out(rows, m.score(m.facts(c, restore)))
 
-    return map_texts(df, text_col, make, schema, lowered, inside)
+    return map_texts(df, text_col, make, schema, lowered, inside, SMALL_CHUNK)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

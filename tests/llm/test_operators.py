@@ -653,3 +653,17 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     held = lambda rows, c: pa.RecordBatch.from_arrays([pa.array([rows.column("text").buffers()[2].size])], ["held"])
     got = common.map_texts(df, "text", lambda: held, "held bigint").collect()
     assert max(r.held for r in got) < 3 * common.BATCH_BYTES
+
+
+def test_a_disguised_word_is_looked_up_once_for_all_its_places():
+    class Restorer(toxicity.Restorer):
+        asked = 0
+
+        def __call__(self, word, spaced=False):
+            self.asked += 1
+            return super().__call__(word, spaced)
+
+    restore = Restorer(toxicity.CharModel(toxicity.grams_of(Counter({"idiot": 9, "clown": 9}))), toxicity.Toxicity())
+    (c,) = chunks(pa.array(["1d10t x 1d10t", None, "1d10t c l o w n"]), lowered)
+    words, which, docs = restore.readings(c, toxicity.words_of(c))
+    assert [words[k] for k in which] == ["idiot"] * 3 + ["clown"] and docs.tolist() == [0, 0, 2, 2] and restore.asked == 2
