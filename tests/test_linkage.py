@@ -368,3 +368,34 @@ def test_pruned_candidates_lose_no_pair_that_scoring_keeps(spark):
     assert likely.select(keys).exceptAll(every.select(keys)).isEmpty() and 0 < likely.count() < every.count()
     kept = [{tuple(r) for r in matching.score_pairs(p, rows).where("reason is null").collect()} for p in (every, likely)]
     assert kept[0] == kept[1] and kept[0]
+
+
+def test_likeness_of_facts_is_similarity(spark):
+    r = random.Random(5)
+    words = ["city", "real", "a", "ab", "abc", "b", "bcd", "x", "united", "rcu", "kolma", "kolmar", "1st", "aab"]
+    rows = [(" ".join(r.choices(words, k=r.randint(0, 4))), " ".join(r.choices(words, k=r.randint(0, 4)))) for _ in range(400)] + [(None, "a"), ("a", None), ("", "")]
+    df = matching.saved(spark.createDataFrame(rows, "a string, b string").select("a", "b", S.likeness_facts(F.col("a")).alias("x"), S.likeness_facts(F.col("b")).alias("y")))
+    got = df.select(S.similarity(F.col("a"), F.col("b")).alias("s"), S.likeness(F.col("x"), F.col("y")).alias("t")).collect()
+    assert all(g.s == g.t for g in got) and len({g.s for g in got}) > 10
+
+
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_candidates_are_scored_where_they_are_joined(spark, monkeypatch, limit):
+    rows = []
+    for k, (home, away) in enumerate([*NAMES, (None, "Tarn"), ("Kolma U21", "Verdi W")]):
+        for site in range(3):
+            h, a = (away, home) if (k + site) % 5 == 4 else (home, away)
+            sport, league = ("FUTBOL", "BASKETBOL", "TENIS")[k % 3 if k > 6 else 0], ("England - L", "Spain - L U21", "L", "Europe - L", None)[(k * (site + 1)) % 5]
+            rows.append((f"s{site}", site, k, sport, league, ("2024-02-28", "2024-02-29", "2024-03-01", "bad", None)[(k + site) % 5], "10:00", 1709200000000 if k % 4 else None, h, a))
+    listings = spark.createDataFrame(rows, "site string, site_idx int, row_id bigint, sport string, league_raw string, date string, time string, epoch_ms bigint, home string, away string")
+    aliases = Aliases.load()
+    featured = matching.saved(matching.with_features(listings, aliases))
+    want = {tuple(x) for x in matching.score_pairs(matching.saved(matching.candidate_pairs(featured)), featured).collect()}
+    monkeypatch.setattr(matching, "DIM_BROADCAST_ROWS", limit)
+    out = matching.score_candidates(listings, aliases)
+    got = [tuple(x) for x in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 50 and len({g[12] for g in got}) > 3
+    # Only rows are shuffled, for the one join that makes the pairs; names are looked up in it.
+    if limit:
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
