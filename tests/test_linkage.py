@@ -397,5 +397,5 @@ def test_candidates_are_scored_where_they_are_joined(spark, monkeypatch, limit):
     assert set(got) == want and len(got) == len(want) > 50 and len({g[12] for g in got}) >= 3
     # Only rows are shuffled, for the one join that makes the pairs; names are looked up in it.
     if limit:
-        plan = out._jdf.queryExecution().executedPlan().toString()
+        plan = out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
         assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
