@@ -15,7 +15,8 @@
 5. Every text is scored whole with the model.
 
 Size: the model's arrays, and the pair counts behind them, are bounded by Shape (at most inputs +
-classes, squared, pairs: 85 MB of counts; about 10 MB on prose), whatever the corpus; a learner's
+classes, squared, pairs: 85 MB of counts; about 10 MB on prose; 21 MB as a table in a scoring
+worker), whatever the corpus; a learner's
 task holds `learner_tokens` tokens, a scoring task one text or a chunk.
 
 Words are told apart by 64-bit hashes. Defined results: a null or empty text is its end alone; a
@@ -54,7 +55,8 @@ CHUNK_TOKENS = 1 << 19
 class Scoring:
     common: int = 1 << 18
     dim: int = 24
-    classes: int = 128
+    classes: int = 256
+    groups: int = 8
     block: int = 8
     inputs: int = 2048
     rounds: int = 4
@@ -143,6 +145,14 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
+def counted(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text, its number ascending, and how often it has them."""
+    order = np.lexsort((word, doc))
+    doc, word = doc[order], word[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1]))) if len(doc) else order
+    return doc[first], word[first], np.diff(np.append(first, len(doc)))
+
+
 def word_counts(texts: DataFrame, merge: int) -> DataFrame:
     """word (hash, END for the ends), n over all texts of the column `text`."""
 
@@ -299,11 +309,16 @@ def learned_round(model: Attention, texts: DataFrame, ids: Ids, p: Scoring, turn
         own = Attention.__new__(Attention)
         own.__dict__ = {**shared.value.__dict__, "w": {k: v.copy() for k, v in shared.value.w.items()}}
         row, begin = own.numbering.row, own.numbering.begin
+        sizes, led = np.array([len(a) for a in parts]), np.array(leads)
+        flat, first = np.concatenate(parts).astype(np.int64), np.cumsum(sizes) - sizes
+        before = np.append(begin, row[flat[:-1]])
+        before[first] = begin
         # A run with a lead: its first token is only an input, the others of the lead are context.
-        before = np.concatenate([row[a[:-1]] if j else np.concatenate([[begin], row[a[:-1]]]) for a, j in zip(parts, leads, strict=True)])
-        flat = np.concatenate([a[1:] if j else a for a, j in zip(parts, leads, strict=True)])
-        real = np.concatenate([np.arange(len(a) - j) >= (lead - 1) * j for a, j in zip(parts, leads, strict=True)])
-        own.train(before, flat, np.array([len(a) - j for a, j in zip(parts, leads, strict=True)]), real, p.least_steps)
+        here = np.ones(len(flat), bool)
+        here[first[led]] = False
+        sizes = sizes - led
+        at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own.train(before[here], flat[here], sizes, at >= np.repeat((lead - 1) * led, sizes), p.least_steps)
         return _packed(own.w)
 
     def learn(batches):
@@ -319,7 +334,7 @@ def learned_round(model: Attention, texts: DataFrame, ids: Ids, p: Scoring, turn
                 if k != now:
                     got, n = closed()
                     total, weight, now, parts, leads = total + got, weight + n, k, [], []
-                parts.append(np.frombuffer(data, ids.kind).astype(np.int64))
+                parts.append(np.frombuffer(data, ids.kind))
                 leads.append(j)
         got, n = closed()
         if weight + n:
@@ -368,14 +383,15 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
             here = at >= 0
             base = np.bincount(c.doc[here], table.log10(table.n[at[here]]), c.n)
             known = np.bincount(c.doc[here], minlength=c.n)
-            rare = np.concatenate([[0], np.cumsum(np.bincount(c.doc[~here], minlength=c.n))]).astype(np.int32)
+            doc, word, times = counted(c.doc[~here], h[~here])
+            rare = pa.array(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=c.n))]).astype(np.int32))
             flat, sizes = subwords(c, at)
-            arrays = [batch.column("row_id"), batch.column("learned"), batch.column("key"), pa.array(c.n_words + 1), pa.array(known), pa.array(base, pa.float64()), pa.ListArray.from_arrays(pa.array(rare), pa.array(h[~here].view(np.int64))), ids.array(flat, sizes)]
-            return pa.RecordBatch.from_arrays(arrays, ["row_id", "learned", "key", "n_tokens", "known", "base", "rare", "ids"])
+            arrays = [batch.column("row_id"), batch.column("learned"), batch.column("key"), pa.array(c.n_words + 1), pa.array(known), pa.array(base, pa.float64()), pa.ListArray.from_arrays(rare, pa.array(word.view(np.int64))), pa.ListArray.from_arrays(rare, pa.array(times)), ids.array(flat, sizes)]
+            return pa.RecordBatch.from_arrays(arrays, ["row_id", "learned", "key", "n_tokens", "known", "base", "rare", "times", "ids"])
 
         return one
 
-    facts = f"row_id {kind}, learned boolean, key bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, ids binary"
+    facts = f"row_id {kind}, learned boolean, key bigint, n_tokens bigint, known bigint, base double, rare array<bigint>, times array<bigint>, ids binary"
     keyed = rows.withColumn("key", F.xxhash64(F.coalesce(F.col("row_id").cast("string"), F.lit(""))))
     stored = saved(map_texts(keyed, "text", make, facts, through=lowered)).withColumn("at", F.monotonically_increasing_id())
     model = fit(stored.where("learned"), ids, tokenizer(path, pattern).n_vocab, p)
@@ -390,7 +406,7 @@ def score_texts(df: DataFrame, path: str, pattern: str, training: Column | None
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(shared.value.score(flat, sizes))], [*_KEPT, "score"])
 
     scored = stored.select(*_KEPT, "ids").mapInArrow(judge, f"at bigint, row_id {kind}, learned boolean, n_tokens bigint, known bigint, base double, score double")
-    words = stored.select("at", F.explode("rare").alias("word")).groupBy("at", "word").agg(F.count("*").alias("times"))
+    words = stored.select("at", F.explode(F.arrays_zip("rare", "times")).alias("one")).select("at", F.col("one.rare").alias("word"), "one.times")
     table = counts.where((F.col("n") < least) & (F.col("word") != END))
     scale = F.lit(float(total) + 0.1 * (distinct + 1))
     log10 = lambda c: F.log10((c + 0.1) / scale)
@@ -406,7 +422,7 @@ _KEPT = ["at", "row_id", "learned", "n_tokens", "known", "base"]
 
 def fit(texts: DataFrame, ids: Ids, size: int, p: Scoring) -> Attention:
     """The model of all of the texts' ids."""
-    shape = Shape(size, dim=p.dim, block=p.block, classes=p.classes, inputs=p.inputs)
+    shape = Shape(size, dim=p.dim, block=p.block, classes=p.classes, inputs=p.inputs, groups=p.groups)
     key, n = summed(texts, size + 1, lambda flat, sizes: flat, ids)
     counts = np.zeros(size + 1, np.int64)
     counts[key] = n

@@ -248,6 +248,61 @@ def test_attention_gradients_are_slopes():
             assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4, k
 
 
+def grouped_model(groups):
+    """As tiny_model, with its classes in groups."""
+    from kinmatch.llm.attention import Attention, Numbering, Shape
+
+    _, flat, sizes = tiny_model()
+    counts = np.bincount(flat, minlength=15)
+    numbering = Numbering(Shape(14, dim=4, block=2, classes=8, inputs=6, groups=groups), counts)
+    pair, n = np.unique(numbering.pairs(flat, sizes), return_counts=True)
+    return Attention(numbering, counts, pair, n), flat, sizes
+
+
+def test_choices_in_groups_are_the_probability_and_have_its_slopes():
+    # Without weights of the output, group and class in it give what all classes at once do.
+    flat_model, flat, sizes = grouped_model(1)
+    model, _, _ = grouped_model(3)
+    for m in (flat_model, model):
+        m.w |= {k: np.zeros_like(m.w[k]) for k in ("u", "c", "gu", "gc") if k in m.w}
+    assert np.abs(model.score(flat, sizes) - flat_model.score(flat, sizes)).max() < 1e-4
+    # With any weights, the probabilities of all ids add up to one, and training's loss is that of the score.
+    rng = np.random.default_rng(4)
+    model.w = {k: rng.standard_normal(v.shape) * 0.5 for k, v in model.w.items()}
+    every = np.arange(15)
+    assert abs(sum(10 ** model.score(every, np.ones(15, np.int64))) - 1) < 1e-3
+    pairs = np.column_stack([np.full(15, 3), every]).reshape(-1)
+    assert abs(np.exp(model.logs(pairs, np.full(15, 2))[1::2]).sum() - 1) < 1e-3
+    before = model.numbering.before(flat, sizes)
+    at, rows, opens = model._padded(before, sizes)
+    klass, real = np.zeros(rows.size, np.int64), np.zeros(rows.size, bool)
+    klass[at], real[at] = model.numbering.klass[flat], True
+    klass, real = klass.reshape(rows.shape), real.reshape(rows.shape)
+    loss, g = model._step(rows, opens, klass, real)
+    assert abs(loss + (model.logs(flat, sizes) - model._within(before, flat)).mean()) < 1e-3
+    assert set(g) == set(model.w)
+    for k, w in model.w.items():
+        for at in {tuple(d - 1 for d in w.shape), tuple(0 for _ in w.shape)}:
+            kept, e = w[at], 1e-5
+            w[at] = kept + e
+            up = model._step(rows, opens, klass, real)[0]
+            w[at] = kept - e
+            down = model._step(rows, opens, klass, real)[0]
+            w[at] = kept
+            assert abs((up - down) / (2 * e) - g[k][at]) < 1e-4, k
+
+
+def test_a_token_meets_few_of_the_classes():
+    p = lm_scores.Scoring()
+    assert p.classes >= 128 and p.groups + p.classes / p.groups <= 64
+
+
+def test_rare_words_are_counted_within_their_texts():
+    doc, word, times = lm_scores.counted(np.array([0, 0, 0, 2, 2, 3]), np.array([7, 5, 7, 7, 7, 7], np.uint64))
+    assert list(zip(doc, word, times)) == [(0, 5, 1), (0, 7, 2), (2, 7, 2), (3, 7, 1)]
+    assert [len(x) for x in lm_scores.counted(np.zeros(0, np.int64), np.zeros(0, np.uint64))] == [0, 0, 0]
+
+
 def test_every_run_is_learned_from_once(spark):
     ids = lm_scores.Ids(100)
     sizes = np.array([1, 5, 300, 64, 65])
