@@ -399,3 +399,28 @@ def test_candidates_are_scored_where_they_are_joined(spark, monkeypatch, limit):
     if limit:
         plan = out._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
         assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 1
+
+
+def test_near_names_are_all_that_comparing_lets_pass(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(1, 7))) for _ in range(30)] + ["united", "city", "utd", "real"]
+    names = [" ".join(r.choice(words) for _ in range(r.randint(1, 3))) for _ in range(60)] + [n for pair in NAMES for n in pair]
+    for n in names[:40]:
+        k = r.randrange(len(n))
+        names.append(n[:k] + r.choice("ab") + n[k + r.randint(0, 1) :])
+    df = matching.saved(matching.with_team(spark.createDataFrame([(n, "FUTBOL") for n in dict.fromkeys(names)], "n string, sport string"), "n", "sport", ALIASES, "f").select(F.xxhash64("f").alias("t"), "f").dropDuplicates(["t"]))
+    every = df.select(F.col("t").alias("x"), F.col("f").alias("fx")).crossJoin(df.select(F.col("t").alias("y"), F.col("f").alias("fy")))
+    quals = F.concat(*(F.col(f"{f}.{c}.quals") for f in ("fx", "fy") for c in ("plain", "initials")))
+    for threshold in (78, 60):
+        opt = matching.Options(team_threshold=threshold)
+        scored = every.select("x", "y", matching.compare_teams(F.col("fx"), F.col("fy"), quals, opt)["score"].alias("score")).where(F.col("score") >= threshold)
+        want = {(x.x, x.y, round(x.score, 6)) for x in scored.collect()}
+        got = [(x.x, x.y, round(x.score, 6)) for x in matching.near_names(df.select("t", matching._team_facts(F.col("f")).alias("facts")), opt).collect()]
+        assert set(got) == want and len(got) == len(want) > df.count()
+
+
+def test_matching_joins_rows_of_near_names_only_and_shuffles_no_pair(spark):
+    rows = named_rows(spark, NAMES)
+    named = matching._Named.of(rows)
+    plan = matching._met(named, matching.Options())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
